@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import contaminated
+from .license_scan import license_scan
+from .line_dedup import duplicate_lines
 from .ngram_join import ngram_join
 from .packing import packed
+from .pii import pii
 from .quality_rules import quality
 from .substring_dedup import repeated_spans
 from .toxicity import toxicity
@@ -19,10 +22,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_lines(_table(spark, sf_dir, "documents"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +64,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
+        "op2_license_scan": op2_license_scan,
         "op3_toxicity": op3_toxicity,
+        "op4_pii": op4_pii,
         "op5_ngram_join": op5_ngram_join,
         "op6_decontam": op6_decontam,
         "op7_quality": op7_quality,
