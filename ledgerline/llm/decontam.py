@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import BASE_INVERSE, LOWER, U, Texts, _powers_of, code_points, mix, prefix_sums, rounds
-from .store import keep
 
 Q = 12
 ERROR_RATE = 0.05
@@ -169,23 +168,30 @@ def _found(items: Items, texts: Texts) -> Iterator[tuple[int, int, int, int, int
             yield t, j, int(first), int(last), edits
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document and item that stands in it: doc_id, item_id, start, end (code points of the
-    original text, end exclusive) and edits of its best occurrence."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("length(text) > 0")
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list, list]]:
+    """Ids and texts of the items, in blocks of bounded size."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("length(text) > 0")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     # a block's expected text is half the bound, so that uneven hashing stays within it
     blocks = max(1, -(-2 * total // block_bytes))
-    out = None
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        held = docs.sparkSession.sparkContext.broadcast(([r["item"] for r in rows], [r["text"] for r in rows]))
+        yield [r["item"] for r in rows], [r["text"] for r in rows]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document and item that stands in it: doc_id, item_id, start, end (code points of the
+    original text, end exclusive) and edits of its best occurrence."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = None
+    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        held = docs.sparkSession.sparkContext.broadcast(block)
 
         def of(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = Items(*held.value, q, error_rate)
             for batch in batches:
                 rows: list[list] = [[], [], [], [], []]
-                for a, b, texts in rounds(batch.column(1)):
+                for a, _, texts in rounds(batch.column(1)):
                     points = None
                     for t, j, start, end, edits in _found(index, texts):
                         points = code_points(texts.data) if points is None else points
@@ -194,13 +200,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["doc_id", "item_id", "start", "end", "edits"])
 
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         found = texts.mapInArrow(of, "doc_id long, item_id long, start long, end long, edits long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows with a null id cannot be named and stay."""
-    hit = keep(contaminated(docs, benchmark, id_col, **how).where("doc_id is not null").select(F.col("doc_id").alias("_hit")).distinct(), "leaks")
-    return docs.join(hit, docs[id_col] == hit["_hit"], "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold an item, whatever their other columns; passes over the rows, no shuffle."""
+    at = docs.columns.index(text_col)
+    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        held = docs.sparkSession.sparkContext.broadcast(block)
+
+        def of(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = Items(*held.value, q, error_rate)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for a, _, texts in rounds(batch.column(at)):
+                    clean[[a + t for t, *_ in _found(index, texts)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(of, docs.schema)
+    return docs
