@@ -1 +1 @@
-
+"""Column functions: text, names and scores."""
