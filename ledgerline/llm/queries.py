@@ -10,6 +10,7 @@ from .decontam import contaminated
 from .license_scan import license_scan
 from .line_dedup import duplicate_lines
 from .ngram_join import ngram_join
+from .oracles import SQL
 from .packing import packed
 from .pii import pii
 from .quality_rules import quality
@@ -85,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
