@@ -33,8 +33,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates."""
     classes = ngram_join.ngram_join(docs, k=5, num=80, den=100)
-    others = keep(classes.where("component_id < doc_id").select(F.col("doc_id").alias("_other")).distinct(), "others")
-    return docs.join(others, docs["doc_id"] == others["_other"], "left_anti")
+    others = keep(classes.where("component_id < doc_id").select(F.col("doc_id").alias("__other_id")).distinct(), "others")
+    return docs.join(others, docs["doc_id"] == others["__other_id"], "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

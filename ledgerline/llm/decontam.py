@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import BASE_INVERSE, LOWER, U, Texts, _powers_of, code_points, mix, prefix_sums, rounds
+from .store import bounded_batches
 
 Q = 12
 ERROR_RATE = 0.05
@@ -200,7 +201,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["doc_id", "item_id", "start", "end", "edits"])
 
-        found = texts.mapInArrow(of, "doc_id long, item_id long, start long, end long, edits long")
+        found = bounded_batches(texts).mapInArrow(of, "doc_id long, item_id long, start long, end long, edits long")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -219,5 +220,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                     clean[[a + t for t, *_ in _found(index, texts)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(of, docs.schema)
+        docs = bounded_batches(docs).mapInArrow(of, docs.schema)
     return docs

@@ -17,7 +17,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that one round of kernels takes; a longer single text is a round of its own.
-ROUND_BYTES = 4 << 20
+ROUND_BYTES = 1 << 20
 
 _powers: dict[str, np.ndarray] = {}
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import U, mix, rounds, shingle_sets, signed
-from .store import keep
+from .store import bounded_batches, keep
 
 #: Words of a shingle and the similarity of a link.
 SHINGLE, NUM, DEN = 4, 85, 100
@@ -136,7 +136,7 @@ def shingle_nodes(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), node], ["id", "n_shingles", "node"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(of, "id long, n_shingles long, node long")
+    return bounded_batches(rows).mapInArrow(of, "id long, n_shingles long, node long")
 
 
 def _key_rows(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> DataFrame:
@@ -157,7 +157,7 @@ def _key_rows(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> Dat
                     part = slice(c, c + 200_000)
                     yield pa.RecordBatch.from_arrays([pa.array(signed(key[part])), pa.array(signed(nodes[who[part]]))], ["key", "node"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(of, "key long, node long")
+    return bounded_batches(docs.select(F.col(text_col).cast("string").alias("text"))).mapInArrow(of, "key long, node long")
 
 
 class Tree:
@@ -336,7 +336,7 @@ def links(docs: DataFrame, units: DataFrame, id_col: str, text_col: str, k: int,
         if (out := done()) is not None:
             yield out
 
-    return rows.mapInArrow(of, "a long, b long")
+    return bounded_batches(rows).mapInArrow(of, "a long, b long")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN, tile_sets: int = TILE_SETS) -> DataFrame:

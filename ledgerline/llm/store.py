@@ -35,6 +35,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: whole texts go to Python workers, so that the default of 10,000 rows takes much memory.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's rows per Arrow batch to BATCH_ROWS if they are more."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def sweep(spark: SparkSession) -> int:
     """Delete every table that ``keep`` has written; call it between jobs, when no result is still to be read."""
     jvm = spark.sparkContext._jvm

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import BASE, BASE_INVERSE, LOWER, U, _powers_of, code_points, mix, prefix_sums, rounds, signed, slices, words
-from .store import keep
+from .store import bounded_batches, keep
 
 UNIT_WORDS = 4
 MIN_WORDS = 25
@@ -66,7 +66,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_
                 yield pa.RecordBatch.from_arrays(columns, ["id", "unit", "start", "end", "n_words", "h1", "h2"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(of, "id long, unit int, start int, end int, n_words int, h1 long, h2 long")
+    return bounded_batches(rows).mapInArrow(of, "id long, unit int, start int, end int, n_words int, h1 long, h2 long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS) -> DataFrame:
@@ -86,10 +86,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the spans cut from their texts; all other columns as they are."""
-    cuts = spans.groupBy(F.col(id_col).alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    joined = docs.join(cuts, docs[id_col] == cuts["_id"], "left")
-    text, cut = F.col(text_col), F.col("_cuts")
+    cuts = spans.groupBy(F.col(id_col).alias("__spans_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans_cuts"))
+    joined = docs.join(cuts, docs[id_col] == cuts["__spans_id"], "left")
+    text, cut = F.col(text_col), F.col("__spans_cuts")
     begin = F.transform(F.sequence(F.lit(0), F.size(cut)), lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.element_at(cut, i)["end"]))
     bounds = F.arrays_zip(begin.alias("b"), F.concat(F.transform(cut, lambda c: c["start"]), F.array(F.length(text).cast("long"))).alias("e"))
     rest = F.array_join(F.transform(bounds, lambda x: F.substring(text, (x["b"] + 1).cast("int"), (x["e"] - x["b"]).cast("int"))), "")
-    return joined.withColumn(text_col, F.when(cut.isNull(), text).otherwise(rest)).drop("_id", "_cuts")
+    return joined.withColumn(text_col, F.when(cut.isNull(), text).otherwise(rest)).drop("__spans_id", "__spans_cuts")

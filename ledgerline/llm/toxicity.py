@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import LOWER, U, Texts, mix, prefix_sums, rounds, signed, slices, words
-from .store import keep
+from .store import bounded_batches, keep
 
 #: Labelled rows that a fit reads at most, in expectation; features kept; rows that must show one.
 MAX_ROWS, MAX_FEATURES, MIN_ROWS = 20_000, 2_048, 4
@@ -126,7 +126,7 @@ def mined(rows: DataFrame) -> DataFrame:
                     total = np.diff(np.append(begin, len(hashes)))
                     yield pa.RecordBatch.from_arrays([pa.array(signed(hashes[begin])), pa.array(np.full(len(begin), kind, np.int32)), pa.array(pos), pa.array(total - pos)], ["feature", "kind", "pos", "neg"])
 
-    counts = rows.select("text", "toxic").mapInArrow(of, "feature long, kind int, pos long, neg long")
+    counts = bounded_batches(rows.select("text", "toxic")).mapInArrow(of, "feature long, kind int, pos long, neg long")
     return counts.groupBy("feature", "kind").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
@@ -155,7 +155,7 @@ def votes_of(rows: DataFrame, keys: np.ndarray, voters: np.ndarray, n_voters: in
                 names = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(feature.astype(str).tolist(), pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array(bits), names, batch.column(1).slice(a, b - a)], ["votes", "features", "toxic"])
 
-    return rows.select("text", "toxic").mapInArrow(of, "votes long, features array<string>, toxic int")
+    return bounded_batches(rows.select("text", "toxic")).mapInArrow(of, "votes long, features array<string>, toxic int")
 
 
 def label_model(patterns: list[tuple[int, int, int]], n_voters: int, rounds_: int = 60):
@@ -258,7 +258,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(_scores(model, texts, lookup))], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(of, "doc_id long, score double")
+    return bounded_batches(rows).mapInArrow(of, "doc_id long, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -284,4 +284,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             for a, b, texts in rounds(batch.column(at)):
                 yield batch.slice(a, b - a).filter(pa.array(_scores(model, texts, lookup) < threshold))
 
-    return docs.mapInArrow(of, docs.schema)
+    return bounded_batches(docs).mapInArrow(of, docs.schema)
