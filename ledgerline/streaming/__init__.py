@@ -1 +1 @@
-
+"""Ledgers as streams."""
