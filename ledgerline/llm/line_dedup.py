@@ -7,8 +7,8 @@ number), is within one edit of it; the earliest such line is its keeper.
 
 1. Equal lines collapse to their first occurrence.
 2. A line within one edit of another shares its first or its last words with it
-   (half of the shorter one's).  Lines that share no half with another line are
-   done: only the others can have a neighbour.
+   (half of the shorter one's, of which eight are enough to compare).  Lines that
+   share neither with another line are done: only the others can have a neighbour.
 3. Each of these emits its variants within the bound as hashed keys: for every
    gap between two words the line as it is, and for every word the line without
    it, keyed by the gap, the words before and the words after.  Lines with equal
@@ -31,31 +31,47 @@ from pyspark.sql import functions as F
 from .store import keep
 
 MIN_WORDS = 5
-BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 
 
-def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), BLANKS), "")
+HALVES = [f"half{k}" for k in range(4)]
+#: Words of a shared half that are compared at most.
+HALF_WORDS = 8
 
 
-def _halves(words: Column, n: Column) -> Column:
-    """Keys of the first and last words, for a partner as long or longer and for one that is shorter."""
+def normal(text: Column) -> Column:
+    """Lower-cased, with single blanks between words; newlines stay.  Most texts have no blanks to replace."""
+    odd = text.rlike("[\\t\\x0B\\f\\r]") | F.contains(text, F.lit("  "))
+    return F.lower(F.when(odd, F.regexp_replace(text, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(text))
+
+
+def word_count(line: Column) -> Column:
+    """Words of a trimmed normal line."""
+    return F.when(line == "", 0).otherwise(F.size(F.split(line, " ")))
+
+
+def _halves(line: Column, n: Column) -> list[Column]:
+    """Keys of the first and last words, for a partner as long or longer and for one that is shorter; the lowest
+    bit says which side."""
     out = []
     for side in (0, 1):
         for less in (0, 1):
-            p = F.floor((n - less) / 2).cast("int")
-            part = F.slice(words, F.lit(1), p) if side == 0 else F.slice(words, n - p + 1, p)
-            out.append(F.xxhash64(F.lit(side), p, part))
-    return F.array(*out)
+            p = F.least(F.floor((n - less) / 2), F.lit(HALF_WORDS)).cast("int")
+            part = F.call_function("substring_index", line, F.lit(" "), p if side == 0 else -p)
+            out.append(F.xxhash64(p, part).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(side)))
+    return [h.alias(name) for h, name in zip(out, HALVES)]
+
+
+def digest(line: Column) -> list[Column]:
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per line that takes part: id, line, its digest (h1, h2), words and half keys."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line", "body"))
-    # a line of that many words has as many bytes and the blanks between
-    rows = rows.where(F.length("body") >= 2 * min_words - 1).select("id", "line", words_of(F.col("body")).alias("words"))
-    rows = rows.withColumn("n", F.size("words")).where(F.col("n") >= min_words)
-    return rows.select("id", "line", "n", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), _halves(F.col("words"), F.col("n")).alias("halves"))
+    """One row per line that takes part: id, line, words, digest (h1, h2) and half keys."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(normal(F.col(text_col).cast("string")), "\n")).alias("line", "body"))
+    # a line of that many words has as many characters and the blanks between
+    rows = rows.where(F.length("body") >= 2 * min_words - 1).select("id", "line", F.trim("body").alias("text"))
+    rows = rows.withColumn("n", word_count(F.col("text"))).where(F.col("n") >= min_words)
+    return rows.select("id", "line", "n", *digest(F.col("text")), *_halves(F.col("text"), F.col("n")))
 
 
 def _variants(words: Column) -> tuple[Column, Column]:
@@ -79,26 +95,28 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per line to remove: doc_id, line (from 0), keeper_id, keeper_line and edits (0 or 1)."""
     every = keep(lines(docs, id_col, text_col, min_words), "lines")
     place = F.struct("id", "line")
-    distinct = keep(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves")), "distinct-lines")
+    distinct = keep(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *[F.any_value(h).alias(h) for h in HALVES]), "distinct-lines")
 
     # lines that share a half with another
-    halves = distinct.select("h1", "h2", "first", "n", F.posexplode("halves").alias("k", "half"))
+    halves = distinct.select("h1", F.col("first.id").alias("id"), F.col("first.line").alias("line"), F.explode(F.array_distinct(F.array(*HALVES))).alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half")
-    gated = halves.join(shared, "half").groupBy("h1", "h2", "first", "n").agg(F.max(F.col("k") < 2).alias("head"), F.max(F.col("k") >= 2).alias("tail"))
-    wanted = gated.groupBy(F.col("first.id").alias("_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1", "h2", "n", "head", "tail")).alias("wanted"))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.split(F.col(text_col).cast("string"), "\n").alias("body"))
+    head = F.col("half").bitwiseAND(F.lit(1)) == 0
+    gated = halves.drop("h1").join(shared, "half").groupBy("id", "line").agg(F.max(head).alias("head"), F.max(~head).alias("tail"))
+    wanted = gated.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("line", "head", "tail")).alias("wanted"))
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.split(normal(F.col(text_col).cast("string")), "\n").alias("body"))
     found = texts.join(wanted.hint("shuffle_hash"), "_id").select("_id", F.explode(F.transform("wanted", lambda w: F.struct(w.alias("w"), F.get("body", w["line"]).alias("line")))).alias("x"))
-    bodies = found.select(F.struct(F.col("_id").alias("id"), F.col("x.w.line").alias("line")).alias("first"), "x.w.h1", "x.w.h2", "x.w.n", "x.w.head", "x.w.tail", words_of(F.col("x.line")).alias("words"))
-    # a repeated id may carry another text at that line
-    bodies = keep(bodies.where(F.xxhash64("words") == F.col("h1")).dropDuplicates(["h1", "h2"]), "near-lines")
+    bodies = found.select(F.struct(F.col("_id").alias("id"), F.col("x.w.line").alias("line")).alias("first"), "x.w.head", "x.w.tail", F.trim(F.col("x.line")).alias("text"))
+    # dealt evenly, for what follows is heavy and the rows are few; equal lines are one (a repeated id may carry another text)
+    bodies = bodies.select("first", "head", "tail", *digest(F.col("text")), F.split("text", " ").alias("words")).where(F.size("words") >= min_words)
+    bodies = keep(bodies.repartition("h1", "h2").dropDuplicates(["h1", "h2"]), "near-lines")
 
     # variants: by gap, the words before it and the words after it, with or without one word between
     before, after = _variants(F.col("words"))
-    rows = bodies.select("h1", "first", "n", "head", "tail", before.alias("before"), after.alias("after"))
-    half = F.floor((F.col("n") - 1) / 2).cast("int")
+    rows = bodies.select("first", F.size("words").alias("n"), "head", "tail", before.alias("before"), after.alias("after"))
+    half = F.least(F.floor((F.col("n") - 1) / 2), F.lit(HALF_WORDS)).cast("int")
     low, high = F.when(F.col("tail"), F.lit(0)).otherwise(half), F.when(F.col("head"), F.col("n")).otherwise(F.col("n") - half)
     keys = F.transform(F.sequence(low, high), lambda i: F.array(F.xxhash64(i, F.col("n"), F.get("before", i), F.get("after", i)), F.when(i < F.col("n"), F.xxhash64(i, F.col("n") - 1, F.get("before", i), F.get("after", i + 1)))))
-    variants = rows.select("h1", "first", F.explode(F.array_compact(F.flatten(keys))).alias("key"))
+    variants = keep(rows.select("first", F.explode(F.array_compact(F.flatten(keys))).alias("key")), "variants")
     earliest = variants.groupBy("key").agg(F.min("first").alias("near"), F.max("first").alias("last")).where("last > near").select("key", "near")
     pairs = variants.join(earliest, "key").where("first > near").groupBy("first").agg(F.min("near").alias("near"))
 
@@ -112,15 +130,17 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return removed.select(F.col("id").alias(id_col), F.col("line").cast("long").alias("line"), F.col("keeper.id").alias("keeper_id"), F.col("keeper.line").cast("long").alias("keeper_line"), F.col("edits").cast("long").alias("edits"))
 
 
-def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines cut from their texts; a document that had text and has none left goes."""
-    gone = removed.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line").alias("_gone"))
-    joined = docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["_id"], "left")
-    rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("_gone", i.cast("long"))), "\n")
-    out = joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(rest))
-    return out.where(F.col("_gone").isNull() | F.col(text_col).rlike("[^ \\t\\n\\x0B\\f\\r]")).drop("_id", "_gone")
+def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with the lines cut from their texts; a document that loses lines and keeps none that took part goes."""
+    key, gone = "__line_dedup_id", "__line_dedup_gone"  # apart from any column of docs
+    sets = removed.groupBy(F.col(id_col).alias(key)).agg(F.collect_set("line").alias(gone))
+    joined = docs.join(sets.hint("shuffle_hash"), docs[id_col] == sets[key], "left")
+    rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(gone, i.cast("long"))), "\n")
+    out = joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest))
+    left = F.exists(F.split(text_col, "\n"), lambda line: word_count(F.trim(normal(line))) >= min_words)
+    return out.where(F.col(gone).isNull() | left).drop(key, gone)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` after line dedup, all other columns as they are."""
-    return without_lines(docs, keep(duplicate_lines(docs, id_col, text_col, min_words), "removed-lines"), id_col, text_col)
+    return without_lines(docs, keep(duplicate_lines(docs, id_col, text_col, min_words), "removed-lines"), id_col, text_col, min_words)

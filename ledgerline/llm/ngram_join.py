@@ -17,9 +17,11 @@ reaches num/den.  The search is exact:
    members' shingle bitmaps, the range of set sizes and the largest number of
    shingles that share a bit.  A dual traversal drops node pairs whose greatest
    possible overlap is too small, and pairs that are one component already.
-   Blocks over a bounded size are cut into tiles by size band and hash; every
-   pair of tiles that may hold a link is a unit of its own, so no task holds
-   more than two tiles.
+   Blocks over a bounded size first compare every member with the one of the
+   smallest id; what links with it is one component.  They are then cut into
+   tiles by size band and hash; a pair of tiles is a unit of its own if it may
+   hold a link that is not within that component, so no task holds more than
+   two tiles.
 4. Links found become components again.
 
 Nulls and empty texts have no shingles and link with nothing; their component
@@ -30,7 +32,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ from .store import bounded_batches, keep
 
 #: Words of a shingle and the similarity of a link.
 SHINGLE, NUM, DEN = 4, 85, 100
-#: Sets of a tile at most, on average; a unit holds two tiles.
-TILE_SETS = 4096
+#: Sets and shingles of a tile at most, in expectation; a unit holds two tiles.
+TILE_SETS, TILE_SHINGLES = 4096, 4_000_000
 #: Bits of a signature, members of a leaf and children of a node.
 SIGNATURE_BITS, LEAF, FANOUT = 2048, 8, 8
 #: Fingerprints that one task remembers in order not to send keys of a set again.
@@ -264,42 +265,108 @@ def search(sets: list[np.ndarray], left: list[int], right: list[int] | None, num
     return links
 
 
-def _units(nodes: DataFrame, num: int, den: int, tile_sets: int) -> DataFrame:
-    """Rows (node, size, rep, block) to rows with ``unit`` and ``side``: which searches a set takes part in.
+def _sized(members: DataFrame, tile_sets: int, tile_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """Members of blocks that one unit holds, and members of larger blocks."""
+    total = members.groupBy("block").agg(((F.count("*") > 2 * tile_sets) | (F.sum("size") > 2 * tile_shingles)).alias("large"))
+    sized = members.join(total, "block")
+    return sized.where(~F.col("large")).drop("large"), sized.where("large").drop("large")
 
-    A block of up to two tiles is one unit.  A larger one is cut by size band and by hash; a set joins
-    its tile's own unit and one with each other tile of its band and of the adjacent ones.
-    """
-    ratio = math.log(Fraction(den, num))
-    counts = nodes.groupBy("block").agg(F.count("*").alias("block_sets"))
-    sized = nodes.join(counts, "block")
+
+def _absorbed(docs: DataFrame, large: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """Edges (a, b) from members of large blocks to the member with the smallest id, where they link.
+
+    A block of copies of one document ends here, in work that grows with its size alone."""
+    first = large.groupBy("block").agg(F.min(F.struct("rep", "node", "size")).alias("hub"))
+    near = large.join(first, "block").where((F.col("node") != F.col("hub.node")) & (F.col("size") * den >= num * F.col("hub.size")) & (F.col("hub.size") * den >= num * F.col("size")))
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    hubs = texts.join(first.select(F.col("hub.rep").alias("rep"), F.col("hub.node").alias("hub_node")), "rep").select("hub_node", F.col("text").alias("hub_text"))
+    own = texts.join(near.select("rep", "node", F.col("hub.node").alias("hub_node")).hint("shuffle_hash"), "rep")
+    rows = own.join(hubs, "hub_node").select("node", "hub_node", "text", "hub_text")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple = (None, None)
+        for batch in batches:
+            node, hub = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            out: list[list[int]] = [[], []]
+            for a, b, chunk in rounds(batch.column(2)):
+                sets, first_ = shingle_sets(chunk, k)
+                prints = signed(_fingerprints(sets, first_))
+                for i in range(a, b):
+                    if prints[i - a] != node[i]:
+                        continue  # a repeated id with another text
+                    if known[0] != hub[i]:
+                        for _, _, one in rounds(batch.column(3).slice(i, 1)):
+                            hub_set, hub_first = shingle_sets(one, k)
+                            if signed(_fingerprints(hub_set, hub_first))[0] == hub[i]:
+                                known = (hub[i], hub_set)
+                    if known[0] == hub[i]:
+                        x = sets[first_[i - a] : first_[i - a + 1]]
+                        shared = int(np.isin(x, known[1], assume_unique=True).sum())
+                        if shared * den >= num * (len(x) + len(known[1]) - shared):
+                            out[0].append(int(node[i]))
+                            out[1].append(int(hub[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
+
+    return bounded_batches(rows).mapInArrow(of, "a long, b long")
+
+
+def _whole(small: DataFrame) -> DataFrame:
+    """Units of blocks that are searched in one go."""
+    unit = F.struct("block", F.lit(0).alias("kind"), *[F.lit(0).alias(c) for c in ("band", "i", "other", "j")])
+    return small.select("node", "rep", unit.alias("unit"), F.lit(0).alias("side"))
+
+
+def _tiled(large: DataFrame, num: int, den: int, tile_sets: int, tile_shingles: int) -> DataFrame:
+    """Rows (node, size, rep, block, absorbed) to rows with ``unit`` and ``side``: the searches a set takes part in.
+
+    Members are cut into tiles by size band, by ``absorbed`` (1: linked to the block's first member already) and
+    by hash.  Two tiles meet if their bands are near, but not two tiles of absorbed members: those are one
+    component."""
+    ratio = math.log(den / num)
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(ratio)).cast("int")
-    small = sized.where(F.col("block_sets") <= 2 * tile_sets).select("node", "rep", F.struct("block", *[F.lit(0).alias(c) for c in ("band", "i", "other", "j")]).alias("unit"), F.lit(0).alias("side"))
-    large = sized.where(F.col("block_sets") > 2 * tile_sets).select("node", "rep", "block", band.alias("band"))
-    tiles = large.groupBy("block", "band").agg(F.ceil(F.count("*") / tile_sets).cast("int").alias("tiles"))
-    around = tiles
-    # a log at a border may fall into either band; two bands away is then possible, so three are taken
-    near = [tiles.select("block", (F.col("band") - s).alias("band"), F.col("tiles").alias(f"up{s}")) for s in (1, 2)]
-    far = [tiles.select("block", (F.col("band") + s).alias("band"), F.col("tiles").alias(f"down{s}")) for s in (1, 2)]
-    for more in near + far:
-        around = around.join(more, ["block", "band"], "left")
-    large = large.join(around, ["block", "band"]).withColumn("i", F.pmod(F.hash("node"), F.col("tiles")).cast("int"))
-    unit = lambda b, i, o, j, side: F.struct(F.struct(F.col("block"), b.alias("band"), i.alias("i"), o.alias("other"), j.alias("j")).alias("unit"), F.lit(side).alias("side"))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    mine, b = F.col("i"), F.col("band")
-    joins = [
-        F.transform(upto(F.col("tiles")), lambda j: F.when(j >= mine, unit(b, mine, b, j, 0)).otherwise(unit(b, j, b, mine, 1))),
-        *[F.transform(upto(F.coalesce(F.col(f"up{s}"), F.lit(0))), lambda j, s=s: unit(b, mine, b + s, j, 0)) for s in (1, 2)],
-        *[F.transform(upto(F.coalesce(F.col(f"down{s}"), F.lit(0))), lambda j, s=s: unit(b - s, j, b, mine, 1)) for s in (1, 2)],
-    ]
-    large = large.select("node", "rep", F.explode(F.concat(*joins)).alias("x")).select("node", "rep", "x.unit", "x.side")
-    return small.unionByName(large)
+    rows = large.select("node", "rep", "size", "block", "absorbed", band.alias("band"))
+    count = F.ceil(F.greatest(F.count("*") / tile_sets, F.sum("size") / tile_shingles)).cast("int")
+    tiles = rows.groupBy("block", "band", "absorbed").agg(count.alias("tiles"))
+    # a log at a border may fall into either band; two bands away is then possible
+    reach = (-2, -1, 0, 1, 2)
+    spread = tiles.select("block", "absorbed", "tiles", F.explode(F.array(*[F.struct((F.col("band") - s).alias("band"), F.lit(s).alias("step")) for s in reach])).alias("x"))
+    name = lambda flag, s: f"{'ra'[flag]}{s + 2}"
+    around = spread.groupBy("block", F.col("x.band").alias("band")).agg(*[F.coalesce(F.max(F.when((F.col("absorbed") == flag) & (F.col("x.step") == s), F.col("tiles"))), F.lit(0)).alias(name(flag, s)) for flag in (0, 1) for s in reach])
+    rows = rows.join(around, ["block", "band"])
+    free, b = F.col("absorbed") == 0, F.col("band")
+    mine = F.pmod(F.hash("node"), F.when(free, F.col(name(0, 0))).otherwise(F.col(name(1, 0)))).cast("int")
+    rows = rows.withColumn("i", mine)
+    i = F.col("i")
+    unit = lambda kind, b1, i1, b2, i2, side: F.struct(F.struct("block", F.lit(kind).alias("kind"), b1.alias("band"), i1.alias("i"), b2.alias("other"), i2.alias("j")).alias("unit"), F.lit(side).alias("side"))
+    empty = F.array().cast("array<int>")
+
+    def upto(on, n):
+        return F.when(on & (n > 0), F.sequence(F.lit(0), n - 1)).otherwise(empty)
+
+    def each(on, n, make):
+        return F.transform(upto(on, n), make)
+
+    joins = [each(free, F.col(name(0, 0)), lambda j: F.when(j >= i, unit(0, b, i, b, j, 0)).otherwise(unit(0, b, j, b, i, 1)))]
+    for s in (1, 2):
+        joins.append(each(free, F.col(name(0, s)), _maker(unit, 0, b, i, s, 0)))
+        joins.append(each(free, F.col(name(0, -s)), _maker(unit, 0, b, i, -s, 1)))
+    for s in reach:
+        joins.append(each(free, F.col(name(1, s)), _maker(unit, 1, b, i, s, 0)))
+        joins.append(each(~free, F.col(name(0, s)), _maker(unit, 1, b, i, s, 1)))
+    return rows.select("node", "rep", F.explode(F.concat(*joins)).alias("x")).select("node", "rep", "x.unit", "x.side")
+
+
+def _maker(unit, kind: int, band, i, step: int, side: int):
+    """Units of a tile with tile j of the band ``step`` away; the first side of a unit comes first in its name."""
+    if side == 0:
+        return lambda j: unit(kind, band, i, band + step, j, 0)
+    return lambda j: unit(kind, band + step, j, band, i, 1)
 
 
 def links(docs: DataFrame, units: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) between nodes, as stars of each unit's components."""
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    wanted = units.select("rep", "node", F.xxhash64("unit").alias("unit"), ((F.col("unit.band") == F.col("unit.other")) & (F.col("unit.i") == F.col("unit.j"))).alias("alone"), "side")
+    wanted = units.select("rep", "node", F.xxhash64("unit").alias("unit"), ((F.col("unit.kind") == 0) & (F.col("unit.band") == F.col("unit.other")) & (F.col("unit.i") == F.col("unit.j"))).alias("alone"), "side")
     rows = texts.join(wanted.hint("shuffle_hash"), "rep").select("unit", "node", F.when(F.col("alone"), 2).otherwise(F.col("side")).alias("side"), "text")
     rows = rows.repartition("unit").sortWithinPartitions("unit")
 
@@ -339,7 +406,7 @@ def links(docs: DataFrame, units: DataFrame, id_col: str, text_col: str, k: int,
     return bounded_batches(rows).mapInArrow(of, "a long, b long")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN, tile_sets: int = TILE_SETS) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN, tile_sets: int = TILE_SETS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """One row per row of ``docs``: its id, n_shingles and component_id, the smallest id reachable by links."""
     rows = keep(shingle_nodes(docs, id_col, text_col, k), "shingles")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("size"))
@@ -350,7 +417,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = keep(edges, "candidates")
     blocks = keep(components(edges.select(F.col("node").alias("a"), F.col("hub").alias("b"))), "blocks")
     members = keep(nodes.join(blocks.withColumnRenamed("component", "block"), "node"), "members")
-    found = keep(links(docs, _units(members, num, den, tile_sets), id_col, text_col, k, num, den), "links")
+    small, large = _sized(members, tile_sets, tile_shingles)
+    units, linked = _whole(small), None
+    if large.limit(1).count():
+        linked = keep(_absorbed(docs, large, id_col, text_col, k, num, den), "absorbed")
+        known = linked.select(F.col("a").alias("node")).union(linked.select("b")).distinct().withColumn("absorbed", F.lit(1))
+        units = units.unionByName(_tiled(large.join(known, "node", "left").na.fill(0, ["absorbed"]), num, den, tile_sets, tile_shingles))
+    found = keep(links(docs, units, id_col, text_col, k, num, den), "links")
+    if linked is not None:
+        found = found.union(linked)
     joined = components(found)
     classes = nodes.join(joined, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))

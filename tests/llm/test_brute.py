@@ -139,6 +139,35 @@ def test_ngram_join(docs, texts, k, num, tiles):
     assert any(find(i) != i for i in sets)
 
 
+@pytest.mark.parametrize("tiles", [2, 5, 4096])
+def test_ngram_join_in_tiles(spark, tiles):
+    """Families of near copies, chains of edits and a shared passage, in blocks larger than a tile."""
+    base, passage = prose(70, 120), prose(71, 60)
+    docs = {i: edited(base, i, 1) for i in range(25)}
+    chain = prose(72, 150)
+    for i in range(25, 50):
+        chain = edited(chain, i, 2)
+        docs[i] = chain + (" tail" * (i % 3))
+    docs |= {i: prose(i, 60) + " " + passage for i in range(50, 60)}
+    sets = {i: shingles(t, 4) for i, t in docs.items()}
+    up = {i: i for i in sets}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(sets, 2):
+        if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            up[max(a, b)] = min(a, b)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for most in (4_000_000, 400):
+        got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(frame, tile_sets=tiles, tile_shingles=most).collect()}
+        assert got == {i: find(i) for i in sets}
+    assert 3 <= len(set(map(find, sets))) < 40
+
+
 @pytest.mark.parametrize("size", [1, 5, 7, 12, 30, 90, 400])
 def test_keys_of_linked_sets_meet(size):
     """Sets just within the similarity share a key, for many random pairs of every size."""
