@@ -99,7 +99,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # lines that share a half with another
     halves = distinct.select("h1", F.col("first.id").alias("id"), F.col("first.line").alias("line"), F.explode(F.array_distinct(F.array(*HALVES))).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half")
+    # minima are written before they are joined, so that Spark can split a join by a key that very many rows share
+    shared = keep(halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half"), "shared-halves")
     head = F.col("half").bitwiseAND(F.lit(1)) == 0
     gated = halves.drop("h1").join(shared, "half").groupBy("id", "line").agg(F.max(head).alias("head"), F.max(~head).alias("tail"))
     wanted = gated.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("line", "head", "tail")).alias("wanted"))
@@ -117,7 +118,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low, high = F.when(F.col("tail"), F.lit(0)).otherwise(half), F.when(F.col("head"), F.col("n")).otherwise(F.col("n") - half)
     keys = F.transform(F.sequence(low, high), lambda i: F.array(F.xxhash64(i, F.col("n"), F.get("before", i), F.get("after", i)), F.when(i < F.col("n"), F.xxhash64(i, F.col("n") - 1, F.get("before", i), F.get("after", i + 1)))))
     variants = keep(rows.select("first", F.explode(F.array_compact(F.flatten(keys))).alias("key")), "variants")
-    earliest = variants.groupBy("key").agg(F.min("first").alias("near"), F.max("first").alias("last")).where("last > near").select("key", "near")
+    earliest = keep(variants.groupBy("key").agg(F.min("first").alias("near"), F.max("first").alias("last")).where("last > near").select("key", "near"), "earliest")
     pairs = variants.join(earliest, "key").where("first > near").groupBy("first").agg(F.min("near").alias("near"))
 
     left, right = bodies.select("first", "h1", "h2", F.col("words").alias("a")), bodies.select(F.col("first").alias("near"), F.col("words").alias("b"))
@@ -125,7 +126,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # all occurrences: of lines with copies, and of lines with an earlier neighbour
     known = distinct.select("h1", "h2", "first", "copies").join(verified, ["h1", "h2"], "left").where("copies > 1 or near is not null")
-    known = known.select("h1", "h2", F.coalesce(F.least("near", "first"), F.col("first")).alias("keeper"), F.when(F.col("near") < F.col("first"), 1).otherwise(0).alias("edits"))
+    known = keep(known.select("h1", "h2", F.coalesce(F.least("near", "first"), F.col("first")).alias("keeper"), F.when(F.col("near") < F.col("first"), 1).otherwise(0).alias("edits")), "keepers")
     removed = every.select("id", "line", "h1", "h2").join(known, ["h1", "h2"]).where(place > F.col("keeper"))
     return removed.select(F.col("id").alias(id_col), F.col("line").cast("long").alias("line"), F.col("keeper.id").alias("keeper_id"), F.col("keeper.line").cast("long").alias("keeper_line"), F.col("edits").cast("long").alias("edits"))
 
