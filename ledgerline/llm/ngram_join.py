@@ -12,7 +12,8 @@ reaches num/den.  The search is exact:
    smallest elements), one of which any two linked sets share.
 2. Nodes that share a key fall into one block (connected components over
    key-to-smallest-node edges, so a key of any frequency makes one row for each
-   member).
+   member; the smallest node is found in two levels, within shares of a key's
+   rows and then among the shares).
 3. Each block is searched by signature trees: nodes carry the OR of their
    members' shingle bitmaps, the range of set sizes and the largest number of
    shingles that share a bit.  A dual traversal drops node pairs whose greatest
@@ -48,6 +49,8 @@ SHINGLE, NUM, DEN = 4, 85, 100
 TILE_SETS, TILE_SHINGLES = 4096, 4_000_000
 #: Bits of a signature, members of a leaf and children of a node.
 SIGNATURE_BITS, LEAF, FANOUT = 2048, 8, 8
+#: Shares into which the rows of a key are dealt; a key held by all rows makes groups of a share of them.
+SALTS = 1024
 #: Fingerprints that one task remembers in order not to send keys of a set again.
 SEEN_SETS = 500_000
 
@@ -267,7 +270,7 @@ def search(sets: list[np.ndarray], left: list[int], right: list[int] | None, num
 
 def _sized(members: DataFrame, tile_sets: int, tile_shingles: int) -> tuple[DataFrame, DataFrame]:
     """Members of blocks that one unit holds, and members of larger blocks."""
-    total = members.groupBy("block").agg(((F.count("*") > 2 * tile_sets) | (F.sum("size") > 2 * tile_shingles)).alias("large"))
+    total = keep(members.groupBy("block").agg(((F.count("*") > 2 * tile_sets) | (F.sum("size") > 2 * tile_shingles)).alias("large")), "block-sizes")
     sized = members.join(total, "block")
     return sized.where(~F.col("large")).drop("large"), sized.where("large").drop("large")
 
@@ -276,7 +279,7 @@ def _absorbed(docs: DataFrame, large: DataFrame, id_col: str, text_col: str, k:
     """Edges (a, b) from members of large blocks to the member with the smallest id, where they link.
 
     A block of copies of one document ends here, in work that grows with its size alone."""
-    first = large.groupBy("block").agg(F.min(F.struct("rep", "node", "size")).alias("hub"))
+    first = keep(large.groupBy("block").agg(F.min(F.struct("rep", "node", "size")).alias("hub")), "hubs")
     near = large.join(first, "block").where((F.col("node") != F.col("hub.node")) & (F.col("size") * den >= num * F.col("hub.size")) & (F.col("hub.size") * den >= num * F.col("size")))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
     hubs = texts.join(first.select(F.col("hub.rep").alias("rep"), F.col("hub.node").alias("hub_node")), "rep").select("hub_node", F.col("text").alias("hub_text"))
@@ -332,7 +335,7 @@ def _tiled(large: DataFrame, num: int, den: int, tile_sets: int, tile_shingles:
     spread = tiles.select("block", "absorbed", "tiles", F.explode(F.array(*[F.struct((F.col("band") - s).alias("band"), F.lit(s).alias("step")) for s in reach])).alias("x"))
     name = lambda flag, s: f"{'ra'[flag]}{s + 2}"
     around = spread.groupBy("block", F.col("x.band").alias("band")).agg(*[F.coalesce(F.max(F.when((F.col("absorbed") == flag) & (F.col("x.step") == s), F.col("tiles"))), F.lit(0)).alias(name(flag, s)) for flag in (0, 1) for s in reach])
-    rows = rows.join(around, ["block", "band"])
+    rows = rows.join(keep(around, "tiles"), ["block", "band"])
     free, b = F.col("absorbed") == 0, F.col("band")
     mine = F.pmod(F.hash("node"), F.when(free, F.col(name(0, 0))).otherwise(F.col(name(1, 0)))).cast("int")
     rows = rows.withColumn("i", mine)
@@ -411,10 +414,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = keep(shingle_nodes(docs, id_col, text_col, k), "shingles")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("size"))
     keyed = _key_rows(docs, text_col, k, num, den)
-    # one shuffle by key; each row meets the smallest node of its key
-    hub = F.min("node").over(Window.partitionBy("key"))
-    edges = keyed.select("node", hub.alias("hub")).where("node <> hub").distinct()
-    edges = keep(edges, "candidates")
+    # each row meets the smallest node among a share of its key's rows, and these minima meet the smallest of the key:
+    # a key that very many rows share is never one group
+    salted = keyed.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS)))
+    near = salted.select("key", "node", F.min("node").over(Window.partitionBy("key", "salt")).alias("hub"))
+    least = F.col("node") == F.col("hub")
+    near = near.select(F.when(least, F.col("key")).alias("key"), F.when(~least, F.col("node")).alias("other"), "node", "hub")
+    hub = F.when(F.col("other").isNull(), F.min("hub").over(Window.partitionBy("key", "other"))).otherwise(F.col("hub"))
+    edges = keep(near.select("node", hub.alias("hub")).where("node <> hub").distinct(), "candidates")
     blocks = keep(components(edges.select(F.col("node").alias("a"), F.col("hub").alias("b"))), "blocks")
     members = keep(nodes.join(blocks.withColumnRenamed("component", "block"), "node"), "members")
     small, large = _sized(members, tile_sets, tile_shingles)
@@ -428,7 +435,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = found.union(linked)
     joined = components(found)
     classes = nodes.join(joined, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = keep(classes, "classes")
+    least = keep(classes.groupBy("component").agg(F.min("rep").alias("component_id")), "class-ids")
     of_node = classes.join(least, "component").select("node", "component_id")
     out = rows.join(of_node, "node", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
