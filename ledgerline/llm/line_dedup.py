@@ -9,13 +9,17 @@ number), is within one edit of it; the earliest such line is its keeper.
 2. A line within one edit of another shares its first or its last words with it
    (half of the shorter one's, of which eight are enough to compare).  Lines that
    share neither with another line are done: only the others can have a neighbour.
-3. Each of these emits its variants within the bound as hashed keys: for every
-   gap between two words the line as it is, and for every word the line without
-   it, keyed by the gap, the words before and the words after.  Lines with equal
-   variants are within one edit of each other, so each key's earliest line is a
-   neighbour of all others under the key: the join is with that one line, never
-   of all pairs.
-4. The earliest neighbour found is verified on the words themselves.
+3. Each of these is cut into about as many regions as a region has words, once by
+   its own length and once by that less one (as the longer partner).  Two lines
+   within one edit agree outside of one region: what lies outside is hashed, and
+   only regions in which another line agrees go on.
+4. Such a region emits its variants within the bound as hashed keys: for every
+   gap between two words the region as it is, and for every word the region
+   without it, keyed by the place, the rest of the line and the words.  Lines
+   with equal variants are within one edit of each other, so each key's earliest
+   line is a neighbour of all others under the key: the join is with that one
+   line, never of all pairs.
+5. The earliest neighbour found is verified on the words themselves.
 
 Only built-in functions run.  Nulls and empty texts have no lines that take
 part.  Rows with a null id neither lose lines nor make others lose them.  Rows
@@ -74,11 +78,35 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     return rows.select("id", "line", "n", *digest(F.col("text")), *_halves(F.col("text"), F.col("n")))
 
 
-def _variants(words: Column) -> tuple[Column, Column]:
-    """Hashes of the words before each gap and after it; n + 1 of each, order-sensitive."""
-    none = F.array(F.lit(0).cast("long"))
-    run = lambda items: F.aggregate(items, none, lambda acc, w: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), w))))
-    return run(words), F.reverse(run(F.reverse(words)))
+def _cut(k: Column, short: Column) -> Column:
+    """Where region k of a line with ``short`` words, or of one with a word more, begins."""
+    return F.floor(k * (short + 1) / _regions(short)).cast("int")
+
+
+def _regions(short: Column) -> Column:
+    return F.floor(F.sqrt(short + 1)).cast("int")
+
+
+def _role(words: Column, longer: bool) -> Column:
+    """A line as the shorter or the longer of two that differ by a word: hashes of its regions, aligned with the
+    partner's first words and with its last."""
+    short = F.size(words) - int(longer)
+    ks = F.sequence(F.lit(0), _regions(short) - 1)
+    hashes = lambda shift: F.transform(ks, lambda k: F.xxhash64(F.slice(words, F.greatest(_cut(k, short) + shift, F.lit(1)), _cut(k + 1, short) - _cut(k, short))))
+    return F.struct(short.alias("short"), F.lit(longer).alias("longer"), hashes(1).alias("head"), hashes(1 if longer else 0).alias("tail"))
+
+
+def _outsides(head: Column, tail: Column, short: Column) -> Column:
+    """For every region, the hash of all other regions."""
+    return F.transform(F.sequence(F.lit(0), F.size(head) - 1), lambda r: F.struct(r.alias("region"), F.xxhash64(short, r, F.slice(head, F.lit(1), r), F.slice(tail, r + 2, F.size(tail))).alias("outside")))
+
+
+def _variants(words: Column, short: Column, longer: Column, region: Column, outside: Column) -> Column:
+    """Keys of a region's variants: without each of its words (longer), or as it is for each of its gaps."""
+    begin = _cut(region, short)
+    length = _cut(region + 1, short) - begin
+    cut = lambda o: F.concat(F.slice(words, begin + 1, o), F.slice(words, begin + o + 2, length - o - 1))
+    return F.transform(F.sequence(F.lit(0), length - 1), lambda o: F.xxhash64(outside, o, F.when(longer, cut(o)).otherwise(F.slice(words, begin + 1, length - 1))))
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -101,23 +129,24 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     halves = distinct.select("h1", F.col("first.id").alias("id"), F.col("first.line").alias("line"), F.explode(F.array_distinct(F.array(*HALVES))).alias("half"))
     # minima are written before they are joined, so that Spark can split a join by a key that very many rows share
     shared = keep(halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half"), "shared-halves")
-    head = F.col("half").bitwiseAND(F.lit(1)) == 0
-    gated = halves.drop("h1").join(shared, "half").groupBy("id", "line").agg(F.max(head).alias("head"), F.max(~head).alias("tail"))
-    wanted = gated.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("line", "head", "tail")).alias("wanted"))
+    wanted = halves.drop("h1").join(shared, "half").groupBy(F.col("id").alias("_id")).agg(F.collect_set("line").alias("wanted"))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.split(normal(F.col(text_col).cast("string")), "\n").alias("body"))
-    found = texts.join(wanted.hint("shuffle_hash"), "_id").select("_id", F.explode(F.transform("wanted", lambda w: F.struct(w.alias("w"), F.get("body", w["line"]).alias("line")))).alias("x"))
-    bodies = found.select(F.struct(F.col("_id").alias("id"), F.col("x.w.line").alias("line")).alias("first"), "x.w.head", "x.w.tail", F.trim(F.col("x.line")).alias("text"))
+    found = texts.join(wanted.hint("shuffle_hash"), "_id").select("_id", F.explode(F.transform("wanted", lambda w: F.struct(w.alias("line"), F.get("body", w).alias("text")))).alias("x"))
+    bodies = found.select(F.struct(F.col("_id").alias("id"), F.col("x.line").alias("line")).alias("first"), F.trim(F.col("x.text")).alias("text"))
     # dealt evenly, for what follows is heavy and the rows are few; equal lines are one (a repeated id may carry another text)
-    bodies = bodies.select("first", "head", "tail", *digest(F.col("text")), F.split("text", " ").alias("words")).where(F.size("words") >= min_words)
+    bodies = bodies.select("first", *digest(F.col("text")), F.split("text", " ").alias("words")).where(F.size("words") >= min_words)
     bodies = keep(bodies.repartition("h1", "h2").dropDuplicates(["h1", "h2"]), "near-lines")
 
-    # variants: by gap, the words before it and the words after it, with or without one word between
-    before, after = _variants(F.col("words"))
-    rows = bodies.select("first", F.size("words").alias("n"), "head", "tail", before.alias("before"), after.alias("after"))
-    half = F.least(F.floor((F.col("n") - 1) / 2), F.lit(HALF_WORDS)).cast("int")
-    low, high = F.when(F.col("tail"), F.lit(0)).otherwise(half), F.when(F.col("head"), F.col("n")).otherwise(F.col("n") - half)
-    keys = F.transform(F.sequence(low, high), lambda i: F.array(F.xxhash64(i, F.col("n"), F.get("before", i), F.get("after", i)), F.when(i < F.col("n"), F.xxhash64(i, F.col("n") - 1, F.get("before", i), F.get("after", i + 1)))))
-    variants = keep(rows.select("first", F.explode(F.array_compact(F.flatten(keys))).alias("key")), "variants")
+    # regions outside of which another line is the same
+    words = F.col("words")
+    roles = bodies.select("first", "h1", F.explode(F.array(_role(words, False), _role(words, True))).alias("role")).select("first", "h1", "role.*")
+    outsides = roles.select("first", "h1", "short", "longer", F.inline(_outsides(F.col("head"), F.col("tail"), F.col("short"))))
+    outsides = keep(outsides, "outsides")
+    agree = keep(outsides.groupBy("outside").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("outside"), "agreeing")
+    regions = outsides.join(agree, "outside").join(bodies.select("first", "h1", "words"), ["first", "h1"])
+
+    # their variants
+    variants = keep(regions.select("first", F.explode(_variants(words, F.col("short"), F.col("longer"), F.col("region"), F.col("outside"))).alias("key")), "variants")
     earliest = keep(variants.groupBy("key").agg(F.min("first").alias("near"), F.max("first").alias("last")).where("last > near").select("key", "near"), "earliest")
     pairs = variants.join(earliest, "key").where("first > near").groupBy("first").agg(F.min("near").alias("near"))
 

@@ -56,7 +56,8 @@ def docs(spark, texts):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
 
 
-def test_line_dedup(docs, texts):
+def check_lines(docs, texts):
+    """Line dedup against all pairs of lines."""
     lines = [((i, k), w) for i, t in texts.items() for k, line in enumerate(t.split("\n")) if len(w := tuple(line.lower().split())) >= 5]
 
     def one(a, b):
@@ -75,6 +76,21 @@ def test_line_dedup(docs, texts):
     assert got == expected and any(e for _, e in expected.values())
 
 
+def test_line_dedup(docs, texts):
+    check_lines(docs, texts)
+
+
+def test_line_dedup_at_every_place(spark):
+    texts, r = {}, random.Random(3)
+    for n in (5, 6, 8, 13, 30):
+        w = [f"{r.choice(WORDS)}{n}" for _ in range(n)]
+        first = len(texts)
+        texts[first] = "\n".join(" ".join(w[:i] + ["same"] * (n % 2) + w[i + 1 :]) for i in range(n))
+        texts[first + 1] = "\n".join(" ".join(w[:i] + ["new", w[i]] + w[i + 1 :]) for i in range(n)) + "\n" + " ".join(w)
+        texts[first + 2] = "\n".join(" ".join(["odd"] * (i % 2) + w[:i] + w[i + 2 :] + [f"x{i}"]) for i in range(n))
+    check_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts)
+
+
 def test_license_scan(docs, texts):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     got = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
