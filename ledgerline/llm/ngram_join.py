@@ -12,8 +12,8 @@ reaches num/den.  The search is exact:
    smallest elements), one of which any two linked sets share.
 2. Nodes that share a key fall into one block (connected components over
    key-to-smallest-node edges, so a key of any frequency makes one row for each
-   member; the smallest node is found in two levels, within shares of a key's
-   rows and then among the shares).
+   member; a task that meets a key again sends an edge to the first node it met
+   instead of the key, so that a frequent key makes about a row for each task).
 3. Each block is searched by signature trees: nodes carry the OR of their
    members' shingle bitmaps, the range of set sizes and the largest number of
    shingles that share a bit.  A dual traversal drops node pairs whose greatest
@@ -49,8 +49,8 @@ SHINGLE, NUM, DEN = 4, 85, 100
 TILE_SETS, TILE_SHINGLES = 4096, 4_000_000
 #: Bits of a signature, members of a leaf and children of a node.
 SIGNATURE_BITS, LEAF, FANOUT = 2048, 8, 8
-#: Shares into which the rows of a key are dealt; a key held by all rows makes groups of a share of them.
-SALTS = 1024
+#: Frequent keys of which one task remembers the first node.
+SEEN_KEYS = 200_000
 #: Fingerprints that one task remembers in order not to send keys of a set again.
 SEEN_SETS = 500_000
 
@@ -143,10 +143,36 @@ def shingle_nodes(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFr
     return bounded_batches(rows).mapInArrow(of, "id long, n_shingles long, node long")
 
 
+def _combined(key: np.ndarray, node: np.ndarray, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (key, node), one for each key that is not ``known``, and edges (node, hub) for all others that hold a key.
+
+    ``known`` are sorted keys and their first nodes; keys held by several nodes are added to it while it has room."""
+    once, at, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    hub = node[at]
+    place = np.minimum(np.searchsorted(known[0], once), max(len(known[0]) - 1, 0))
+    old = known[0][place] == once if len(known[0]) else np.zeros(len(once), dtype=bool)
+    hub[old] = known[1][place[old]]
+    apart = node != hub[inverse]
+    a, b = node[apart], hub[inverse][apart]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    more = np.flatnonzero(~old & (counts > 1))[: max(0, SEEN_KEYS - len(known[0]))]
+    if len(more):
+        keys = np.concatenate((known[0], once[more]))
+        order = np.argsort(keys)
+        known[:] = [keys[order], np.concatenate((known[1], hub[more]))[order]]
+    return once[~old], hub[~old], a[new], b[new]
+
+
 def _key_rows(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """Rows (key, node) and, with ``hub`` set, edges, whose key only spreads them."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: list = []
         seen: set[int] = set()
+        known = [np.zeros(0, U), np.zeros(0, U)]
         for batch in batches:
             for _, _, texts in rounds(batch.column(0)):
                 sets, first = shingle_sets(texts, k)
@@ -157,11 +183,14 @@ def _key_rows(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> Dat
                     seen.update(nodes[fresh].tolist())
                 largest = int(np.diff(first).max(initial=1))
                 key, who = _keys(sets, first, np.array(fresh, dtype=np.int64), _bands_for(cache, num, den, largest), num, den)
-                for c in range(0, len(key), 200_000):
-                    part = slice(c, c + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(key[part])), pa.array(signed(nodes[who[part]]))], ["key", "node"])
+                key, node, a, b = _combined(key, nodes[who], known)
+                for keys, ends, hubs in ((key, node, None), (mix(a ^ U(0x94D049BB133111EB)), a, b)):
+                    for c in range(0, len(keys), 200_000):
+                        part = slice(c, c + 200_000)
+                        hub = pa.nulls(len(keys[part]), pa.int64()) if hubs is None else pa.array(signed(hubs[part]))
+                        yield pa.RecordBatch.from_arrays([pa.array(signed(keys[part])), pa.array(signed(ends[part])), hub], ["key", "node", "hub"])
 
-    return bounded_batches(docs.select(F.col(text_col).cast("string").alias("text"))).mapInArrow(of, "key long, node long")
+    return bounded_batches(docs.select(F.col(text_col).cast("string").alias("text"))).mapInArrow(of, "key long, node long, hub long")
 
 
 class Tree:
@@ -414,14 +443,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = keep(shingle_nodes(docs, id_col, text_col, k), "shingles")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("size"))
     keyed = _key_rows(docs, text_col, k, num, den)
-    # each row meets the smallest node among a share of its key's rows, and these minima meet the smallest of the key:
-    # a key that very many rows share is never one group
-    salted = keyed.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS)))
-    near = salted.select("key", "node", F.min("node").over(Window.partitionBy("key", "salt")).alias("hub"))
-    least = F.col("node") == F.col("hub")
-    near = near.select(F.when(least, F.col("key")).alias("key"), F.when(~least, F.col("node")).alias("other"), "node", "hub")
-    hub = F.when(F.col("other").isNull(), F.min("hub").over(Window.partitionBy("key", "other"))).otherwise(F.col("hub"))
-    edges = keep(near.select("node", hub.alias("hub")).where("node <> hub").distinct(), "candidates")
+    # one shuffle by key; each row meets the smallest node of its key (each task sends few rows of a key, see _key_rows)
+    hub = F.coalesce("hub", F.min("node").over(Window.partitionBy("key")))
+    edges = keep(keyed.select("node", hub.alias("hub")).where("node <> hub").distinct(), "candidates")
     blocks = keep(components(edges.select(F.col("node").alias("a"), F.col("hub").alias("b"))), "blocks")
     members = keep(nodes.join(blocks.withColumnRenamed("component", "block"), "node"), "members")
     small, large = _sized(members, tile_sets, tile_shingles)
