@@ -3,7 +3,8 @@
 Text is read as words (A-Z lower-cased; letters, digits and all non-ASCII
 characters belong to words) joined by single blanks.  Rules are regexes over that
 string with a label, a priority and a keyword; a rule's regex runs only where its
-keyword stands, and no rule runs on a text that a cheap first pattern rules out.
+keyword stands, and no rule of FAMILIES runs on a text that a cheap first pattern
+rules out; rules that the caller gives run on every text.
 A detection inside one of the same or a higher priority is suppressed, the
 earlier rule winning on equal places.  Four base phrases are counted besides;
 their labels always stay.
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: What any detection needs somewhere in the raw text.
-GATE = r"(?i)licen[cs]e|copyright|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain|cc[^a-z0-9]|cc0|spdx|warrant|copyleft|freeware|proprietary|gpl"
+#: What any detection of FAMILIES or BASE needs somewhere in the raw text (a test runs every rule's own names through it).
+GATE = r"(?i)licen[cs]e|copyright|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain|cc[^a-z0-9]|cc0|spdx|warrant|copyleft|freeware|proprietary|gpl|bsd|wtfpl|commons|beer[^a-z0-9]*ware|cecill|open[^a-z0-9]*rail|nasa[^a-z0-9]+open"
 
 _L = "licen[cs]e"
 #: Signatures: label, name pattern, keyword that the name holds, versions.
@@ -186,7 +187,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``detections``, the surviving ones as (label, start, end, priority) in words."""
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), raw.alias("text"))
-    rows = rows.withColumns({"words": F.array_remove(F.split("text", SEPARATORS), ""), "gated": F.col("text").rlike(GATE)})
+    rows = rows.withColumns({"words": F.array_remove(F.split("text", SEPARATORS), ""), "gated": F.col("text").rlike(GATE) if table is None else F.lit(True)})
     lower = F.translate(F.array_join("words", " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = rows.select("id", F.size("words").alias("n"), F.when(F.col("gated") & (F.size("words") > 0), F.concat(F.lit(" "), lower, F.lit(" "))).alias("norm"))
     counts, firsts, lasts, names = [], [], [], []
