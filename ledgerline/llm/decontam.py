@@ -85,16 +85,17 @@ class Items:
         self.table[(self.keys >> U(64 - _TABLE_BITS)).astype(np.int64)] = True
 
 
-def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
+def align(item: np.ndarray, region: np.ndarray, free: int | None = None) -> tuple[int, int]:
     """Least edits that turn ``item`` into a part of ``region``, and where that part ends.
 
-    One row for each byte of the item over the band of diagonals that the region spans.
+    One row for each byte of the item over the band of diagonals that the region spans.  A part may
+    begin anywhere, or after ``free`` bytes at a cost of one for each byte more.
     """
     width = max(len(region) - len(item), 0) + 1
     index = np.arange(width)
     padded = np.full(len(item) + width, -1, dtype=np.int16)
     padded[: len(region)] = region
-    cost = np.zeros(width, dtype=np.int64)
+    cost = np.zeros(width, dtype=np.int64) if free is None else np.maximum(index - free, 0)
     for i, byte in enumerate(item):
         step = cost + (padded[i : i + width] != byte)
         step[:-1] = np.minimum(step[:-1], cost[1:] + 1)
@@ -112,11 +113,16 @@ def _verify(items: Items, item: int, body: np.ndarray, low: int, high: int) -> t
     if found >= 0:
         return 0, a + found, a + found + m
     wanted = np.frombuffer(items.items[item], dtype=np.uint8)
-    edits, end = align(wanted, region)
+    # bytes that equal none stand for what lies outside of the text, so that a loss at its borders has its diagonals
+    framed = lambda part, before, after: np.pad(part.astype(np.int16), (before, after), constant_values=-1)
+    before = a - (low - k)
+    edits, end = align(wanted, framed(region, before, high + m + k - b))
     if edits > k:
         return None
-    back = align(wanted[::-1], region[max(0, end - m - k) : end][::-1])[1]
-    return edits, a + end - back, a + end
+    end = min(end - before, len(region))
+    part = region[max(0, end - m - k) : end][::-1]
+    back = align(wanted[::-1], framed(part, k, m + k - len(part)), free=k)[1] - k
+    return edits, a + end - min(back, len(part)), a + end
 
 
 def _hits(items: Items, body: np.ndarray, begin: np.ndarray):
