@@ -3,7 +3,9 @@
 A line is a text's part between newlines; its words (blanks split, lower-cased)
 are what is compared, and edits are counted in words.  Lines of at least
 ``min_words`` words take part.  A line goes when an earlier line, by (id, line
-number), is within one edit of it; the earliest such line is its keeper.
+number), is within one edit of it; the earliest such line is its keeper.  With
+``short``, as in the pipeline, shorter lines that are not blank go too when an
+earlier line equals them, so that lines in scripts without blanks are reached.
 
 1. Equal lines collapse to their first occurrence.
 2. A line within one edit of another shares its first or its last words with it
@@ -69,13 +71,15 @@ def digest(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per line that takes part: id, line, words, digest (h1, h2) and half keys."""
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
+    """One row per line that takes part: id, line, words, digest (h1, h2) and half keys (null for a short line)."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(normal(F.col(text_col).cast("string")), "\n")).alias("line", "body"))
     # a line of that many words has as many characters and the blanks between
-    rows = rows.where(F.length("body") >= 2 * min_words - 1).select("id", "line", F.trim("body").alias("text"))
-    rows = rows.withColumn("n", word_count(F.col("text"))).where(F.col("n") >= min_words)
-    return rows.select("id", "line", "n", *digest(F.col("text")), *_halves(F.col("text"), F.col("n")))
+    rows = rows.where(F.length("body") >= (1 if short else 2 * min_words - 1)).select("id", "line", F.trim("body").alias("text"))
+    rows = rows.withColumn("n", word_count(F.col("text"))).where(F.col("n") >= (1 if short else min_words))
+    halves = _halves(F.col("text"), F.col("n"))
+    halves = [F.when(F.col("n") >= min_words, h).alias(name) for h, name in zip(halves, HALVES)] if short else halves
+    return rows.select("id", "line", "n", *digest(F.col("text")), *halves)
 
 
 def _cut(k: Column, short: Column) -> Column:
@@ -119,14 +123,15 @@ def _within_one(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), same).when(F.size(longer) == F.size(shorter) + 1, gone).otherwise(F.lit(False))
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """One row per line to remove: doc_id, line (from 0), keeper_id, keeper_line and edits (0 or 1)."""
-    every = keep(lines(docs, id_col, text_col, min_words), "lines")
+    every = keep(lines(docs, id_col, text_col, min_words, short), "lines")
     place = F.struct("id", "line")
     distinct = keep(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *[F.any_value(h).alias(h) for h in HALVES]), "distinct-lines")
 
     # lines that share a half with another
-    halves = distinct.select("h1", F.col("first.id").alias("id"), F.col("first.line").alias("line"), F.explode(F.array_distinct(F.array(*HALVES))).alias("half"))
+    near = distinct.where(f"{HALVES[0]} is not null") if short else distinct
+    halves = near.select("h1", F.col("first.id").alias("id"), F.col("first.line").alias("line"), F.explode(F.array_distinct(F.array(*HALVES))).alias("half"))
     # minima are written before they are joined, so that Spark can split a join by a key that very many rows share
     shared = keep(halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half"), "shared-halves")
     wanted = halves.drop("h1").join(shared, "half").groupBy(F.col("id").alias("_id")).agg(F.collect_set("line").alias("wanted"))
@@ -172,5 +177,5 @@ def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", t
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` after line dedup, all other columns as they are."""
-    return without_lines(docs, keep(duplicate_lines(docs, id_col, text_col, min_words), "removed-lines"), id_col, text_col, min_words)
+    """``docs`` after line dedup, short lines included, all other columns as they are."""
+    return without_lines(docs, keep(duplicate_lines(docs, id_col, text_col, min_words, short=True), "removed-lines"), id_col, text_col, min_words)
