@@ -165,17 +165,17 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return removed.select(F.col("id").alias(id_col), F.col("line").cast("long").alias("line"), F.col("keeper.id").alias("keeper_id"), F.col("keeper.line").cast("long").alias("keeper_line"), F.col("edits").cast("long").alias("edits"))
 
 
-def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the lines cut from their texts; a document that loses lines and keeps none that took part goes."""
+def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the lines cut from their texts; a document that loses lines and keeps only blanks goes."""
     key, gone = "__line_dedup_id", "__line_dedup_gone"  # apart from any column of docs
     sets = removed.groupBy(F.col(id_col).alias(key)).agg(F.collect_set("line").alias(gone))
     joined = docs.join(sets.hint("shuffle_hash"), docs[id_col] == sets[key], "left")
     rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(gone, i.cast("long"))), "\n")
     out = joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest))
-    left = F.exists(F.split(text_col, "\n"), lambda line: word_count(F.trim(normal(line))) >= min_words)
+    left = F.exists(F.split(text_col, "\n"), lambda line: F.trim(normal(line)) != "")
     return out.where(F.col(gone).isNull() | left).drop(key, gone)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` after line dedup, short lines included, all other columns as they are."""
-    return without_lines(docs, keep(duplicate_lines(docs, id_col, text_col, min_words, short=True), "removed-lines"), id_col, text_col, min_words)
+    return without_lines(docs, keep(duplicate_lines(docs, id_col, text_col, min_words, short=True), "removed-lines"), id_col, text_col)
