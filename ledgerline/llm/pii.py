@@ -2,7 +2,7 @@
 
 Base kinds (email, ip, card, phone) are exact patterns with checks.  Further
 spans come from candidates: tokens with a digit or an at sign.  Labelers (regex,
-gazetteer of names before the token, shape of the token and of its context) vote
+words before the token, shape of the token and of its context) vote
 on each candidate; the votes of a candidate are one integer.  Expectation-
 maximisation over counts of these integers (bounded by 2**labelers, whatever the
 number of rows) estimates the labelers' reliabilities and a posterior for each;
