@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import drop_since, keep, mark
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -14,12 +14,15 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Each round links every node's larger neighbours, then its smaller ones, to the smallest
     neighbour; the edges end as stars.  The number of rounds grows with the logarithm of the
     longest chain.  Both steps are grouped minima and equi-joins; minima and rounds are written to
-    the shared folder, so that Spark can split the joins at nodes with very many edges.  Nulls and loops are ignored; a node without an edge has no row.
+    the shared folder, so that Spark can split the joins at nodes with very many edges, and deleted
+    once the next round stands.  Nulls and loops are ignored; a node without an edge has no row.
     """
+    spark = edges.sparkSession
+    begin = mark()
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = keep(now, "edges")
     before = None
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
         # large star: both directions; v > u goes to the smallest around u
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
@@ -27,7 +30,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         # small star: a > b; every smaller neighbour of a, and a itself, goes to the smallest
         least = keep(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        now = keep(small, "edges")
+        now = keep(small, f"stars{turn}")
+        drop_since(spark, begin, f"stars{turn}")
         state = now.agg(F.count("*"), F.sum(F.col("a").cast("decimal(20,0)")), F.sum(F.col("b").cast("decimal(20,0)")), F.countDistinct("a")).first()
         if tuple(state) == before and state[0] == state[3]:
             break
