@@ -1,8 +1,8 @@
 """Best-fit packing by the sum-of-squares rule.
 
 Every document becomes token ids plus one end id.  A document longer than a
-sequence is cut so that only its first piece may be short.  Pieces are dealt by
-hash into shards of a bounded number of rows (the number of shards grows with
+sequence is cut so that only its first piece may be short.  Pieces are dealt row by
+row into shards of a bounded number of rows (the number of shards grows with
 the table); within a shard, pieces are placed largest first, each where the sum
 of the squared counts of open sequences per residual gap becomes smallest, the
 tighter gap on a tie.  Sequences of different shards never mix, which costs at
@@ -31,11 +31,14 @@ END_ID = 0
 #: Mean rows of a shard, which one task packs.
 SHARD_ROWS = 50_000
 
+#: The vocabulary's added tokens; where a text says one it is that id, as in byte_bpe_50k.json.
+ADDED = {"<|endoftext|>": 50256}
+
 _encoders: dict[str, object] = {}
 
 
 def _encoder(ranks_path: str | None):
-    """Byte-level BPE of the public 50k vocabulary; a rank file gives the same ids as the JSON one, faster."""
+    """Byte-level BPE of the public 50k vocabulary; with the added tokens a rank file gives the ids of the JSON one, faster."""
     import public_tokenizers
     import tiktoken
 
@@ -43,7 +46,7 @@ def _encoder(ranks_path: str | None):
     if path not in _encoders:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
     return _encoders[path]
 
 
@@ -64,7 +67,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             rows: list[list] = [[], [], [], [], []]
             kept: list[np.ndarray] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array(encoder.encode_ordinary(text.as_py() or "") + [END_ID], dtype="<u4")
+                ids = np.array(encoder.encode(text.as_py() or "", allowed_special="all") + [END_ID], dtype="<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     part = ids[start : start + length]
                     for column, value in zip(rows, (doc, k, start, length, zlib.crc32(part.tobytes()))):
@@ -109,10 +112,12 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Rows of ``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
+    """Rows of ``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
+
+    ``pieces`` is a stored table: a task that is run again deals its rows as before."""
     shards = -(-max(pieces.count(), 1) // shard_rows)
-    # by length order and id, so that a shard lost with its executor is packed the same way again
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    # by the row's place in the stored files, so that repeated rows and null ids spread too
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
 
     def of(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
