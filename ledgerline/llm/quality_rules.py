@@ -7,12 +7,15 @@ ratios with fences around the quartiles of their language and source.  The
 quartiles come from log-linear histograms: a value's bucket keeps its five
 leading bits, so a quantile is off by at most a sixteenth, buckets of any two
 parts of the data merge by adding counts, and the result does not depend on
-the order of rows.  A language and source with fewer than ``min_group``
-documents takes its language's fences, and a small language those of all
-documents.  The fences are joined to the documents' measures.
+the order of rows.  Only documents that pass the base rules are counted.  A
+group's quartiles are drawn towards its language's, and these towards those of
+all documents, as if ``weight`` documents of the wider kind stood in each: large
+groups stand for themselves, small ones lean on the wider ones, without a step
+at any size.  The fences are joined to the documents' measures.
 
 Null texts count as empty and fail the base rules.  Null languages and sources
-are groups of their own.  Repeated rows count once each.  Windows are compared
+are groups of their own.  Repeated rows count once each.  A group without a document that
+passes the base rules has no fences and needs none.  Windows are compared
 by 64-bit hash.
 """
 
@@ -25,8 +28,8 @@ from .store import keep
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Documents that a group needs for fences of its own; fences are this many spreads beyond the quartiles.
-MIN_GROUP, REACH = 200, 3
+#: Documents of the wider kind that a group's quartiles count in; fences are this many spreads beyond the quartiles.
+WEIGHT, REACH = 200, 3
 #: metric: least spread, whether low values fail too.  Ratios are per thousand, word length in hundredths.
 METRICS = {"symbols": (30, False), "dup_lines": (100, False), "repeats": (50, False), "word_length": (50, True)}
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
@@ -107,7 +110,7 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, "metric", bucket_low(F.col("b1")).alias("q1"), bucket_low(F.col("b3")).alias("q3"), "docs")
 
 
-def fences(sketch: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> DataFrame:
+def fences(sketch: DataFrame, weight: int = WEIGHT, reach: int = REACH) -> DataFrame:
     """One row per language and source: low and high bound of each metric."""
     own, wide, every = quartiles(sketch, ["lang", "source"]), quartiles(sketch, ["lang"]), quartiles(sketch, [])
     name = lambda df, tag: df.select(*[c for c in ("lang", "source") if c in df.columns], "metric", *[F.col(c).alias(f"{c}_{tag}") for c in ("q1", "q3", "docs")])
@@ -116,17 +119,18 @@ def fences(sketch: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) ->
     e = F.broadcast(name(every, "e").withColumnRenamed("metric", "e_metric"))
     o = name(own, "o")
     all_ = o.join(w, o["lang"].eqNullSafe(w["w_lang"]) & (o["metric"] == w["w_metric"])).join(e, F.col("metric") == F.col("e_metric"))
-    pick = lambda c: F.when(F.col("docs_o") >= min_group, F.col(f"{c}_o")).when(F.col("docs_w") >= min_group, F.col(f"{c}_w")).otherwise(F.col(f"{c}_e"))
+    wider = lambda c: f"((docs_w * {c}_w + {weight} * {c}_e) div (docs_w + {weight}))"
+    pick = lambda c: F.expr(f"(docs_o * {c}_o + {weight} * {wider(c)}) div (docs_o + {weight})")
     spread = F.greatest(pick("q3") - pick("q1"), F.coalesce(*[F.when(F.col("metric") == m, F.lit(s)) for m, (s, _) in METRICS.items()]))
     bounds = all_.select("lang", "source", "metric", (pick("q1") - reach * spread).alias("low"), (pick("q3") + reach * spread).alias("high"))
     cell = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}")
     return bounds.groupBy("lang", "source").agg(*[cell(m, c) for m in METRICS for c in ("low", "high")])
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = MIN_GROUP, reach: int = REACH) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", weight: int = WEIGHT, reach: int = REACH) -> DataFrame:
     """Per row of ``docs``: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     rows = ratios(keep(measures(docs, id_col, text_col, lang_col, source_col), "measures"))
-    limits = fences(sketches(rows), min_group, reach)
+    limits = fences(sketches(rows.where(~base_failed())), weight, reach)
     limits = limits.withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
     judged = rows.join(limits, rows["lang"].eqNullSafe(limits["f_lang"]) & rows["source"].eqNullSafe(limits["f_source"]), "left")
     inside = F.lit(True)
