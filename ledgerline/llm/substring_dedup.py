@@ -74,7 +74,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the document of the earliest occurrence of the span's first unit."""
     rows = keep(units(docs, id_col, text_col, unit_words), "units")
     place = F.struct("id", "unit")
-    first = rows.groupBy("h1", "h2").agg(F.min(place).alias("keeper"), F.max(place).alias("latest")).where("latest > keeper").drop("latest")
+    # written before the join, so that Spark can split it at a unit that very many documents share
+    first = keep(rows.groupBy("h1", "h2").agg(F.min(place).alias("keeper"), F.max(place).alias("latest")).where("latest > keeper").drop("latest"), "first-units")
     marked = rows.join(first, ["h1", "h2"]).where(place > F.col("keeper")).select("id", "unit", "start", "end", "n_words", F.col("keeper.id").alias("keeper_id"))
     order = Window.partitionBy("id").orderBy("unit")
     # repeated ids give a unit twice: it counts once
