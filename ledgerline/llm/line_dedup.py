@@ -1,11 +1,12 @@
 """Line dedup by a deletion-neighbourhood join.
 
 A line is a text's part between newlines; its words (blanks split, lower-cased)
-are what is compared, and edits are counted in words.  Lines of at least
-``min_words`` words take part.  A line goes when an earlier line, by (id, line
-number), is within one edit of it; the earliest such line is its keeper.  With
-``short``, as in the pipeline, shorter lines that are not blank go too when an
-earlier line equals them, so that lines in scripts without blanks are reached.
+are what is compared, and edits are counted in words.  A line that is not blank
+goes when an earlier line, by (id, line number), equals it; one of at least
+``min_words`` words also when an earlier line of as many is within one edit.
+The earliest such line is its keeper.  (Of shorter lines one word is so large a
+part that another one is another line; in scripts without blanks a whole line
+counts as a word.)
 
 1. Equal lines collapse to their first occurrence.
 2. A line within one edit of another shares its first or its last words with it
@@ -34,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import drop_since, keep, mark
 
 MIN_WORDS = 5
 
@@ -71,14 +72,12 @@ def digest(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per line that takes part: id, line, words, digest (h1, h2) and half keys (null for a short line)."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(normal(F.col(text_col).cast("string")), "\n")).alias("line", "body"))
-    # a line of that many words has as many characters and the blanks between
-    rows = rows.where(F.length("body") >= (1 if short else 2 * min_words - 1)).select("id", "line", F.trim("body").alias("text"))
-    rows = rows.withColumn("n", word_count(F.col("text"))).where(F.col("n") >= (1 if short else min_words))
-    halves = _halves(F.col("text"), F.col("n"))
-    halves = [F.when(F.col("n") >= min_words, h).alias(name) for h, name in zip(halves, HALVES)] if short else halves
+    rows = rows.where(F.length("body") >= 1).select("id", "line", F.trim("body").alias("text"))
+    rows = rows.withColumn("n", word_count(F.col("text"))).where(F.col("n") >= 1)
+    halves = [F.when(F.col("n") >= min_words, h).alias(name) for h, name in zip(_halves(F.col("text"), F.col("n")), HALVES)]
     return rows.select("id", "line", "n", *digest(F.col("text")), *halves)
 
 
@@ -123,20 +122,21 @@ def _within_one(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), same).when(F.size(longer) == F.size(shorter) + 1, gone).otherwise(F.lit(False))
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per line to remove: doc_id, line (from 0), keeper_id, keeper_line and edits (0 or 1)."""
-    every = keep(lines(docs, id_col, text_col, min_words, short), "lines")
+    begin = mark()
+    every = keep(lines(docs, id_col, text_col, min_words), "lines")
     place = F.struct("id", "line")
     distinct = keep(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *[F.any_value(h).alias(h) for h in HALVES]), "distinct-lines")
 
     # lines that share a half with another
-    near = distinct.where(f"{HALVES[0]} is not null") if short else distinct
+    near = distinct.where(f"{HALVES[0]} is not null")
     halves = near.select("h1", F.col("first.id").alias("id"), F.col("first.line").alias("line"), F.explode(F.array_distinct(F.array(*HALVES))).alias("half"))
     # minima are written before they are joined, so that Spark can split a join by a key that very many rows share
     shared = keep(halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half"), "shared-halves")
     wanted = halves.drop("h1").join(shared, "half").groupBy(F.col("id").alias("_id")).agg(F.collect_set("line").alias("wanted"))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.split(normal(F.col(text_col).cast("string")), "\n").alias("body"))
-    found = texts.join(wanted.hint("shuffle_hash"), "_id").select("_id", F.explode(F.transform("wanted", lambda w: F.struct(w.alias("line"), F.get("body", w).alias("text")))).alias("x"))
+    found = texts.join(wanted, "_id").select("_id", F.explode(F.transform("wanted", lambda w: F.struct(w.alias("line"), F.get("body", w).alias("text")))).alias("x"))
     bodies = found.select(F.struct(F.col("_id").alias("id"), F.col("x.line").alias("line")).alias("first"), F.trim(F.col("x.text")).alias("text"))
     # dealt evenly, for what follows is heavy and the rows are few; equal lines are one (a repeated id may carry another text)
     bodies = bodies.select("first", *digest(F.col("text")), F.split("text", " ").alias("words")).where(F.size("words") >= min_words)
@@ -161,6 +161,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # all occurrences: of lines with copies, and of lines with an earlier neighbour
     known = distinct.select("h1", "h2", "first", "copies").join(verified, ["h1", "h2"], "left").where("copies > 1 or near is not null")
     known = keep(known.select("h1", "h2", F.coalesce(F.least("near", "first"), F.col("first")).alias("keeper"), F.when(F.col("near") < F.col("first"), 1).otherwise(0).alias("edits")), "keepers")
+    drop_since(docs.sparkSession, begin, "lines", "keepers")
     removed = every.select("id", "line", "h1", "h2").join(known, ["h1", "h2"]).where(place > F.col("keeper"))
     return removed.select(F.col("id").alias(id_col), F.col("line").cast("long").alias("line"), F.col("keeper.id").alias("keeper_id"), F.col("keeper.line").cast("long").alias("keeper_line"), F.col("edits").cast("long").alias("edits"))
 
@@ -169,7 +170,7 @@ def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", t
     """``docs`` with the lines cut from their texts; a document that loses lines and keeps only blanks goes."""
     key, gone = "__line_dedup_id", "__line_dedup_gone"  # apart from any column of docs
     sets = removed.groupBy(F.col(id_col).alias(key)).agg(F.collect_set("line").alias(gone))
-    joined = docs.join(sets.hint("shuffle_hash"), docs[id_col] == sets[key], "left")
+    joined = docs.join(sets, docs[id_col] == sets[key], "left")
     rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(gone, i.cast("long"))), "\n")
     out = joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest))
     left = F.exists(F.split(text_col, "\n"), lambda line: F.trim(normal(line)) != "")
@@ -177,5 +178,5 @@ def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", t
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` after line dedup, short lines included, all other columns as they are."""
-    return without_lines(docs, keep(duplicate_lines(docs, id_col, text_col, min_words, short=True), "removed-lines"), id_col, text_col)
+    """``docs`` after line dedup, all other columns as they are."""
+    return without_lines(docs, keep(duplicate_lines(docs, id_col, text_col, min_words), "removed-lines"), id_col, text_col)

@@ -7,7 +7,7 @@ brute-force versions instead.
 
 from __future__ import annotations
 
-from .quality_rules import METRICS, MIN_GROUP, REACH
+from .quality_rules import METRICS, REACH, WEIGHT
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -15,11 +15,11 @@ _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 OP1 = f"""
 WITH ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE doc_id IS NOT NULL),
 nm AS (SELECT doc_id, line, regexp_extract_all(lower(body), '{_WORD}') AS ws FROM ln),
-tx AS (SELECT doc_id, line, ws, len(ws) AS n, array_to_string(ws, ' ') AS t FROM nm WHERE len(ws) >= 5),
+tx AS (SELECT doc_id, line, ws, len(ws) AS n, array_to_string(ws, ' ') AS t FROM nm WHERE len(ws) >= 1),
 rk AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, line) AS copy, row_number() OVER (ORDER BY doc_id, line) AS place FROM tx),
 ds AS (SELECT t, ws, n, place FROM rk WHERE copy = 1),
 hv AS (SELECT place, unnest([concat('p', n // 2, ':', array_to_string(ws[1:n // 2], ' ')), concat('p', (n - 1) // 2, ':', array_to_string(ws[1:(n - 1) // 2], ' ')),
-  concat('s', n // 2, ':', array_to_string(ws[n - n // 2 + 1:n], ' ')), concat('s', (n - 1) // 2, ':', array_to_string(ws[n - (n - 1) // 2 + 1:n], ' '))]) AS h FROM ds),
+  concat('s', n // 2, ':', array_to_string(ws[n - n // 2 + 1:n], ' ')), concat('s', (n - 1) // 2, ':', array_to_string(ws[n - (n - 1) // 2 + 1:n], ' '))]) AS h FROM ds WHERE n >= 5),
 cd AS (SELECT DISTINCT a.place AS x, b.place AS y FROM hv a JOIN hv b ON a.h = b.h AND a.place > b.place),
 pr AS (SELECT x, y, a.ws AS aw, b.ws AS bw, a.n AS an, b.n AS bn, unnest(generate_series(1, least(a.n, b.n))) AS i FROM cd JOIN ds a ON a.place = x JOIN ds b ON b.place = y WHERE abs(a.n - b.n) <= 1),
 lc AS (SELECT x, y, any_value(an) AS an, any_value(bn) AS bn, count(CASE WHEN aw[1:i] = bw[1:i] THEN 1 END) AS head, count(CASE WHEN aw[an - i + 1:an] = bw[bn - i + 1:bn] THEN 1 END) AS tail FROM pr GROUP BY x, y),
@@ -44,7 +44,7 @@ SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, m.c AS componen
 def _op7() -> str:
     bucket = lambda v: f"CASE WHEN {v} < 32 THEN {v} ELSE 16 * (length(bin({v})) - 5) + ({v} >> CAST(length(bin({v})) - 5 AS BIGINT)) END"
     low = lambda b: f"(({b} - 16 * greatest({b} // 16 - 1, 0)) << greatest({b} // 16 - 1, 0))"
-    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, CAST({bucket(m)} AS BIGINT) AS bucket FROM m" for m in METRICS)
+    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, CAST({bucket(m)} AS BIGINT) AS bucket FROM m WHERE NOT base_failed" for m in METRICS)
 
     def quartiles(name: str, keys: str) -> str:
         part = f"PARTITION BY {keys}, metric" if keys else "PARTITION BY metric"
@@ -54,7 +54,8 @@ def _op7() -> str:
 {name}2 AS (SELECT {group}, CAST(min(CASE WHEN 4 * upto >= docs THEN bucket END) AS BIGINT) AS b1, CAST(min(CASE WHEN 4 * upto >= 3 * docs THEN bucket END) AS BIGINT) AS b3, max(docs) AS docs FROM {name}1 GROUP BY {group}),
 {name} AS (SELECT *, {low('b1')} AS q1, {low('b3')} AS q3 FROM {name}2)"""
 
-    pick = lambda c: f"CASE WHEN o.docs >= {MIN_GROUP} THEN o.{c} WHEN w.docs >= {MIN_GROUP} THEN w.{c} ELSE e.{c} END"
+    wider = lambda c: f"((w.docs * w.{c} + {WEIGHT} * e.{c}) // (w.docs + {WEIGHT}))"
+    pick = lambda c: f"CAST((o.docs * o.{c} + {WEIGHT} * {wider(c)}) // (o.docs + {WEIGHT}) AS BIGINT)"
     floor = "CASE o.metric " + " ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in METRICS.items()) + " END"
     bounds = ", ".join(f"max(CASE WHEN metric = '{m}' THEN {c} END) AS {m}_{c}" for m in METRICS for c in ("low", "high"))
     inside = " AND ".join([f"m.{m} <= {m}_high" for m in METRICS] + [f"m.{m} >= {m}_low" for m, (_, both) in METRICS.items() if both])
@@ -76,8 +77,8 @@ l AS ({long}), {quartiles("o", "lang, source")}, {quartiles("w", "lang")}, {quar
 f0 AS (SELECT o.lang, o.source, o.metric, {pick("q1")} AS q1, {pick("q3")} AS q3, {floor} AS least FROM o JOIN w ON w.lang IS NOT DISTINCT FROM o.lang AND w.metric = o.metric JOIN e ON e.metric = o.metric),
 f1 AS (SELECT lang, source, metric, q1 - {REACH} * greatest(q3 - q1, least) AS low, q3 + {REACH} * greatest(q3 - q1, least) AS high FROM f0),
 f AS (SELECT lang, source, {bounds} FROM f1 GROUP BY lang, source)
-SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept
-FROM m JOIN f ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source"""
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({inside}, false) AS kept
+FROM m LEFT JOIN f ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source"""
 
 
 OP9 = f"""
