@@ -23,26 +23,24 @@ from pyspark.sql import functions as F
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 GRAMS = (3, 4)
 COLUMNS = 1 << 13
-#: The labelled table, invented URLs on reserved names; 1: block.
-LABELLED = tuple((f"https://{u}", 1) for u in (
-    "casino-royal.example/play", "www.best-casino.example/bonus/spin", "online-casino-win.test/slots", "win-big-casino.example/jackpot.html",
-    "poker-bets.example/win", "free-slots.test/casino", "sports-betting-tips.example/bet/now", "lottery-winner.test/claim-prize",
-    "adult-videos.example/watch", "xxx-tube.test/hot", "adult-chat.example/live", "sexy-cams.test/adult", "porn-clips.example/xxx/12", "hot-adult-dating.test/x",
-    "spam-links.example/seo", "link-farm.test/backlinks", "seo-spam-farm.example/buy-links", "content-farm.example/top10", "article-farm.test/spin", "www.spammy-farm.example/page/1",
-    "cheap-pills.example/buy", "buy-viagra-online.test/order", "pharmacy-discount.example/pills", "replica-watches.test/cheap", "cheap-handbags.example/replica",
-    "free-money-now.test/get-rich", "quick-loans.example/payday", "crypto-doubler.test/invest", "get-rich-quick.example/signup", "earn-cash-fast.test/win",
-    "warez-download.example/crack", "serial-keygen.test/free", "torrent-movies.example/full-hd", "free-cracked-software.test/keygen", "malware-install.example/setup.exe",
-    "click-bait.test/shocking", "miracle-diet.example/lose-weight", "win-a-phone.test/prize", "casino-win.test/en/1", "adult-x.test/en/2", "spam-farm.test/en/3",
-)) + tuple((f"https://{u}", 0) for u in (
-    "www.example/", "docs.library.example/guide/install", "blog.gardening.test/2021/05/roses", "news.city.example/world/2020/economy", "university.example/courses/math101",
-    "museum.test/exhibits/history", "wiki.example/Main_Page", "www.school.test/about", "recipes.example/soup/tomato", "travel.test/europe/trains",
-    "science-journal.example/articles/2019", "forum.linux.test/threads/42", "code.example/projects/parser/readme", "weather.test/today", "library.example/catalog/books",
-    "health.gov.test/vaccines/schedule", "parliament.example/laws/1998", "music-theory.test/lessons/1", "history.example/en/123", "blog.teacher.test/en/77.html",
-    "m.newspaper.example/en/501", "www.astronomy.test/en/88/", "poetry.example/fr/310", "philosophy.test/de/92", "cooking.example/es/64",
-    "m.there.example/en/1?page=2", "blog.another.test/en/20#top", "thethe.example/en/300", "www.nation.test/en/41/", "other.example/en/512.html", "m.hand.example/fr/9", "blog.earth.test/es/8",
-    "reader.example/en/4321?utm_source=feed", "thing.test/en/6/", "m.station.example/de/90", "relation.test/en/55#top", "blog.than.example/en/7", "thread.test/en/901?page=2&ref=x",
-    "open-data.example/datasets/rain", "archive.test/maps/1900", "chess-club.example/openings", "bird-watch.test/species/owl",
-))
+#: Words that hosts and paths of either kind are made of.
+BLOCK_WORDS = """casino roulette blackjack jackpot poker bingo slots betting sportsbet lottery gambling porn xxx nude escort hotcams camgirl erotic hardcore sexdating
+ viagra cialis pills pharmacy steroids weightloss replica handbags rolex followers backlinks linkfarm spamblog spinner payday forex doubler getrich quickcash
+ warez keygen cracked torrent pirate giveaway freeprize clickbait phishing malware""".split()
+ALLOW_WORDS = """library museum archive encyclopedia university science journal geology botany astronomy history language grammar poetry theatre orchestra cinema recipes kitchen bakery
+ garden roses birds climbing cycling sailing chess knitting weather transport trains harbour parliament council court health hospital clinic school kindergarten
+ standards compiler dataset statistics manual tutorial forum newspaper magazine radio village charity hotel farmers mathematics museumshop observatory""".split()
+#: Shapes of hosts and paths, the same for both kinds, so that only words tell them apart.
+HOSTS = ("{w}.example", "www.{w}.test", "my{w}.example", "{w}-online.test", "the-{w}-site.example", "{w}24.test", "blog.{w}.example", "best{w}.test")
+PATHS = ("/", "/page/2", "/index.html", "/2021/05/post", "/about", "/item?id=7", "/{w}/list", "/read/{w}", "")
+
+
+def _table(words: list[str], label: int, each: int = 3) -> list[tuple[str, int]]:
+    """The labelled table is built from the words: ``each`` URLs a word, in shapes that go round."""
+    return [("https://" + (HOSTS[(k + 3 * j) % len(HOSTS)] + PATHS[(2 * k + 5 * j) % len(PATHS)]).format(w=w), label) for k, w in enumerate(words) for j in range(each)]
+
+
+LABELLED = tuple(_table(BLOCK_WORDS, 1) + _table(ALLOW_WORDS, 0))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
