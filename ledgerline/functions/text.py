@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 #: Words that say nothing about a transaction, and US state codes.
 STOP_WORDS = "a an and at by for from in into of on or the to via with pos purchase debit credit card payment pmt transaction".split()
+#: Other words for payroll, word pairs that say nothing, and months.
+PAYROLL = "payrol payrll pyrll paycheck salary".split()
+PAIRS = ("cash app", "los angelos")
+MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 STATES = "al ak az ar ca co ct de fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or pa ri sc sd tn tx ut vt va wa wv wi wy".split()
 
 
@@ -33,8 +37,9 @@ def without_repeats(text: Column) -> Column:
 
 
 def split_capitals(text: Column) -> Column:
-    """A blank before each capital that follows a small letter."""
-    return F.regexp_replace(text, "(?<=[a-z])(?=[A-Z])", " ")
+    """Tokens that begin with a capital, cut before each run of capitals that follows other characters."""
+    cut = lambda t: F.when(t.rlike("^[A-Z]"), F.regexp_replace(t, "(?<=[^A-Z])(?=[A-Z])", " ")).otherwise(t)
+    return F.array_join(F.transform(tokens(text), cut), " ")
 
 
 def direct_deposit(text: Column) -> Column:
@@ -43,31 +48,49 @@ def direct_deposit(text: Column) -> Column:
 
 
 def payroll_words(text: Column) -> Column:
-    """Spellings of "payroll" as that word."""
-    return F.regexp_replace(text, r"\b(?:payrol|payrl|payroll|pyrl|pyroll|pay roll)\b", "payroll")
-
-
-def clean_for_ngrams(text: Column) -> Column:
-    """Descriptions for clustering by n-grams: dates, codes, long numbers and states become tokens of their own,
-    short numbers, single letters and punctuation go, and payroll and deposit words take one spelling."""
-    t = F.lower(split_capitals(text))
-    t = F.regexp_replace(t, r"\b(?:conf(?:irmation)?|ref(?:erence)?|id)[ #:]*[a-z0-9]{6,}\b", " tokcode ")
-    t = F.regexp_replace(t, r"\b[0-9]{1,2}[/-][0-9]{1,2}(?:[/-][0-9]{2,4})?\b", " tokdate ")
-    t = F.regexp_replace(t, r"[^a-z0-9 ]+", " ")
-    t = F.regexp_replace(t, r"x{4,}", " ")
-    t = F.regexp_replace(t, r"\b[0-9]{5,}\b", " toknum ")
-    t = F.regexp_replace(t, r"\b[0-9]{4}\b", " tokfour ")
+    """"payroll" apart from what is joined to it, and other spellings and words for it as that word."""
+
+    def of(t: Column) -> Column:
+        left, right = t.startswith("payroll"), t.endswith("payroll")
+        return F.when(left, F.concat(F.lit("payroll "), F.substring(t, F.lit(8), F.length(t)))).when(right, F.concat(F.lit("payroll "), F.substring(t, F.lit(1), F.length(t) - 7))).when(t.isin(*PAYROLL), "payroll").otherwise(t)
+
+    return F.array_join(F.filter(F.flatten(F.transform(tokens(text), lambda t: F.split(of(t), " "))), lambda t: t != ""), " ")
+
+
+def clean_for_ngrams(text: Column, cities: list[str] = ()) -> Column:
+    """Descriptions for clustering by n-grams: codes, dates, cities, numbers and states become tokens of their own,
+    short numbers, single letters and punctuation go, and payroll and deposit words take one spelling.
+
+    ``cities``: names in lower case, of one or more words."""
+    t = F.regexp_replace(text, r"(?i)\b(?:conf(?:irmation)?|auth|code|id|ref#?|conf#)[:\s#]*[a-z0-9]+\b", " tokcode ")
+    t = F.regexp_replace(t, r"\b(?=(?:\w*\d){5})\w{12,}\b", " tokcode ")
+    t = F.lower(split_capitals(t))
+    t = F.regexp_replace(t, r"([0-9]{5,})", " $1 ")
+    day = r"[0-9]{1,2}"
+    date = rf"{day}[-/]{day}[-/][0-9]{{2,4}}|[0-9]{{4}}[-/]{day}[-/]{day}|{day}[-/]{day}(?![0-9])|(?:{MONTHS})[a-z]*\s+{day}(?:[,\s]+[0-9]{{2,4}})?|{day}\s+(?:{MONTHS})[a-z]*(?:[,\s]+[0-9]{{2,4}})?"
+    t = F.regexp_replace(t, rf"\b(?:{date})\b", " tokdate ")
+    if cities:
+        t = F.regexp_replace(t, r"\b(?:" + "|".join(sorted(cities, key=len, reverse=True)) + r")\b", " tokcity ")
+    t = F.regexp_replace(t, r"[^a-z0-9\s_]", " ")
+    t = F.regexp_replace(t, r"x{4,}", "0000")
     t = F.regexp_replace(t, r"\b[0-9]{1,3}\b", " ")
-    t = F.regexp_replace(t, r"\b[a-z]\b", " ")
+    t = F.regexp_replace(t, r"\b[0-9]{4}\b", " tokfour ")
+    t = F.regexp_replace(t, r"\b[a-z]*[0-9]{5,17}\w*\b", " toknum ")
+    t = F.regexp_replace(t, r"\b(?:[a-z]*[0-9]){3,}\w*\b", " toknum ")
+    t = F.regexp_replace(t, r"\b(?=\w*[a-z])(?=\w*[0-9])\w{9,}\b", " toknum ")
+    t = F.regexp_replace(t, r"\b\w\b", " ")
     words = F.transform(tokens(direct_deposit(payroll_words(t))), lambda w: F.when(w.isin(STATES), "tokstate").otherwise(w))
     said = F.filter(words, lambda w: ~w.isin(STOP_WORDS))
     return F.when(F.size(said) == 0, "no description").otherwise(F.array_join(words, " "))
 
 
 def clean_for_clusters(text: Column, irrelevant: list[str] = STOP_WORDS) -> Column:
-    """Distinct tokens without irrelevant ones; the text itself where nothing else remains."""
-    left = F.filter(tokens(text), lambda w: ~w.isin(irrelevant))
-    return F.when(F.size(left) == 0, text).otherwise(F.array_join(F.array_distinct(left), " "))
+    """Distinct tokens without irrelevant words and pairs and without the name after an "indn" tag; the text itself
+    where nothing but stop words remains."""
+    t = F.regexp_replace(text, r"\bindn#?:?\s?[a-z0-9]+\b", " ")
+    kept = F.array_join(F.filter(tokens(t), lambda w: ~w.isin(irrelevant)), " ")
+    left = F.array_distinct(tokens(F.regexp_replace(kept, r"\b(?:" + "|".join(PAIRS) + r")\b", " ")))
+    return F.when(F.size(F.filter(left, lambda w: ~w.isin(STOP_WORDS))) == 0, text).otherwise(F.array_join(left, " "))
 
 
 def clean_for_rules(text: Column) -> Column:
@@ -75,10 +98,17 @@ def clean_for_rules(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(split_capitals(text)), "[^a-z0-9* ]+", " "), " +", " "))
 
 
+#: Phrases of texts whose card is not the customer's own.
+EXTERNAL = ("wire transfer deposit card", "wire transfer fee", "banking advance from", "payment to", "pymt to", " from ", "eb to", r"\bdbt [0-9]", r"\bpmt [0-9]", "check[0-9]")
+
+
 def card_tails(text: Column) -> Column:
-    """Last four digits of numbers said after "card", but not after gift, debit or credit memo cards."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?:gift )?card(?: ending)?(?: in)?[ #x*]*[0-9]{4,}"), F.lit(0))
-    return F.array_distinct(F.transform(F.filter(found, lambda m: ~m.startswith("gift")), lambda m: F.right(m, F.lit(4))))
+    """Last four digits of numbers said after "card", but not after "gift card" and not in texts that speak of money
+    from or to elsewhere (EXTERNAL)."""
+    low = F.lower(text)
+    found = F.regexp_extract_all(low, F.lit(r"(?:gift )?card(?: ending)?(?: in)?[ #x*]*[0-9]{4,}"), F.lit(0))
+    mine = ~low.rlike("|".join(EXTERNAL))
+    return F.when(F.coalesce(mine, F.lit(False)), F.array_distinct(F.transform(F.filter(found, lambda m: ~m.startswith("gift")), lambda m: F.right(m, F.lit(4))))).otherwise(F.array().cast("array<string>"))
 
 
 def category_text(value: Column) -> Column:
@@ -108,12 +138,14 @@ def transaction_category(label: Column) -> Column:
     return F.when(low == "loan", 6).when(low == "gig", 5).when(low == "deposit", 4).when((low == "transfer"), 3).when(low == "benefit", 2).when(low == "payroll", 1).otherwise(0)
 
 
-#: Sub-categories of transfers and deposits, later ones first.
-OWN_ACCOUNT = [r"\bto\b.*\bchecking\b", r"\bfrom.*\bchecking\b", r"\bfrom.*\bchk\b", r"\bshare\b", r"\bround up\b", r"\bfrom.*\bsav", r"\bbank", r"\bcredit.*line.*transfer\b"]
+#: Phrases of sub-categories of transfers and deposits, of which later ones win, and of loans that are none.
+OWN_ACCOUNT = [r"\bto\b.*\bchecking\b", r"\bfrom.*\bchecking\b", r"\bfrom.*\bchk\b", r"\bshare\b", r"\bround up\b", r"\bsave as you go\b", r"\bfrom.*\bsav", r"\bbank", r"\bcredit.*line.*transfer\b", r"\breverse.*monthly.*service.*charge\b"]
+SERVICES = ((r"\bcash app\b", "Cash App"), (r"\bvenmo\b", "Venmo"), (r"\bpaypal\b", "Paypal"), (r"\bapple pay\b", "Apple Pay"), (r"\bzelle?\b", "Zelle"))
+MOVED = r"\bdep|atm|transfer|xfer"
 DEPOSITS = ((r"\b(?:cash|atm)\b", "Cash Deposit"), (r"\b(?:mobile|edeposit|online|remote)\b", "Mobile Deposit"), (r"\bcheck\b", "Check Deposit"))
 
 
-def transfer_subcategory(text: Column, category: Column, services: tuple[tuple[str, str], ...] = ()) -> Column:
+def transfer_subcategory(text: Column, category: Column, services: tuple[tuple[str, str], ...] = SERVICES) -> Column:
     """Sub-category of a transfer (3) or deposit (4); later rules win; ``services``: (pattern, name) of payment services."""
     out = F.when(category == 3, "Other Transfer").when(category == 4, "Other Deposit")
     out = F.when(text.rlike("(?i)" + "|".join(OWN_ACCOUNT)) & category.isin(3, 4), "Balance Transfer").otherwise(out)
@@ -130,10 +162,18 @@ def deposit_method(subcategory: Column) -> Column:
 
 def corrected_label(label: Column, text: Column, type_: Column) -> Column:
     """Labels after keyword rules: no transfer that is a fee, return or refund other than of tax; no income on debits."""
+    text = F.coalesce(text, F.lit(""))
     fee = text.rlike(r"(?i)\bdir\b|\bach\b|\bfee\b|\breturn\b") | (text.rlike(r"(?i)\brefund\b") & ~text.rlike(r"(?i)\btax\b"))
     return F.when((label == "transfer") & fee, "other").when(label.isin("payroll", "gig") & (type_ == "DEBIT"), "other").otherwise(label)
 
 
+def predicted_label(label: Column, text: Column) -> Column:
+    """A model's label: loans are for rules alone, so that a predicted one is a transfer, payroll or other by its words."""
+    fee = text.rlike(r"(?i)\bdir\b|\bach\b|\bfee\b|\breturn\b") | (text.rlike(r"(?i)\brefund\b") & ~text.rlike(r"(?i)\btax\b"))
+    loan = label == "loan"
+    return F.when(loan & text.rlike("(?i)" + MOVED) & ~fee, "transfer").when(loan & text.rlike("(?i)payroll"), "payroll").when(loan, "other").otherwise(label)
+
+
 def account_match(given: Column, numbers: Column) -> dict[str, Column]:
     """Whether an account number's first four, last four or all digits are among those of a list."""
     plain = lambda x: F.when(x.rlike("^[0-9]+$"), F.regexp_replace(x, "^0+", "")).otherwise(x)

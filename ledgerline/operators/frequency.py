@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .calendar import DAYS, month_distance
 from .clusters import KEYS, gaps, same_day
+from .paydays import biweekly_or_semi_monthly, candidate_days, intended_days, monthly_pattern, pattern_support, regular_text, semi_monthly_pattern, semi_monthly_support, tendencies
 
 #: Days after which a source is not recent, by frequency; variation cuts; pays that a score needs.
 RECENCY = {"W": 10, "B": 18, "S": 18, "M": 35}
@@ -45,23 +46,42 @@ def _mode(rows: DataFrame, value: str, n: int) -> DataFrame:
     return ranked.groupBy(*KEYS).agg(F.max(F.when(F.col("r") == 1, F.col(value))).alias(value), F.max(F.when(F.col("r") == 2, F.col(value))).alias(f"{value}2"), (F.sum("c") / F.max("total")).alias(f"{value}_share"))
 
 
-def frequency(ledger: DataFrame, trim: bool = True) -> DataFrame:
+def pay_patterns(days: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Per cluster: the arbiter's choice between two weeks and half months, and the monthly habit."""
+    intended = intended_days(days, calendar)
+    support = pattern_support(intended)
+    pair = biweekly_or_semi_monthly(support, semi_monthly_pattern(semi_monthly_support(intended, candidate_days(days, calendar))))
+    pair = pair.select(*KEYS, "choice", F.col("score").alias("choice_score"), F.coalesce("weekday", F.concat_ws(",", F.col("day1").cast("string"), F.coalesce(F.col("day2").cast("string"), F.lit("Last Day")))).alias("choice_day"), F.col("direction").alias("choice_direction"))
+    month = monthly_pattern(support, tendencies(days))
+    month = month.select(*KEYS, regular_text(F.col("pattern"), F.col("day"), F.col("weekday"), F.col("week")).alias("month_day"), F.col("direction").alias("month_direction"))
+    return pair.join(month, list(KEYS), "full_outer")
+
+
+def frequency(ledger: DataFrame, trim: bool = True, calendar: DataFrame | None = None) -> DataFrame:
     """Per cluster: n_pays, mean_amount, span, frequency (W, B, S, M or I), monthly_amount, monthly_pays,
-    weekday, day1, day2, regular_day and same_day_share."""
+    weekday, day1, day2, regular_day and same_day_share; with a business calendar that spans the ledger also
+    holiday_direction, and pay-day patterns (``paydays``) decide between B and S and name the day of M and S."""
     days = gaps(same_day(trimmed(ledger) if trim else ledger)).withColumns({"weekday": F.weekday("date"), "day": F.dayofmonth("date")})
+    if calendar is not None:
+        days = days.persist()  # every pattern reads the pay days
     share = lambda c: F.sum(F.when(c, 1).otherwise(0))
     base = days.groupBy(*KEYS).agg(
         F.count("*").alias("n_pays"), F.avg("amount").alias("mean_amount"), F.datediff(F.max("date"), F.min("date")).alias("span"), F.max("date").alias("last_date"),
         share(F.col("gap") == 7).alias("w"), share(F.col("gap").between(13, 17)).alias("b"), share(F.col("gap").between(25, 35)).alias("m"), share(F.col("gap") % 7 == 0).alias("seven"),
     )
     rows = base.join(_mode(days, "weekday", 1).drop("weekday2"), list(KEYS)).join(_mode(days, "day", 2), list(KEYS))
+    if calendar is not None:
+        rows = rows.join(pay_patterns(days, calendar), list(KEYS), "left")
     n = F.greatest(F.col("n_pays") - 1, F.lit(1))
     cut = F.when(F.col("n_pays") > 3, 0.4999).otherwise(0.5)
     weekly, fort, monthly, seven = (F.col(c) / n > cut for c in ("w", "b", "m", "seven"))
     semi = F.col("weekday_share") <= F.col("day_share")
+    half = F.when(~semi, F.when(F.col("weekday_share") > cut, "B").otherwise("I")).otherwise(F.when(F.col("day2").isNotNull() & (F.col("day_share") > cut), "S").otherwise("I"))
+    if calendar is not None:
+        half = F.when(F.col("choice").isNotNull(), F.when(F.col("choice_score") > cut, F.col("choice")).otherwise("I")).otherwise(half)
     code = (
         F.when(weekly, F.when(F.col("weekday_share") > cut, "W").otherwise("I"))
-        .when(fort, F.when(~semi, F.when(F.col("weekday_share") > cut, "B").otherwise("I")).otherwise(F.when(F.col("day2").isNotNull() & (F.col("day_share") > cut), "S").otherwise("I")))
+        .when(fort, half)
         .when(monthly, "M")
         .when(seven & (F.col("n_pays") > 3) & (F.col("w") > F.col("b")), "W")
         .when(seven & (F.col("n_pays") > 3) & (F.col("b") > F.col("w")), "B")
@@ -76,7 +96,11 @@ def frequency(ledger: DataFrame, trim: bool = True) -> DataFrame:
     loose = (f == "I") & (F.col("n_pays") > 4)
     regular = F.when(f.isin("W", "B"), name).when(f == "M", F.col("day").cast("string")).when(f == "S", two).when(loose & (F.col("weekday_share") > cut), name).when(loose, two)
     same = F.when(f.isin("W", "B"), F.col("weekday_share")).when(f.isin("M", "S"), F.col("day_share")).when(loose & (F.col("weekday_share") > cut), F.col("weekday_share")).when(loose, F.col("day_share")).otherwise(0.0)
-    return rows.select(*KEYS, "n_pays", F.round("mean_amount", 2).alias("mean_amount"), "span", "last_date", "frequency", F.round(F.col("mean_amount") * pays, 2).alias("monthly_amount"), F.round(pays, 4).alias("monthly_pays"), "weekday", F.col("day").alias("day1"), F.when(f != "M", F.col("day2")).alias("day2"), regular.alias("regular_day"), F.round(same, 4).alias("same_day_share"))
+    more = []
+    if calendar is not None:
+        regular = F.when(f.isin("B", "S") & (f == F.col("choice")), F.col("choice_day")).when(f == "M", F.coalesce("month_day", regular)).otherwise(regular)
+        more = [F.when(f.isin("B", "S") & (f == F.col("choice")), F.col("choice_direction")).when(f == "M", F.col("month_direction")).alias("holiday_direction")]
+    return rows.select(*KEYS, "n_pays", F.round("mean_amount", 2).alias("mean_amount"), "span", "last_date", "frequency", F.round(F.col("mean_amount") * pays, 2).alias("monthly_amount"), F.round(pays, 4).alias("monthly_pays"), "weekday", F.col("day").alias("day1"), F.when(f != "M", F.col("day2")).alias("day2"), regular.alias("regular_day"), F.round(same, 4).alias("same_day_share"), *more)
 
 
 def enough_pays(freq: Column, n: Column) -> Column:
@@ -126,3 +150,11 @@ def shifted_matches(days: DataFrame, calendar: DataFrame) -> DataFrame:
     best = rows.groupBy(*KEYS).agg(F.min(F.struct((-F.col("share")).alias("m"), "weekday", "raw", "after", "before", "share")).alias("x"))
     way = F.when(F.col("x.after") + F.col("x.before") == 0, None).when(F.col("x.after") >= F.col("x.before"), "A").otherwise("B")
     return best.select(*KEYS, "x.weekday", "x.raw", "x.after", "x.before", F.round("x.share", 6).alias("share"), way.alias("direction"))
+
+
+def modal_frequency(days: DataFrame) -> DataFrame:
+    """(account, cluster, frequency): the code of a cluster's most frequent pay interval; ties by code."""
+    gap = F.col("gap")
+    code = F.when(gap <= 1, "D").when(gap.between(6, 8), "W").when(gap.between(13, 17), "B").when(gap.between(25, 35), "M").otherwise("I")
+    counts = gaps(days).where("gap is not null").groupBy(*KEYS, code.alias("frequency")).agg(F.count("*").alias("n"))
+    return counts.groupBy(*KEYS).agg(F.min(F.struct((-F.col("n")).alias("m"), "frequency"))["frequency"].alias("frequency"))

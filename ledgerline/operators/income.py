@@ -12,35 +12,42 @@ from .frequency import RECENCY, RECENCY_OTHER, by_frequency, frequency, scores
 
 LOW_PAY = 10
 LOAN_MIN = 50
+#: Stands between kind and cluster while sources of all kinds are made at once.
+BETWEEN = "\x01"
 #: Last digit of a kind's error codes.
 KINDS = {"Payroll": 1, "Benefit": 2, "gig": 3, "loan": 4, "Transfer": 5}
 
 
-def income_sources(ledger: DataFrame, as_of: datetime.date, kind: str = "Payroll") -> DataFrame:
+def income_sources(ledger: DataFrame, as_of: datetime.date, kind: str | Column = "Payroll", calendar: DataFrame | None = None) -> DataFrame:
     """One row per account and cluster of credits, with frequency, amounts, scores and an error code.
 
     Codes: 30x mean pay below 10 (no id), 20x one pay day, 40x last pay day too old (payroll and benefit: by
-    frequency, irregular ones never), else 0.  Ids count within an account by cluster.
+    frequency, irregular ones never), else 0; 10x rows come from ``with_missing``.  Ids count within an account and
+    kind by cluster.  ``kind`` may be a column, so that sources of all kinds are made in one pass: rows of one
+    cluster and different kinds are different sources.
     """
-    credits = ledger.where("type = 'CREDIT'")
-    freq = frequency(credits)
+    kind = kind if isinstance(kind, Column) else F.lit(kind)
+    credits = ledger.where("type = 'CREDIT'").withColumn("cluster", F.concat(kind, F.lit(BETWEEN), F.coalesce("cluster", F.lit(""))))
+    freq = frequency(credits, calendar=calendar)
+    if calendar is not None:
+        freq = freq.persist()  # two joins read it, and its plan is long
     days = same_day(credits)
     per = days.groupBy(*KEYS).agg(F.count("*").alias("pays"), F.avg("amount").alias("pay"), F.max("date").alias("last"))
     rows = per.join(freq.select(*KEYS, "frequency", "monthly_amount", "regular_day", "same_day_share"), list(KEYS), "left")
     rows = rows.join(scores(credits, freq, as_of), list(KEYS), "left").withColumn("frequency", F.coalesce("frequency", F.lit("I")))
     age = F.datediff(F.lit(as_of), "last")
-    steady = kind in ("Payroll", "Benefit")
-    late = (age > by_frequency(F.col("frequency"), RECENCY, RECENCY_OTHER)) & (F.col("frequency") != "I") if steady else age > RECENCY_OTHER
-    digit = KINDS[kind]
+    kind = F.split_part(F.col("cluster"), F.lit(BETWEEN), F.lit(1))
+    late = F.when(kind.isin("Payroll", "Benefit"), (age > by_frequency(F.col("frequency"), RECENCY, RECENCY_OTHER)) & (F.col("frequency") != "I")).otherwise(age > RECENCY_OTHER)
+    digit = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in KINDS.items()])
     code = F.when(F.col("pay") < LOW_PAY, 300 + digit).when(F.col("pays") == 1, 200 + digit).when(late, 400 + digit).otherwise(0)
     rows = rows.withColumn("error_code", code)
     monthly = F.coalesce("monthly_amount", F.lit(0.0))
     stable = F.when(F.col("stability_score") == 3, monthly).otherwise(monthly * (1 - F.coalesce("variation", F.lit(1.0))))
-    number = F.row_number().over(Window.partitionBy("account").orderBy(F.when(F.col("error_code") == 300 + digit, 1).otherwise(0), "cluster"))
+    number = F.row_number().over(Window.partitionBy("account", kind).orderBy(F.when(F.col("error_code") == 300 + digit, 1).otherwise(0), "cluster"))
     ident = F.when(F.col("error_code") != 300 + digit, F.format_string("I%d_err_%d", number, "error_code"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return rows.select(
-        *KEYS, ident.alias("source_id"), F.lit(kind).alias("income_type"), "pays", "frequency", F.round("pay", 2).alias("pay"), F.round(monthly, 2).alias("monthly_income"), F.round(stable, 2).alias("stable_monthly_income"),
+        "account", F.split_part(F.col("cluster"), F.lit(BETWEEN), F.lit(2)).alias("cluster"), ident.alias("source_id"), kind.alias("income_type"), "pays", "frequency", F.round("pay", 2).alias("pay"), F.round(monthly, 2).alias("monthly_income"), F.round(stable, 2).alias("stable_monthly_income"),
         "regular_day", F.coalesce("same_day_share", F.lit(0.0)).alias("same_day_share"), "last", zero("active_score").alias("active_score"), zero("recurring_score").alias("recurring_score"), zero("stability_score").alias("stability_score"), "error_code",
     )
 
@@ -109,3 +116,20 @@ def spending_days(ledger: DataFrame, pay: Column) -> DataFrame:
     inside = Window.partitionBy("account", "period").orderBy("date")
     runs = period.select("account", "period", "date", F.first("paid").over(inside).alias("paid"), F.first("date").over(inside).alias("start"), F.sum("spent").over(inside).alias("spent"))
     return runs.groupBy("account", "start").agg(F.round(F.max("paid"), 2).alias("paid"), F.min(F.when(F.col("spent") >= F.col("paid"), F.datediff("date", "start"))).alias("days_to_spend"))
+
+
+def with_missing(sources: DataFrame, accounts: DataFrame, kind: str) -> DataFrame:
+    """Sources of a kind and, for each account that has none, a row whose error code (10x) says so."""
+    none = accounts.select("account").join(sources.select("account").distinct(), "account", "left_anti")
+    return sources.unionByName(none.select("account", F.lit(kind).alias("income_type"), F.lit(100 + KINDS[kind]).alias("error_code")), allowMissingColumns=True)
+
+
+def combined_sources(*parts: DataFrame) -> DataFrame:
+    """Sources of several kinds under ids that run on from kind to kind within an account, in the order given."""
+    out = None
+    for place, part in enumerate(parts):
+        part = part.withColumn("_kind", F.lit(place))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    has = (F.col("error_code") >= 400) | (F.col("error_code") == 0) | F.col("error_code").between(200, 299)
+    number = F.row_number().over(Window.partitionBy("account").orderBy(F.when(has, 0).otherwise(1), "_kind", "cluster"))
+    return out.withColumn("source_id", F.when(has, F.format_string("I%d_err_%d", number, "error_code"))).drop("_kind")

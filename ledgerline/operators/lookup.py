@@ -29,6 +29,15 @@ def prioritised(rows: DataFrame, base: DataFrame, shapes: list[list[str]], value
     return rows.withColumns({value: F.coalesce(*found), "hit": hit}).drop(*[f"_hit{k}" for k in range(len(shapes))])
 
 
+#: Key shapes of an entity knowledge base, the most telling first.
+ENTITY_SHAPES = [["who", "why", "how"], ["who", "why"], ["why", "how"], ["why"], ["who", "how"], ["who"], ["how"]]
+
+
+def entity_label(rows: DataFrame, base: DataFrame, undecided: str = "Undecided") -> DataFrame:
+    """Adds ``label``: that of the first of ENTITY_SHAPES whose key (columns who, why, how) the base holds."""
+    return prioritised(rows, base, ENTITY_SHAPES).withColumn("label", F.coalesce("label", F.lit(undecided)))
+
+
 def cascade(*steps: tuple[str, Column]) -> tuple[Column, Column]:
     """First label of several sources in order, and the name of the source."""
     return F.coalesce(*[c for _, c in steps]), F.coalesce(*[F.when(c.isNotNull(), n) for n, c in steps])

@@ -94,12 +94,16 @@ def latest_balance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 
-def truncate(ledger: DataFrame, as_of: datetime.date, months: int) -> DataFrame:
-    """Rows up to the as-of date, from the first day of the last row's month less ``months``, per ledger."""
+def truncate(ledger: DataFrame, as_of: datetime.date | Column, months: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows up to the as-of date, from the first day of the last row's month less ``months``.
+
+    ``by``: the columns that tell one customer's request from another's, each with a last row of its own; without
+    any the ledger is one request.  ``as_of`` may be a column."""
     rows = ledger.where(F.col("date") <= F.lit(as_of))
-    first = rows.agg(F.trunc(F.add_months(F.max("date"), -months), "MM").alias("first"))
-    # one row
-    return rows.join(F.broadcast(first), F.col("date") >= F.col("first")).drop("first")
+    first = F.trunc(F.add_months(F.max("date"), -months), "MM").alias("first")
+    if not by:
+        return rows.join(F.broadcast(rows.agg(first)), F.col("date") >= F.col("first")).drop("first")  # one row
+    return rows.join(rows.groupBy(*by).agg(first), list(by)).where(F.col("date") >= F.col("first")).drop("first")
 
 
 def daily_net(ledger: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Steps of a quantile mapping.
+STEPS = 1000
+
+
 def pivoted(sources: DataFrame, key: str, values: list, amount: str = "monthly_income") -> DataFrame:
     """Counts and sums per account and value of ``key``, wide; the value list fixes the columns."""
     out = sources.groupBy("account").pivot(key, values).agg(F.count(amount).alias("count"), F.round(F.sum(amount), 4).alias("sum"))
@@ -72,10 +76,10 @@ def calibrated(scores: DataFrame, reference: DataFrame, target: DataFrame) -> Da
     """Quantile mapping: a score's share in the reference becomes the quantile of the target.
 
     The share counts reference scores at or below; the two distributions come as (score) tables and are
-    summarised to 101 percentiles, a bounded row that every task gets."""
-    grid = [k / 100 for k in range(101)]
-    ref = reference.agg(F.percentile("score", F.lit(grid)).alias("ref"))
-    tar = target.agg(F.percentile("score", F.lit(grid)).alias("tar"))
+    summarised to STEPS + 1 quantiles by mergeable sketches, a bounded row that every task gets."""
+    grid = [k / STEPS for k in range(STEPS + 1)]
+    ref = reference.agg(F.percentile_approx("score", grid, 10_000).alias("ref"))
+    tar = target.agg(F.percentile_approx("score", grid, 10_000).alias("tar"))
     rows = scores.join(F.broadcast(ref)).join(F.broadcast(tar))  # one row each
     place = F.greatest(F.size(F.filter("ref", lambda q: q <= F.col("score"))) - 1, F.lit(0))
     return rows.select(*scores.columns, F.get("tar", place).alias("calibrated"))

@@ -12,11 +12,17 @@ from ..functions import text as T
 from ..operators import clusters as K
 from ..operators import income as I
 from ..operators import lookup as L
+from ..operators import calendar as C
 from ..operators import money as M
+from ..operators import reports as R
 from ..operators import text_clusters as X
 from ..operators.peaks import peak_features
 
 
+#: Days before the as-of date that pay-day patterns look back.
+CALENDAR_DAYS = 3_660
+
+
 @dataclass
 class Config:
     """Settings of one job; nothing is global."""
@@ -27,6 +33,9 @@ class Config:
         ("loan", [r"\bloan", r"\blend", r"cash advance"]), ("benefit", [r"\bssa\b", r"social security", r"unemployment"]), ("transfer", [r"\btransfer\b", r"\bzelle\b", r"\bp2p\b"]),
         ("deposit", [r"\bdeposit\b"]), ("gig", [r"\bdriver pay\b", r"\bcourier\b"]), ("payroll", [r"\bpayroll\b", r"\bsalary\b", r"\bdir dep\b"]),
     ])
+    #: whether pay-day patterns name days and tell two weeks from half months; the plan gets several times as long,
+    #: which pays for many customers and not for a few
+    patterns: bool = False
     nsf: list[str] = field(default_factory=lambda: [r"\bnsf", r"\binsufficient\b", r"\breturned item\b", r"\bunpaid item\b"])
     overdraft: list[str] = field(default_factory=lambda: [r"\boverdraft\b", r"\bod fee\b"])
 
@@ -62,16 +71,19 @@ def analyze(labelled: DataFrame, accounts: DataFrame, as_of: datetime.date, conf
     config = config or Config()
     rows = labelled.where(F.col("date") <= F.lit(as_of))
     if config.months is not None:
-        rows = M.truncate(rows, as_of, config.months)
+        rows = M.truncate(rows, as_of, config.months, ("request_id",) if "request_id" in rows.columns else ())
     kinds = {"Payroll": "payroll", "Benefit": "benefit", "Transfer": "transfer", "gig": "gig"}
-    sources = None
-    for kind, name in kinds.items():
-        part = I.income_sources(rows.where(F.col("label") == name), as_of, kind)
-        sources = part if sources is None else sources.unionByName(part)
+    kind = F.coalesce(*[F.when(F.col("label") == name, kind) for kind, name in kinds.items()])
+    calendar = C.business_calendar(labelled.sparkSession, as_of - datetime.timedelta(days=CALENDAR_DAYS), as_of + datetime.timedelta(days=60)).persist() if config.patterns else None
+    sources = I.income_sources(rows.where(F.col("label").isin(*kinds.values())), as_of, kind, calendar).persist()  # most tables read it
     ranked = I.ranked(sources)
+    loans = I.loan_sources(rows.where("label = 'loan'"))
     return {
         "income_sources": ranked,
-        "loan_sources": I.loan_sources(rows.where("label = 'loan'")),
+        "loan_sources": loans,
+        "model_input": R.model_input(sources, loans, accounts, list(kinds)),
+        "recurring_income": R.recurring_monthly(sources, accounts),
+        "debit_date": R.debit_date(sources, ["account"]),
         "income_counts": I.counts_by_recency(sources, as_of),
         "income_history": M.history_days(rows.where(F.col("label").isin(*kinds.values())), as_of),
         "monthly_income": M.average_monthly(rows.where((F.col("type") == "CREDIT") & F.col("label").isin(*kinds.values())), as_of),

@@ -619,10 +619,21 @@ def soundex_match(spark, d):
     return names.join(other, "c_custkey").select("c_custkey", T.name_match(F.col("a"), F.col("b")).alias("match"))
 
 
-@query("income_sources")
+_DIST = lambda x: f"coalesce(least(((dom - {x}) % 30 + 30) % 30, (({x} - dom) % 30 + 30) % 30), 30)"
+
+
+@query("income_sources", f"""WITH {REGULAR_SQL}, ledger AS (SELECT * FROM regular), {DAYS}, {_FREQ}, z AS (SELECT max(date) AS d FROM regular),
+q AS (SELECT fq.*, CASE WHEN frequency IN ('W', 'B') THEN ws WHEN frequency IN ('M', 'S') THEN ds WHEN n > 4 AND ws > cut THEN ws WHEN n > 4 THEN ds ELSE 0.0 END AS same, CASE WHEN frequency <> 'M' THEN d2 END AS dd2,
+ CASE WHEN frequency IN ('W', 'B') OR (frequency = 'I' AND n > 4 AND ws > cut) THEN ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][CAST(wd AS INTEGER) + 1] WHEN frequency = 'M' THEN CAST(d1 AS VARCHAR) WHEN frequency = 'S' OR (frequency = 'I' AND n > 4) THEN concat_ws(',', CAST(least(d1, d2) AS VARCHAR), CAST(greatest(d1, d2) AS VARCHAR)) END AS regular_day,
+ round(mean * CASE frequency WHEN 'W' THEN 52.0 / 12 WHEN 'B' THEN 26.0 / 12 WHEN 'S' THEN 2.0 WHEN 'M' THEN 1.0 ELSE CASE WHEN span >= 30 THEN n * 30.0 / span ELSE n END END, 2) AS monthly FROM fq),
+st AS (SELECT g.account, max(g.date) AS last, max(gap) AS gap, least(coalesce(stddev_samp(amount) / avg(amount), 1.0), 1.0) AS cv, avg(amount) AS pay, avg(CASE WHEN frequency IN ('W', 'B') OR least({_DIST("d1")}, {_DIST("dd2")}, date_diff('day', g.date, last_day(g.date))) <= 3 THEN 1.0 ELSE 0.0 END) AS close FROM g JOIN q ON q.account = g.account GROUP BY 1),
+r AS (SELECT q.*, last, gap, cv, pay, close, date_diff('day', last, z.d) AS age, CASE frequency WHEN 'W' THEN 10 WHEN 'B' THEN 18 WHEN 'S' THEN 18 WHEN 'M' THEN 35 ELSE 30 END AS lim, CASE WHEN frequency IN ('M', 'I') THEN 40 ELSE 35 END AS wide, n >= CASE WHEN frequency = 'I' THEN 4 ELSE 2 END AS enough FROM q JOIN st ON st.account = q.account CROSS JOIN z),
+e AS (SELECT *, CAST(CASE WHEN NOT enough THEN 0 WHEN cv <= 0.33 THEN 3 WHEN cv <= 0.5 THEN 2 ELSE 1 END AS BIGINT) AS stability_score, CAST(CASE WHEN age > lim AND frequency <> 'I' THEN 401 ELSE 0 END AS BIGINT) AS error_code FROM r)
+SELECT account, cluster, concat('I1_err_', error_code) AS source_id, 'Payroll' AS income_type, n AS pays, frequency, round(pay, 2) AS pay, monthly AS monthly_income, round(CASE WHEN stability_score = 3 THEN monthly ELSE monthly * (1 - round(cv, 4)) END, 2) AS stable_monthly_income, regular_day, round(same, 4) AS same_day_share, last,
+ CAST(CASE WHEN NOT enough THEN 0 WHEN age > lim THEN 1 WHEN gap >= wide THEN 2 ELSE 3 END AS BIGINT) AS active_score, CAST(CASE WHEN NOT enough THEN 0 WHEN regular_day IS NULL OR close < 0.75 THEN 1 WHEN round(same, 4) >= 0.75 THEN 3 ELSE 2 END AS BIGINT) AS recurring_score, stability_score, error_code FROM e""")
 def income_sources(spark, d):
     ledger = _regular(spark, d)
-    return I.income_sources(ledger, last_date(ledger))
+    return _longs(I.income_sources(ledger, last_date(ledger)))
 
 
 @query("shifted_weekday_pattern")

@@ -34,12 +34,22 @@ def as_json(row_columns: list[str]) -> Column:
     return F.to_json(F.struct(*row_columns), {"ignoreNullFields": "true"})
 
 
-def keyed(rows: DataFrame, key: str = "account") -> DataFrame:
-    """One row: a map from each key to its struct, for tables that are small by their meaning (one customer)."""
-    rest = F.struct(*[c for c in rows.columns if c != key])
-    return rows.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key), rest.alias("value"))))).alias("by_key"))
+def keyed(rows: DataFrame, key: str = "account", by: str = "request_id") -> DataFrame:
+    """One row per request (``by``): a map from each of its keys to the key's struct."""
+    rest = F.struct(*[c for c in rows.columns if c not in (key, by)])
+    return rows.groupBy(by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key), rest.alias("value"))))).alias("by_key"))
 
 
 def write(rows: DataFrame, path: str, format: str = "parquet", mode: str = "error", **options) -> None:
     """Rows to files of any of Spark's formats (parquet, csv, json, orc ...) or a table by JDBC."""
     rows.write.format(format).mode(mode).options(**options).save(path)
+
+
+def nested_by_account(accounts: DataFrame, sections: dict[str, DataFrame], windows: dict[str, DataFrame], renames: dict[str, str] | None = None, key: str = "account") -> DataFrame:
+    """One document per account: lists of each section, flat columns of each windowed table, names as given.
+
+    A windowed table has one row per account; its columns stand in the document itself."""
+    out = by_account(accounts, sections, key)
+    for table in windows.values():
+        out = out.join(table, key, "left")
+    return out.withColumnsRenamed(renames or {})

@@ -32,13 +32,14 @@ def as_of() -> Column:
 
 def errors(requests: DataFrame) -> DataFrame:
     """(request_id, code, message) of documents that cannot be analysed: 401 nothing to work on, 301 a single
-    credit or debit, 501 no date; the first that applies."""
-    rows = parsed(requests)
+    field, credit or debit, 501 no date; the first that applies."""
+    rows = requests.select("request_id", "body", F.from_json(printable(F.col("body")), REQUEST).alias("doc"))
     side = lambda t: F.size(F.filter(F.coalesce("doc.transactions", F.array()), lambda x: F.upper(x["type"]) == t))
     empty = F.col("doc").isNull() | (F.size(F.coalesce("doc.transactions", F.array())) == 0)
     fault = lambda n, text: F.struct(F.lit(n).alias("code"), F.lit(text).alias("message"))
     code = (
-        F.when(empty, fault(401, "no transactions"))
+        F.when(F.coalesce(F.size(F.json_object_keys("body")) == 1, F.lit(False)), fault(301, "a single field"))
+        .when(empty, fault(401, "no transactions"))
         .when(side("CREDIT") == 0, fault(401, "no credits"))
         .when((side("CREDIT") == 1) | (side("DEBIT") == 1), fault(301, "a single credit or debit"))
         .when(F.size(F.coalesce("doc.accounts", F.array())) == 0, fault(401, "no accounts"))

@@ -49,17 +49,36 @@ def refreshed_labels(rows: DataFrame) -> DataFrame:
     return rows.groupBy("account", "cluster").applyInPandasWithState(of, "account string, cluster string, txn_id long, label string", "names array<string>, counts array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
+def _versions(spark, path: str) -> list[int]:
+    """Numbers of the whole versions of a keyed table, ascending."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(done(f"{path}/{n}/_SUCCESS")))
+
+
+def stored(spark, path: str) -> DataFrame | None:
+    """The keyed table as last written, or None."""
+    found = _versions(spark, path)
+    return spark.read.parquet(f"{path}/{found[-1]}") if found else None
+
+
 def upsert(rows: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """A keyed table kept by micro-batches: each batch's last row of a key replaces the stored one.
+    """A keyed table kept by micro-batches: the row with the latest ``ts`` of a key stays, whether new or stored.
 
-    Two folders are written in turn, so that the table is never read and written at once."""
+    Each batch writes a version of its own and removes those before the last; a batch that is run again, a late row
+    and a fresh checkpoint on an existing table all give the same table."""
 
     def save(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), "ts").alias("r")).select("r.*")
-        if number:
-            old = spark.read.parquet(f"{path}/{(number - 1) % 2}").join(last, keys, "left_anti")
-            last = old.unionByName(last)
-        last.write.mode("overwrite").parquet(f"{path}/{number % 2}")
+        old, found = stored(spark, path), _versions(spark, path)
+        both = batch if old is None else old.unionByName(batch)
+        last = both.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), "ts").alias("r")).select("r.*")
+        last.write.mode("overwrite").parquet(f"{path}/{found[-1] + 1 if found else 0}")
+        jvm = spark.sparkContext._jvm
+        for version in found[:-1]:
+            gone = jvm.org.apache.hadoop.fs.Path(f"{path}/{version}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
     return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)

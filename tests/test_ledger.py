@@ -185,7 +185,7 @@ def test_label_and_analyze(ledger, owners, spark):
     labelled = A.label(ledger, edits=edits)
     got = {r.description: (r.label, r.label_source) for r in labelled.collect()}
     assert got["ACME PAYROLL"] == ("payroll", "rules") and got["rent"][0] == "housing" and got["SSA benefit"][0] == "benefit"
-    tables = A.analyze(labelled, owners, AS_OF)
+    tables = A.analyze(labelled.persist(), owners, AS_OF)
     assert {r.account: r.income_type for r in tables["income_sources"].collect()} == {"a": "Payroll", "b": "Benefit"}
     assert all(isinstance(t.collect(), list) for t in tables.values())
 
