@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import decontam, line_dedup, ngram_join, packing, toxicity
-from ledgerline.llm.store import keep
+from ledgerline.llm.store import drop_since, keep, mark
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
+    begin = mark()
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        # what the stage and its predecessor wrote is not read again
+        drop_since(spark, begin, f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
