@@ -40,10 +40,12 @@ FAMILIES = (
     ("mit", f"mit(?: style)? {_L}", "mit", ()),
     ("mit", "expat licen[cs]e", "expat", ()),
     ("bsd", f"bsd(?: style)? {_L}", "bsd", ()),
-    ("bsd-2-clause", f"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: {_L})?", "bsd", ()),
+    ("bsd-2-clause", f"(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: {_L})?", "bsd", ()),
+    ("bsd-2-clause", f"freebsd(?: {_L})?", "freebsd", ()),
     ("bsd-3-clause", f"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: {_L})?", "bsd", ()),
     ("bsd-4-clause", f"(?:bsd 4 clause|4 clause bsd|original bsd)(?: {_L})?", "bsd", ()),
-    ("0bsd", f"(?:0bsd|zero clause bsd)(?: {_L})?", "bsd", ()),
+    ("0bsd", f"0bsd(?: {_L})?", "0bsd", ()),
+    ("0bsd", f"zero clause bsd(?: {_L})?", "zero clause bsd", ()),
     ("isc", f"isc {_L}", "isc", ()),
     ("mpl", f"mozilla public {_L}", "mozilla", ("1 0", "1 1", "2 0")),
     ("epl", f"eclipse public {_L}", "eclipse", ("1 0", "2 0")),
@@ -115,7 +117,8 @@ FAMILIES = (
     ("frameworx", f"frameworx {_L}", "frameworx", ("1 0",)),
     ("nasa", f"nasa open source agreement", "nasa open source", ("1 3",)),
     ("open-group", f"open group test suite {_L}", "open group", ()),
-    ("openrail", f"(?:bigscience |creativeml )?open ?rail(?: m)?(?: {_L})?", "rail", ()),
+    ("openrail", f"openrail(?: m)?(?: {_L})?", "openrail", ()),
+    ("openrail", f"open rail(?: m)?(?: {_L})?", "open rail", ()),
     ("llama", f"llama [0-9]+ community {_L}", "llama", ()),
     ("proprietary", "proprietary and confidential", "proprietary and confidential", ()),
     ("proprietary", "confidential and proprietary", "confidential and proprietary", ()),
@@ -214,11 +217,12 @@ def anchor(keyword: str, pattern: str) -> str:
 
 
 def gate(table: list[tuple[str, int, str, str]]) -> str:
-    """A pattern for raw texts in which some rule of the table or a base phrase may find something; one branch a letter."""
+    """A pattern for raw texts in which some rule of the table or a base phrase may find something: a part at the start
+    of a word, one branch a letter.  Keywords stand at the start of a word of whatever their rule finds."""
     parts = {anchor(keyword, pattern) for _, _, keyword, pattern in table} | {"licen[cs]e"} | {SEPARATORS.join(phrase.split()) for phrase, _ in BASE if "license" not in phrase}
-    # a part that holds another one is found with it
-    least = sorted(w for w in parts if not any(v != w and v in w for v in parts))
-    return "(?i)(?:" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in least if w[0] == c)})" for c in sorted({w[0] for w in least})) + ")"
+    # a part that holds another one, at the start of a word, is found with it
+    least = sorted(w for w in parts if not any(v != w and (w.startswith(v) or SEPARATORS + v in w) for v in parts))
+    return r"(?i)(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?:" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in least if w[0] == c)})" for c in sorted({w[0] for w in least})) + ")"
 
 
 def _count_words(text: Column) -> Column:
