@@ -1,20 +1,23 @@
 """Toxicity by weak supervision.
 
-Lexicons are mined from labelled training rows: words and word beginnings whose
-presence goes with the label, in tiers of precision.  Each kind and tier is a
-voter, as are a short hand-written lexicon, writing patterns (shouting, runs of
-exclamation marks) and the absence of any listed word.  A generative label model
-estimates every voter's accuracy and the voters' correlations by expectation-
-maximisation over counts of vote patterns (at most 2**voters of them, however
-many rows there are) and gives each pattern a posterior.  A logistic regression
-on the presence of the mined features is trained on these posteriors, and its
-output is calibrated on the training labels.
-
-The fit reads a bounded sample of the labelled training rows (``max_rows``, by
-hash of the id); scoring covers every row and whole texts.  Null and empty texts
-get the score of a text without any feature.  Without labelled rows of both
-classes the hand-written lexicon alone decides.  Repeated label rows of one id
-count once, toxic if any says so.
+Voters are lexicons and patterns.  Lexicons are mined from labelled training
+rows (words and word beginnings whose presence goes with the label, in tiers of
+precision) or written by hand (insults, threats, contempt, obscenities);
+patterns are shouting, exclamation marks, masked words and stretched words.  The
+absence of any mined word votes too.  A generative label model estimates every
+voter's accuracy and the voters' correlations by expectation-maximisation over
+the vote patterns of the training rows (at most 2**voters counts) and gives each
+pattern a posterior.  The labels start it and anchor the classes as
+pseudo-counts; votes of unlabelled rows are left out, as they let the classes
+drift to whatever else many rows share.  A logistic regression on the presence
+of the mined features is trained on the posteriors, and its output is calibrated
+on the labels.
+
+The labelled rows that the fit reads are a bounded sample (``max_rows``, by hash
+of the id); scores cover every row and whole texts.  Null and empty
+texts get the score of a text without any feature.  Without labelled rows of
+both classes the insults alone decide.  Repeated label rows of one id count
+once, toxic if any says so.
 """
 
 from __future__ import annotations
@@ -39,8 +42,15 @@ MAX_ROWS, MAX_FEATURES, MIN_ROWS = 20_000, 2_048, 4
 #: Likelihood-ratio statistic that a mined feature needs; many are tried, so it is far beyond 3.84.
 MIN_GAIN = 15.0
 THRESHOLD = 0.3
-#: Common insults, the hand-written lexicon.
+#: The hand-written lexicons; each is a voter.
 LEXICON = "idiot moron stupid loser pathetic scum trash worthless disgusting clown dumb jerk fool creep liar vermin filth imbecile retard bastard".split()
+THREATS = "kill die hurt beat punch choke stab shoot hang bleed suffer regret deserve destroy drown".split()
+CONTEMPT = "hate despise loathe useless ugly coward hypocrite ignorant garbage rubbish brainless spineless sickening shameful ashamed".split()
+OBSCENE = "shit crap bullshit ass asshole bitch fuck fucking fucker piss damn hell slut whore".split()
+HAND = (LEXICON, THREATS, CONTEMPT, OBSCENE)
+#: Voters beside the mined lexicons: the hand-written ones, four patterns and the absence of any mined word.
+PATTERNS = 4
+OTHERS = len(HAND) + PATTERNS + 1
 BEGINNINGS = (4, 5, 6)
 KINDS = 1 + len(BEGINNINGS)
 TIERS = (0.95, 0.8, 0.5)
@@ -130,27 +140,59 @@ def mined(rows: DataFrame) -> DataFrame:
     return counts.groupBy("feature", "kind").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def votes_of(rows: DataFrame, keys: np.ndarray, voters: np.ndarray, n_voters: int) -> DataFrame:
-    """Rows (text, toxic) to (votes, features, toxic): one bit for each voter, and the features present.
+def _votes(texts: Texts, lookup: Lookup, mined_as: np.ndarray, hand_bits: np.ndarray, voters: np.ndarray, n_voters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Votes of each text, one bit for each voter, and the (text, mined feature) pairs present.
+
+    Voters of mined features come first, then the hand-written lexicons, shouting, exclamations, masked words,
+    stretched words and, last, no mined feature at all.  ``lookup`` holds mined features and hand-written words;
+    ``mined_as`` and ``hand_bits`` say what each of its keys is."""
+    n, data = len(texts), texts.data
+    text, found = lookup.present(texts)
+    bits = np.zeros(n, dtype=np.int64)
+    is_mined = mined_as[found] >= 0
+    owner, feature = text[is_mined], mined_as[found[is_mined]]
+    kind = voters[feature]
+    np.bitwise_or.at(bits, owner, np.where(kind >= 0, np.int64(1) << np.maximum(kind, 0).astype(np.int64), 0))
+    bits[bits == 0] |= 1 << (n_voters + OTHERS - 1)
+    np.bitwise_or.at(bits, text, hand_bits[found] << n_voters)
+    size = np.maximum(np.diff(texts.starts), 1)
+
+    def count(marked: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate(([0], np.cumsum(marked)))[texts.starts])
+
+    low = LOWER[data]
+    letter = (low >= 97) & (low <= 122)
+    masked, stretched = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
+    sign = np.isin(data, np.frombuffer(b"*#$", dtype=np.uint8))
+    masked[1:-1] = letter[:-2] & sign[1:-1] & letter[2:]
+    stretched[2:] = letter[2:] & (low[2:] != 119) & (low[2:] == low[1:-1]) & (low[2:] == low[:-2])
+    patterns = (2 * count((data >= 65) & (data <= 90)) > size, 50 * count(data == 33) > size, count(masked) > 0, count(stretched) > 0)
+    for k, says in enumerate(patterns):
+        bits[says] |= 1 << (n_voters + len(HAND) + k)
+    return bits, owner, feature
+
+
+def _voting(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All keys that voters look for; which mined feature each is (or -1), and the hand-written lexicons it is in."""
+    lists = [np.array([_word_hash(w) for w in words_], dtype=U) for words_ in HAND]
+    every = np.unique(np.concatenate([keys, *lists]))
+    mined_as = np.full(len(every), -1, dtype=np.int64)
+    mined_as[np.searchsorted(every, keys)] = np.arange(len(keys))
+    hand_bits = np.zeros(len(every), dtype=np.int64)
+    for k, hashes in enumerate(lists):
+        hand_bits[np.searchsorted(every, hashes)] |= 1 << k
+    return every, mined_as, hand_bits
 
-    Voters of features come first, then shouting, exclamations, the hand lexicon and, last, no feature at all.
-    """
-    hand = np.array([_word_hash(w) for w in LEXICON], dtype=U)
+
+def votes_of(rows: DataFrame, keys: np.ndarray, voters: np.ndarray, n_voters: int) -> DataFrame:
+    """Rows (text, toxic) to (votes, features, toxic), see ``_votes``."""
+    every, mined_as, hand_bits = _voting(keys)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, lexicon = Lookup(keys), Lookup(hand)
+        lookup = Lookup(every)
         for batch in batches:
             for a, b, texts in rounds(batch.column(0)):
-                text, feature = lookup.present(texts)
-                bits = np.zeros(b - a, dtype=np.int64)
-                np.bitwise_or.at(bits, text, np.where(voters[feature] >= 0, np.int64(1) << np.maximum(voters[feature], 0).astype(np.int64), 0))
-                bits[bits == 0] |= 1 << (n_voters + 3)
-                upper = np.concatenate(([0], np.cumsum((texts.data >= 65) & (texts.data <= 90))))
-                marks = np.concatenate(([0], np.cumsum(texts.data == 33)))
-                size = np.maximum(np.diff(texts.starts), 1)
-                bits[2 * np.diff(upper[texts.starts]) > size] |= 1 << n_voters
-                bits[50 * np.diff(marks[texts.starts]) > size] |= 1 << (n_voters + 1)
-                bits[np.unique(lexicon.present(texts)[0])] |= 1 << (n_voters + 2)
+                bits, text, feature = _votes(texts, lookup, mined_as, hand_bits, voters, n_voters)
                 cuts = np.searchsorted(text, np.arange(b - a + 1))
                 names = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(feature.astype(str).tolist(), pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array(bits), names, batch.column(1).slice(a, b - a)], ["votes", "features", "toxic"])
@@ -161,7 +203,8 @@ def votes_of(rows: DataFrame, keys: np.ndarray, voters: np.ndarray, n_voters: in
 def label_model(patterns: list[tuple[int, int, int]], n_voters: int, rounds_: int = 60):
     """Expectation-maximisation over (vote pattern, positive rows, negative rows) of the training labels.
 
-    The labels, which may be wrong, start the voters' rates in either class and stay as pseudo-counts; the
+    The labels, which may be wrong, start the voters' rates in either class and stay as pseudo-counts, so that the
+    classes keep their meaning where votes go together for another reason (a hot source, copies); the
     posteriors come from the votes alone.  Voters are independent given the class up to pairwise
     correlation: a voter's evidence is divided by one plus the sum of its positive correlations with the
     others.  Returns each pattern's posterior, the voters' accuracies and their correlations.
@@ -179,7 +222,7 @@ def label_model(patterns: list[tuple[int, int, int]], n_voters: int, rounds_: in
         post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -40, 40)))
         for y, w in ((0, (1 - post) * n), (1, post * n)):
             rate[y] = (w @ votes + seen[y]) / (w.sum() + size[y])
-        prior = float(((post @ n) + size[1]) / (n.sum() + size.sum()))
+        prior = float((post @ n + size[1]) / (n.sum() + size.sum()))
         if step % 10 == 9:
             pooled = np.zeros_like(corr)
             for y, w in ((0, (1 - post) * n), (1, post * n)):
@@ -221,12 +264,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     tier = np.searchsorted(-np.array(TIERS), -precision)
     voters = np.where(tier < len(TIERS), np.array([r["kind"] for r in best]) * len(TIERS) + tier, -1)
     n_lexicons = KINDS * len(TIERS)
-    n_voters = n_lexicons + 4
+    n_voters = n_lexicons + OTHERS
     seen = keep(votes_of(rows, keys, voters, n_lexicons), "toxicity-votes")
     patterns = [(r["votes"], r["pos"], r["neg"]) for r in seen.groupBy("votes").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).orderBy("votes").collect()]
     post, accuracies, correlations = label_model(patterns, n_voters)
     table = docs.sparkSession.createDataFrame([(int(p[0]), float(x)) for p, x in zip(patterns, post)], "votes long, posterior double")
-    soft = seen.join(F.broadcast(table), "votes")  # at most 2**n_voters rows of two numbers, in practice few
+    soft = seen.join(F.broadcast(table), "votes")  # at most as many rows of two numbers as the sample has
     vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(keys))], "features", "vector", minTF=1.0, binary=True)
     both = soft.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))).alias("x")).select("features", "x.*").where("weight > 0.001")
     classes = both.groupBy("label").count().count()
