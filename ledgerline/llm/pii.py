@@ -1,13 +1,17 @@
 """Personal data by weak supervision.
 
 Base kinds (email, ip, card, phone) are exact patterns with checks.  Further
-spans come from candidates: tokens with a digit or an at sign.  Labelers (regex,
-words before the token, shape of the token and of its context) vote
-on each candidate; the votes of a candidate are one integer.  Expectation-
-maximisation over counts of these integers (bounded by 2**labelers, whatever the
-number of rows) estimates the labelers' reliabilities and a posterior for each;
-a logistic regression on the votes and their pairs, trained on all counts, is
-the final classifier.  Accepted candidates that touch no base span are added.
+spans come from candidates of two families: tokens with a digit or an at sign,
+and wide ones (names, street addresses, spelled-out addresses, numbers in
+groups, what follows the word password).  Labelers (regex; gazetteers of given
+names, surnames and places; words before and after; shape) vote on each
+candidate of their family; its votes are one integer.  For each family
+expectation-maximisation over counts of these integers (bounded by 2**labelers,
+whatever the number of rows) estimates the labelers' reliabilities and a
+posterior for each; a logistic regression on the votes and on the candidate's
+length, share of digits and the sign in front, trained on all counts, is the
+final classifier.  Accepted candidates are added that touch no base span, wide
+ones before tokens.
 
 Texts are read once, by array functions on each row; counts are the only
 shuffle.  Null and empty texts have no spans.  Repeated rows count once each.
@@ -19,7 +23,6 @@ import math
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +36,29 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds, in the order of spans that start together.
-ADDED = ("secret", "account", "contact")
+ADDED = ("secret", "account", "contact", "name", "address")
 #: Tokens with a digit or an at sign, tried at token starts only.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: Words before a token that speak for a kind.
 SECRET_WORDS = "password|passwd|passphrase|pwd|token|secret|credential|credentials|apikey|api_key|api-key|access_key|private_key|auth|bearer|login"
 ACCOUNT_WORDS = "account|acct|iban|bic|swift|ssn|passport|license|licence|tax|insurance|card|visa|mastercard|amex|member|customer|patient|id"
 CONTACT_WORDS = "phone|tel|telephone|mobile|cell|fax|call|whatsapp|email|e-mail|mail|contact|address|skype|telegram"
+#: Gazetteers, and names that are also common words.
+GIVEN = "James|John|Robert|Michael|William|David|Richard|Joseph|Thomas|Charles|Daniel|Matthew|Anthony|Mark|Paul|Steven|Andrew|Kenneth|George|Kevin|Brian|Edward|Peter|Maria|Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Jessica|Sarah|Karen|Lisa|Nancy|Anna|Emma|Laura|Julia|Sophie|Alice|Helen|Claire|Grace|Rose|Hope|April|May|June|Will|Frank|Hans|Klaus|Petra|Ingrid|Pierre|Jean|Marie|Luis|Carlos|Jose|Juan|Ana|Sofia|Ahmed|Mohammed|Fatima|Ali|Wei|Yuki|Hiroshi|Olga|Ivan|Priya|Raj"
+SURNAMES = "Smith|Johnson|Williams|Brown|Jones|Garcia|Miller|Davis|Rodriguez|Martinez|Hernandez|Lopez|Gonzalez|Wilson|Anderson|Taylor|Moore|Jackson|Martin|Lee|Thompson|White|Harris|Clark|Lewis|Robinson|Walker|Young|Allen|King|Wright|Scott|Hill|Green|Adams|Baker|Nelson|Campbell|Mitchell|Roberts|Schmidt|Schneider|Fischer|Weber|Meyer|Wagner|Becker|Dupont|Dubois|Moreau|Bernard|Rossi|Bianchi|Silva|Santos|Ivanov|Petrov|Kumar|Singh|Patel|Khan|Chen|Wang|Zhang|Nguyen|Kim|Tanaka|Sato"
+COMMON = "Mark|Grace|Rose|Hope|April|May|June|Will|Frank|Ali|Jean"
+STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square|Place|Terrace|Way"
+PLACES = "London|Paris|Berlin|Madrid|Rome|Vienna|Dublin|Zurich|Amsterdam|Brussels|Munich|Hamburg|Boston|Chicago|Seattle|Denver|Dallas|Houston|Austin|Portland|Atlanta|Toronto|Sydney|Melbourne|Tokyo|Delhi|Mumbai|Moscow"
+NAME_WORDS = "name|named|signed|contact|patient|customer|client|employee|author|dear|sincerely|regards|attn|attention|mr|mrs|ms|dr|prof"
+#: Wide candidates: capitalised runs after a given name or a title, house number and street, spelled-out
+#: addresses, numbers in groups, letters after a word for a secret.  Every step is possessive or bounded.
+TITLED = r"(?:Mr|Mrs|Ms|Dr|Prof)\b\.?\x20[A-Z][a-z]{1,30}+(?:[\x20-][A-Z][a-z]{1,30}+){0,2}"
+PERSON = rf"(?:{GIVEN})\b(?:\x20[A-Z]\.)?(?:[\x20-][A-Z][a-z]{{1,30}}+){{1,2}}"
+STREET = rf"[0-9]{{1,5}}[a-zA-Z]?\x20(?:[A-Z][a-z]{{1,30}}+\x20){{1,3}}(?:{STREETS})\b"
+GROUPED = r"\(?[0-9]{3}\)?\x20[0-9]{2,3}[\x20-][0-9]{4}(?![0-9])"
+SPELLED = r"[A-Za-z0-9._-]{1,64}+\x20[(\[]?at[)\]]?\x20[A-Za-z0-9-]{1,63}+(?:\x20[(\[]?dot[)\]]?\x20[A-Za-z0-9-]{1,63}+){1,4}"
+SECRET = r"(?<=(?i:password|passwd|passphrase|secret|pwd)[:=]\x20?)[^\x20\x09-\x0D0-9@]{4,64}+(?![^\x20\x09-\x0D])"
+WIDE = rf"(?<![A-Za-z0-9])(?:(?=[A-Z])(?:{TITLED}|{PERSON})|(?=[0-9(])(?:{STREET}|{GROUPED}))|(?<![^\x20\x09-\x0D])(?=[A-Za-z0-9._-]{{1,64}}+\x20[(\[]?at[)\]]?\x20){SPELLED}|{SECRET}"
 ACCEPT = 0.5
 
 
@@ -109,75 +128,132 @@ def labelers(token: Column, before: Column) -> list[tuple[str, Column]]:
     ]
 
 
-#: Rates of a vote on spans that are none and on real ones, to start with; the last three speak against.
+def wide_labelers(token: Column, before: Column, after: Column) -> list[tuple[str, Column]]:
+    """Votes on a wide candidate, given what stands up to 40 characters around it."""
+    word = lambda words: before.rlike(rf"(?i)(?:^|[^a-z])(?:{words})[\x20\"':=#.,(]*$")
+    street = token.rlike(rf"^[0-9]{{1,5}}[a-zA-Z]?\x20.*\x20(?:{STREETS})$")
+    named = token.rlike(r"^[A-Z][a-z]")
+    return [
+        ("given", token.rlike(rf"\b(?:{GIVEN})\b") & named),
+        ("surname", token.rlike(rf"[\x20-](?:{SURNAMES})$") & named),
+        ("title", token.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof)\b")),
+        ("name_word", word(NAME_WORDS) & named),
+        ("street", street),
+        ("place", after.rlike(rf"^[,\x20]{{1,2}}(?:(?:{PLACES})\b|(?:[A-Z][a-z]+,?\x20)?(?:[A-Z]{{2}}\x20)?[0-9]{{5}}\b)")),
+        ("spelled", token.rlike(r"\x20[(\[]?dot[)\]]?\x20")),
+        ("after_secret", before.rlike(rf"(?i)(?:{SECRET_WORDS})[:=]\x20?$")),
+        ("grouped", token.rlike(r"^[0-9() -]+$")),
+        ("account_word", word(ACCOUNT_WORDS)),
+        ("contact_word", word(CONTACT_WORDS)),
+        ("common", token.rlike(rf"^(?:{COMMON})\b")),
+    ]
+
+
+#: Rates of a vote on spans that are none and on real ones, to start with, where not (0.01, 0.3).
 START = {"plain": (0.6, 0.02), "date": (0.1, 0.01), "link": (0.1, 0.02), "assigned": (0.1, 0.5), "mixed": (0.1, 0.4), "long_digits": (0.05, 0.3)}
+START |= {"given": (0.1, 0.5), "title": (0.01, 0.5), "street": (0.01, 0.5), "spelled": (0.01, 0.5), "after_secret": (0.01, 0.5), "grouped": (0.05, 0.4), "common": (0.3, 0.03)}
 NAMES = ("secret_word", "account_word", "contact_word", "assigned", "hex", "mixed", "iban", "ssn", "long_digits", "phone_like", "at", "plain", "date", "link")
+WIDE_NAMES = ("given", "surname", "title", "name_word", "street", "place", "spelled", "after_secret", "grouped", "account_word", "contact_word", "common")
+#: Steps of a candidate's length, its share of digits and the sign in front; a shape is one of each.
+FACETS = (5, 5, 3)
+
+
+def _shape(token: Column, before: Column) -> Column:
+    n = F.length(token)
+    length = F.when(n < 6, 0).when(n < 10, 1).when(n < 16, 2).when(n < 25, 3).otherwise(4)
+    digits = F.floor(4 * F.length(_digits(token)) / F.greatest(n, F.lit(1))).cast("int")
+    sign = F.when(before.rlike(r"[:=]\x20?$"), 1).when(before.rlike(r"[\"'(\[<]$"), 2).otherwise(0)
+    return length + FACETS[0] * (digits + FACETS[1] * sign)
+
+
+def _facets(shape: Column) -> list[Column]:
+    """Whether a shape shows each step of each facet."""
+    a, b, _ = FACETS
+    parts = (shape % a, F.floor(shape / a).cast("int") % b, F.floor(shape / (a * b)).cast("int"))
+    return [parts[k] == v for k, steps in enumerate(FACETS) for v in range(steps)]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base kinds' spans, cands): all that is needed of the texts; cands are (start, end, votes)."""
+    """(id, base kinds' spans, cands, wides): all that is needed of the texts; candidates are (start, end, votes, shape)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    found = F.when(F.col("text").rlike("[0-9@]"), places(F.col("text"), TOKEN)).otherwise(F.array().cast("array<struct<start:int,end:int,token:string>>"))
-    rows = rows.select("id", *[s.alias(k) for k, s in base_spans(F.col("text")).items()], found.alias("tokens"), "text")
+    none = F.array().cast("array<struct<start:int,end:int,token:string>>")
+    found = F.when(F.col("text").rlike("[0-9@]"), places(F.col("text"), TOKEN)).otherwise(none)
+    wide = F.when(F.col("text").rlike(WIDE), places(F.col("text"), WIDE)).otherwise(none)
+    rows = rows.select("id", *[s.alias(k) for k, s in base_spans(F.col("text")).items()], found.alias("tokens"), wide.alias("wide"), "text")
 
-    def cand(x: Column) -> Column:
+    def cand(x: Column, is_wide: bool) -> Column:
         token = x["token"]
         before = F.substring(F.col("text"), F.greatest(x["start"] - 39, F.lit(1)), F.least(x["start"], F.lit(40)))
+        own = wide_labelers(token, before, F.substring(F.col("text"), x["end"] + 1, F.lit(40))) if is_wide else labelers(token, before)
         votes = F.lit(0)
-        for k, (_, vote) in enumerate(labelers(token, before)):
+        for k, (_, vote) in enumerate(own):
             votes = votes + F.when(vote, F.lit(1 << k)).otherwise(F.lit(0))
         # without a name and sign in front and punctuation around
-        lead = F.length(F.regexp_extract(token, r"^((?:[\"'(\[]*+[A-Za-z_-]{2,30}[=:])?+[^0-9A-Za-z@+]*+)", 1))
+        front = r"^([\"'\[]*+)" if is_wide else r"^((?:[\"'(\[]*+[A-Za-z_-]{2,30}[=:])?+[^0-9A-Za-z@+]*+)"
+        lead = F.length(F.regexp_extract(token, front, 1))
         tail = F.length(token) - F.length(F.rtrim(token, F.lit(".,;:!?\"')]}>#$%&*|")))
-        return F.struct((x["start"] + lead).alias("start"), (x["end"] - tail).alias("end"), votes.alias("votes"))
+        return F.struct((x["start"] + lead).alias("start"), (x["end"] - tail).alias("end"), votes.alias("votes"), _shape(token, before).alias("shape"))
 
     bare = lambda k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k)
-    return rows.select("id", *[bare(k) for k in KINDS], F.filter(F.transform("tokens", cand), lambda c: c["end"] > c["start"]).alias("cands"))
+    kept = lambda name, is_wide: F.filter(F.transform(name, lambda x: cand(x, is_wide)), lambda c: c["end"] > c["start"])
+    return rows.select("id", *[bare(k) for k in KINDS], kept("tokens", False).alias("cands"), kept("wide", True).alias("wides"))
 
 
-def label_model(patterns: list[tuple[int, int]], rounds: int = 80) -> tuple[dict[int, float], list[tuple[float, float]]]:
-    """Expectation-maximisation over (votes, count): posterior of each vote pattern, rates of each labeler."""
-    n = len(NAMES)
-    rates = [START.get(name, (0.01, 0.3)) for name in NAMES]
-    prior, post = 0.3, {}
+def label_model(patterns: list[tuple[int, int]], names: tuple[str, ...], rounds: int = 80) -> tuple[float, list[tuple[float, float]]]:
+    """Expectation-maximisation over (votes, count): the prior, and the rates of each labeler."""
+    start = [START.get(name, (0.01, 0.3)) for name in names]
+    rates, prior = list(start), 0.3
+    total = sum(c for _, c in patterns)
+    # the starting rates stay as pseudo-counts, so that a labeler without votes keeps its meaning
+    weight = max(10.0, 0.05 * total)
     for _ in range(rounds):
-        for votes, _count in patterns:
+        real, hits = 0.0, [[0.0, 0.0] for _ in names]
+        for votes, count in patterns:
             odds = math.log(prior / (1 - prior))
             for k, (low, high) in enumerate(rates):
                 odds += math.log(high / low) if votes >> k & 1 else math.log((1 - high) / (1 - low))
-            post[votes] = 1 / (1 + math.exp(-max(-40.0, min(40.0, odds))))
-        total = sum(c for _, c in patterns)
-        real = sum(c * post[v] for v, c in patterns)
-        # the starting rates stay as pseudo-counts, so that a labeler without votes keeps its meaning
-        weight = max(10.0, 0.05 * total)
-        rates = [
-            (
-                (sum(c * (1 - post[v]) for v, c in patterns if v >> k & 1) + weight * START.get(NAMES[k], (0.01, 0.3))[0]) / (total - real + weight),
-                (sum(c * post[v] for v, c in patterns if v >> k & 1) + weight * START.get(NAMES[k], (0.01, 0.3))[1]) / (real + weight),
-            )
-            for k in range(n)
-        ]
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+            real += count * p
+            for k, hit in enumerate(hits):
+                if votes >> k & 1:
+                    hit[0] += count * (1 - p)
+                    hit[1] += count * p
+        rates = [((h[0] + weight * s[0]) / (total - real + weight), (h[1] + weight * s[1]) / (real + weight)) for h, s in zip(hits, start)]
         prior = min(0.95, max(0.001, (real + 0.3 * weight) / (total + weight)))
-    return post, rates
+    return prior, rates
 
 
-def accepted_votes(scanned: DataFrame, accept: float = ACCEPT) -> list[int]:
-    """The vote patterns that the final classifier takes for personal data."""
-    counts = scanned.select(F.explode("cands").alias("c")).groupBy("c.votes").agg(F.count("*").alias("n"))
-    patterns = [(r["votes"], r["n"]) for r in counts.orderBy("votes").collect()]
+def _voted(votes: Column, k: int) -> Column:
+    return votes.bitwiseAND(F.lit(1 << k)) != 0
+
+
+def classifier(scanned: DataFrame, cands: str, names: tuple[str, ...]):
+    """The final classifier of a family: a function from a candidate to its log odds, or None without candidates."""
+    counts = scanned.select(F.explode(cands).alias("c")).groupBy("c.votes", "c.shape").agg(F.count("*").alias("n"))
+    counts = keep(counts, f"pii-{cands}")
+    patterns = [(r["votes"], r["n"]) for r in counts.groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()]
     if not patterns:
-        return []
-    post, _ = label_model(patterns)
-    n = len(NAMES)
-    bits = lambda v: [float(v >> k & 1) for k in range(n)]
-    table = F.array(*[F.struct(F.lit(v).alias("votes"), F.lit(float(c)).alias("n"), F.lit(post[v]).alias("p"), *[F.lit(b).alias(f"f{k}") for k, b in enumerate(bits(v))]) for v, c in patterns])
-    rows = scanned.sparkSession.range(1).select(F.explode(table).alias("x")).select("x.*")
-    vectors = VectorAssembler(inputCols=[f"f{k}" for k in range(n)], outputCol="features").transform(rows)
-    both = vectors.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("p") * F.col("n")).alias("weight")), F.struct(F.lit(0.0).alias("label"), ((1 - F.col("p")) * F.col("n")).alias("weight")))).alias("x")).select("features", "x.*").where("weight > 1e-6")
+        return None
+    prior, rates = label_model(patterns, names)
+    odds = F.lit(math.log(prior / (1 - prior)))
+    for k, (low, high) in enumerate(rates):
+        odds = odds + F.when(_voted(F.col("votes"), k), math.log(high / low)).otherwise(math.log((1 - high) / (1 - low)))
+    p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
+    inputs = [_voted(F.col("votes"), k) for k in range(len(names))] + _facets(F.col("shape"))
+    rows = counts.select("n", p.alias("p"), *[x.cast("double").alias(f"f{k}") for k, x in enumerate(inputs)])
+    vectors = VectorAssembler(inputCols=[f"f{k}" for k in range(len(inputs))], outputCol="features").transform(rows)
+    both = vectors.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("p") * F.col("n")).alias("weight")), F.struct(F.lit(0.0).alias("label"), ((1 - F.col("p")) * F.col("n")).alias("weight")))).alias("x")).select("features", "x.*")
     model = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=60, standardization=False).fit(both)
-    scored = model.transform(vectors).select("votes", vector_to_array("probability")[1].alias("p"))
-    return sorted(r["votes"] for r in scored.where(F.col("p") >= accept).collect())
+    weights, intercept = [float(w) for w in model.coefficients], float(model.intercept)
+
+    def margin(c: Column) -> Column:
+        out = F.lit(intercept)
+        for has, w in zip([_voted(c["votes"], k) for k in range(len(names))] + _facets(c["shape"]), weights):
+            out = out + F.when(has, w).otherwise(0.0)
+        return out
+
+    return margin
 
 
 def _kind(votes: Column) -> Column:
@@ -185,10 +261,16 @@ def _kind(votes: Column) -> Column:
     return F.when(has("secret_word", "hex", "mixed"), "secret").when(has("at", "phone_like", "contact_word"), "contact").otherwise("account")
 
 
+def _wide_kind(votes: Column) -> Column:
+    has = lambda *names: F.lit(sum(1 << WIDE_NAMES.index(m) for m in names)).bitwiseAND(votes) != 0
+    return F.when(has("street"), "address").when(has("spelled"), "contact").when(has("given", "title"), "name").when(has("after_secret"), "secret").when(has("account_word"), "account").otherwise("contact")
+
+
 def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and ``found``, the same as structs."""
     scanned = keep(scan(docs, id_col, text_col), "pii")
-    good = accepted_votes(scanned, accept)
+    least = math.log(accept / (1 - accept))
+    token_odds, wide_odds = classifier(scanned, "cands", NAMES), classifier(scanned, "wides", WIDE_NAMES)
     order = {k: i for i, k in enumerate(KINDS + ADDED)}
     entry = lambda x, kind, rank: F.struct(x["start"].alias("start"), rank.alias("rank"), x["end"].alias("end"), kind.alias("kind"))
 
@@ -196,12 +278,23 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept:
         return F.transform(k, lambda x: entry(x, F.lit(k), F.lit(order[k])))
 
     base = F.array_sort(F.concat(*[of(k) for k in KINDS]))
-    rows = scanned.select("id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base"), "cands")
-    taken = F.array(*[F.lit(v) for v in good]) if good else F.array().cast("array<int>")
-    free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
-    more = F.filter("cands", lambda c: F.array_contains(taken, c["votes"]) & free(c))
+    rows = scanned.select("id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base"), "cands", "wides")
+    free = lambda c, spans: ~F.exists(spans, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+
+    def accepted(cands: str, margin, *others: str) -> Column:
+        def good(c: Column) -> Column:
+            out = margin(c) >= least if margin else F.lit(False)
+            for spans in others:
+                out = out & free(c, spans)
+            return out
+
+        return F.filter(cands, good)
+
+    rows = rows.withColumn("wide", accepted("wides", wide_odds, "base"))
+    rows = rows.withColumn("more", accepted("cands", token_odds, "base", "wide"))
     rank = lambda kind: F.coalesce(*[F.when(kind == k, F.lit(order[k])) for k in ADDED])
-    added = F.transform(more, lambda c: entry(c, _kind(c["votes"]), rank(_kind(c["votes"]))))
+    named = lambda cands, kind: F.transform(cands, lambda c: entry(c, kind(c["votes"]), rank(kind(c["votes"]))))
+    added = F.concat(named("more", _kind), named("wide", _wide_kind))
     rows = rows.withColumn("found", F.array_sort(F.concat("base", added)))
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return rows.select(F.col("id").alias(id_col), *[f"n_{k}" for k in KINDS], F.sha2(text("base"), 256).alias("base_sha256"), text("found").alias("spans"), F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("found"))
