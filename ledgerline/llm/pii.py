@@ -57,8 +57,11 @@ PERSON = rf"(?:{GIVEN})\b(?:\x20[A-Z]\.)?(?:[\x20-][A-Z][a-z]{{1,30}}+){{1,2}}"
 STREET = rf"[0-9]{{1,5}}[a-zA-Z]?\x20(?:[A-Z][a-z]{{1,30}}+\x20){{1,3}}(?:{STREETS})\b"
 GROUPED = r"\(?[0-9]{3}\)?\x20[0-9]{2,3}[\x20-][0-9]{4}(?![0-9])"
 SPELLED = r"[A-Za-z0-9._-]{1,64}+\x20[(\[]?at[)\]]?\x20[A-Za-z0-9-]{1,63}+(?:\x20[(\[]?dot[)\]]?\x20[A-Za-z0-9-]{1,63}+){1,4}"
-SECRET = r"(?<=(?i:password|passwd|passphrase|secret|pwd)[:=]\x20?)[^\x20\x09-\x0D0-9@]{4,64}+(?![^\x20\x09-\x0D])"
+SECRET = r"(?:(?<=[:=])|(?<=[:=]\x20))(?<=(?i:password|passwd|passphrase|secret|pwd)[:=]\x20?)[^\x20\x09-\x0D0-9@]{4,64}+(?![^\x20\x09-\x0D])"
 WIDE = rf"(?<![A-Za-z0-9])(?:(?=[A-Z])(?:{TITLED}|{PERSON})|(?=[0-9(])(?:{STREET}|{GROUPED}))|(?<![^\x20\x09-\x0D])(?=[A-Za-z0-9._-]{{1,64}}+\x20[(\[]?at[)\]]?\x20){SPELLED}|{SECRET}"
+#: What any wide candidate holds: two capitals with a blank or hyphen between, a number before a capital or a digit,
+#: a spelled dot, or the end of a secret's word with its sign.  It keeps WIDE off most texts.
+WIDE_GATE = r"[A-Z][a-z]*+\.?[\x20-][A-Z]|[0-9][a-zA-Z)]?\x20[A-Z0-9]|\x20[(\[]?dot|[dDeEtT][:=]"
 ACCEPT = 0.5
 
 
@@ -179,7 +182,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     none = F.array().cast("array<struct<start:int,end:int,token:string>>")
     found = F.when(F.col("text").rlike("[0-9@]"), places(F.col("text"), TOKEN)).otherwise(none)
-    wide = F.when(F.col("text").rlike(WIDE), places(F.col("text"), WIDE)).otherwise(none)
+    wide = F.when(F.col("text").rlike(WIDE_GATE) & F.col("text").rlike(WIDE), places(F.col("text"), WIDE)).otherwise(none)
     rows = rows.select("id", *[s.alias(k) for k, s in base_spans(F.col("text")).items()], found.alias("tokens"), wide.alias("wide"), "text")
 
     def cand(x: Column, is_wide: bool) -> Column:
