@@ -92,4 +92,57 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY txt ORDER BY doc_id, unit) AS c
 dp AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM fr WHERE copy > 1)
 SELECT doc_id, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end", count(*) AS n_units, CAST(sum(n) AS BIGINT) AS n_words, arg_min(keeper, unit) AS keeper_id FROM dp GROUP BY doc_id, run HAVING sum(n) >= 25"""
 
-SQL = {"op1_line_dedup": OP1, "op5_ngram_join": OP5, "op7_quality": _op7(), "op9_substring_dedup": OP9}
+
+
+def _op11(parts: int = 16, entries: int = 64, width: int = 4, turns: int = 2) -> str:
+    square = lambda a, b: " + ".join(f"({a}.x{j} - {b}.x{j}) * ({a}.x{j} - {b}.x{j})" for j in range(width))
+    floor = lambda s: f"(({s} - (({s} % count(*)) + count(*)) % count(*)) // count(*))"
+    xs = ", ".join(f"x{j}" for j in range(width))
+    steps = []
+    for t in range(turns + 1):
+        steps.append(f"d{t} AS (SELECT p.vec_id, p.part, {xs.replace('x', 'p.x')}, c.entry, {square('p', 'c')} AS d FROM p JOIN c{t} c ON c.part = p.part)")
+        steps.append(f"a{t} AS (SELECT vec_id, part, {', '.join(f'any_value(x{j}) AS x{j}' for j in range(width))}, arg_min(entry, {{'d': d, 'e': entry}}) AS entry, min(d) AS d FROM d{t} GROUP BY vec_id, part)")
+        if t < turns:
+            steps.append(f"m{t} AS (SELECT part, entry, {', '.join(f'CAST({floor(f'sum(x{j})')} AS BIGINT) AS x{j}' for j in range(width))} FROM a{t} GROUP BY part, entry)")
+            steps.append(f"c{t + 1} AS (SELECT c.part, c.entry, {', '.join(f'coalesce(m.x{j}, c.x{j}) AS x{j}' for j in range(width))} FROM c{t} c LEFT JOIN m{t} m ON m.part = c.part AND m.entry = c.entry)")
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, part, {", ".join(f"q[{width} * part + {j + 1}] AS x{j}" for j in range(width))} FROM k, range({parts}) r(part)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT {entries}),
+c0 AS (SELECT part, entry, {xs} FROM p JOIN f USING (vec_id)),
+{", ".join(steps)},
+h AS (SELECT sha256(string_agg(concat_ws(',', {xs}), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{turns}),
+o AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{turns} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o JOIN k USING (vec_id), h"""
+
+
+_HEX5 = "CAST('0x' || substr(s, {0}, 5) AS BIGINT)"
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({_HEX5.format(5 * k + 1)} >> {shift}) & 31) + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0))
+
+OP12 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS k FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = k THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> k THEN k END AS refers_to FROM d"""
+
+OP13 = f"""
+WITH RECURSIVE tb(b, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM tb WHERE k < 8),
+tl AS (SELECT list(c ORDER BY b) AS t FROM tb WHERE k = 8),
+tx AS (SELECT 1 AS corpus, doc_id, text FROM documents UNION ALL SELECT 0, item_id, text FROM benchmark),
+w AS (SELECT corpus, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM tx),
+u AS (SELECT corpus, doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+n AS (SELECT corpus, doc_id, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY corpus, doc_id ORDER BY i)),
+f AS (SELECT corpus, doc_id, a AS x FROM n UNION ALL SELECT corpus, doc_id, a || ' ' || b FROM n WHERE b IS NOT NULL UNION ALL SELECT corpus, doc_id, a || ' ' || b || ' ' || c FROM n WHERE c IS NOT NULL),
+g AS (SELECT corpus, doc_id, x, count(*) AS n FROM f GROUP BY corpus, doc_id, x),
+hx AS (SELECT x, hex(encode(x)) AS h FROM (SELECT DISTINCT x FROM g)),
+bt AS (SELECT x, list_transform(range(1, length(h), 2), lambda i: 16 * (instr('0123456789ABCDEF', substr(h, i, 1)) - 1) + instr('0123456789ABCDEF', substr(h, i + 1, 1)) - 1) AS bs FROM hx),
+cr AS (SELECT x, xor(list_reduce(bs, lambda r, v: xor(r >> 8, t[(xor(r, v) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM bt, tl),
+q AS (SELECT corpus, doc_id, bucket, sum(n) AS n FROM g JOIN cr USING (x) GROUP BY corpus, doc_id, bucket),
+z AS (SELECT bucket, CAST(sum(CASE WHEN corpus = 1 THEN n ELSE 0 END) AS DOUBLE) AS s, CAST(sum(CASE WHEN corpus = 0 THEN n ELSE 0 END) AS DOUBLE) AS t FROM q GROUP BY bucket),
+y AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM z),
+e AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM q JOIN y USING (bucket) WHERE corpus = 1 GROUP BY doc_id),
+o AS (SELECT w.doc_id, len(ws) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('42:' || w.doc_id), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN e USING (doc_id) WHERE corpus = 1),
+v AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, 5 * count(*) OVER (PARTITION BY n_words >= 20) // 100 AS k FROM v)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= k THEN place END AS rank FROM r"""
+
+SQL = {"op1_line_dedup": OP1, "op5_ngram_join": OP5, "op7_quality": _op7(), "op9_substring_dedup": OP9, "op11_vector_codes": _op11(), "op12_warc": OP12, "op13_resampling": OP13}

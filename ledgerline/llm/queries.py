@@ -14,9 +14,12 @@ from .oracles import SQL
 from .packing import packed
 from .pii import pii
 from .quality_rules import quality
+from .resampling import resampled
 from .substring_dedup import repeated_spans
 from .toxicity import toxicity
 from .url_filter import url_filter
+from .vector_codes import vector_codes
+from .warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +66,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +96,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_packing": op10_packing,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_warc": op12_warc,
+        "op13_resampling": op13_resampling,
         "pipeline": pipeline,
     }
 

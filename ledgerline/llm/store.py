@@ -39,11 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted as tables are."""
+    path = f"{shared_dir(spark)}/{PREFIX}{name}-{uuid.uuid4().hex}"
+    _tables().append((name, path))
+    return path
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read back from there."""
-    path = f"{shared_dir(df.sparkSession)}/{PREFIX}{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    _tables().append((name, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
