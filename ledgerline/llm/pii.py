@@ -14,12 +14,21 @@ final classifier.  Accepted candidates are added that touch no base span, wide
 ones before tokens.
 
 Texts are read once, by array functions on each row; counts are the only
-shuffle.  Null and empty texts have no spans.  Repeated rows count once each.
+shuffle.  The work on a text grows with its length (times the logarithm of its
+candidates): places are running sums, what stands around a candidate comes from
+the pieces between matches, and overlaps are found along sorted spans.  Null and
+empty texts have no spans.  Repeated rows count once each.
+
+The gazetteers (``Gazetteers``) may be read from a table.  After a word for a
+password, letters count as a secret from four on: shorter runs are words of
+prose.  Names and streets have at most four words after the first.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from dataclasses import dataclass, fields
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -50,34 +59,124 @@ COMMON = "Mark|Grace|Rose|Hope|April|May|June|Will|Frank|Ali|Jean"
 STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square|Place|Terrace|Way"
 PLACES = "London|Paris|Berlin|Madrid|Rome|Vienna|Dublin|Zurich|Amsterdam|Brussels|Munich|Hamburg|Boston|Chicago|Seattle|Denver|Dallas|Houston|Austin|Portland|Atlanta|Toronto|Sydney|Melbourne|Tokyo|Delhi|Mumbai|Moscow"
 NAME_WORDS = "name|named|signed|contact|patient|customer|client|employee|author|dear|sincerely|regards|attn|attention|mr|mrs|ms|dr|prof"
-#: Wide candidates: capitalised runs after a given name or a title, house number and street, spelled-out
-#: addresses, numbers in groups, letters after a word for a secret.  Every step is possessive or bounded.
-TITLED = r"(?:Mr|Mrs|Ms|Dr|Prof)\b\.?\x20[A-Z][a-z]{1,30}+(?:[\x20-][A-Z][a-z]{1,30}+){0,2}"
-PERSON = rf"(?:{GIVEN})\b(?:\x20[A-Z]\.)?(?:[\x20-][A-Z][a-z]{{1,30}}+){{1,2}}"
-STREET = rf"[0-9]{{1,5}}[a-zA-Z]?\x20(?:[A-Z][a-z]{{1,30}}+\x20){{1,3}}(?:{STREETS})\b"
-GROUPED = r"\(?[0-9]{3}\)?\x20[0-9]{2,3}[\x20-][0-9]{4}(?![0-9])"
-SPELLED = r"[A-Za-z0-9._-]{1,64}+\x20[(\[]?at[)\]]?\x20[A-Za-z0-9-]{1,63}+(?:\x20[(\[]?dot[)\]]?\x20[A-Za-z0-9-]{1,63}+){1,4}"
-SECRET = r"(?:(?<=[:=])|(?<=[:=]\x20))(?<=(?i:password|passwd|passphrase|secret|pwd)[:=]\x20?)[^\x20\x09-\x0D0-9@]{4,64}+(?![^\x20\x09-\x0D])"
-WIDE = rf"(?<![A-Za-z0-9])(?:(?=[A-Z])(?:{TITLED}|{PERSON})|(?=[0-9(])(?:{STREET}|{GROUPED}))|(?<![^\x20\x09-\x0D])(?=[A-Za-z0-9._-]{{1,64}}+\x20[(\[]?at[)\]]?\x20){SPELLED}|{SECRET}"
 #: What any wide candidate holds: two capitals with a blank or hyphen between, a number before a capital or a digit,
-#: a spelled dot, or the end of a secret's word with its sign.  It keeps WIDE off most texts.
+#: a spelled dot, or the end of a secret's word with its sign.  It keeps the wide pattern off most texts.
 WIDE_GATE = r"[A-Z][a-z]*+\.?[\x20-][A-Z]|[0-9][a-zA-Z)]?\x20[A-Z0-9]|\x20[(\[]?dot|[dDeEtT][:=]"
+#: Entries of the gazetteers at most: they become alternatives of patterns.
+GAZETTEER_ENTRIES = 2_000
+
+
+@dataclass(frozen=True)
+class Gazetteers:
+    """Alternatives of patterns: given names, surnames, given names that are common words too, street words, places."""
+
+    given: str = GIVEN
+    surname: str = SURNAMES
+    common: str = COMMON
+    street: str = STREETS
+    place: str = PLACES
+
+    @staticmethod
+    def of(table: DataFrame) -> Gazetteers:
+        """From rows (kind, word), kind being one of the fields above; kinds without rows keep their lists."""
+        rows = table.where("kind is not null and trim(word) <> ''").select("kind", F.trim("word").alias("word")).distinct().limit(GAZETTEER_ENTRIES + 1).collect()
+        if len(rows) > GAZETTEER_ENTRIES:
+            raise ValueError(f"more than {GAZETTEER_ENTRIES} entries")
+        if unknown := {r["kind"] for r in rows} - {f.name for f in fields(Gazetteers)}:
+            raise ValueError(f"no such kinds: {', '.join(sorted(unknown))}")
+        words: dict[str, list[str]] = {}
+        for r in rows:
+            words.setdefault(r["kind"], []).append(re.escape(r["word"]))
+        return Gazetteers(**{k: "|".join(sorted(v, key=lambda w: (-len(w), w))) for k, v in words.items()})
+
+    def wide(self) -> str:
+        """Wide candidates: capitalised runs after a given name or a title, house number and street, spelled-out
+        addresses, numbers in groups, letters after a word for a secret.  Every step is possessive or bounded."""
+        titled = r"(?:Mr|Mrs|Ms|Dr|Prof)\b\.?\x20[A-Z][a-z]++(?:[\x20-][A-Z][a-z]++){0,3}+"
+        person = rf"(?:{self.given})\b(?:\x20[A-Z]\.)?(?:[\x20-][A-Z][a-z]++){{1,4}}+"
+        street = rf"[0-9]{{1,5}}[a-zA-Z]?\x20(?:[A-Z][a-z]++\x20){{1,4}}(?:{self.street})\b"
+        grouped = r"\(?[0-9]{3}\)?\x20[0-9]{2,3}[\x20-][0-9]{4}(?![0-9])"
+        spelled = r"[A-Za-z0-9._-]++\x20[(\[]?at[)\]]?\x20[A-Za-z0-9-]++(?:\x20[(\[]?dot[)\]]?\x20[A-Za-z0-9-]++)++"
+        secret = r"(?:(?<=[:=])|(?<=[:=]\x20))(?<=(?i:password|passwd|passphrase|secret|pwd)[:=]\x20?)[^\x20\x09-\x0D0-9@]{4,}+(?![^\x20\x09-\x0D])"
+        return rf"(?<![A-Za-z0-9])(?:(?=[A-Z])(?:{titled}|{person})|(?=[0-9(])(?:{street}|{grouped}))|(?<![^\x20\x09-\x0D])(?=[A-Za-z0-9._-]++\x20[(\[]?at[)\]]?\x20){spelled}|{secret}"
+
+
 ACCEPT = 0.5
 
 
+SPANS = "array<struct<start:int,end:int,token:string>>"
+CONTEXTS = "array<struct<start:int,end:int,token:string,before:string,after:string>>"
+#: Characters of a context that is cut: more than any word that is looked for there, and what follows it.
+AROUND = 60
+
+
+def running(values: Column, neutral: Column, join) -> Column:
+    """What ``join`` makes of each value and all before it: as many rounds as the length has bits."""
+    n = F.size(values)
+    rounds = F.when(n > 1, F.sequence(F.lit(0), F.length(F.bin((n - 1).cast("long"))) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def one(acc: Column, k: Column) -> Column:
+        shift = F.least(F.pow(F.lit(2), k).cast("int"), n)
+        return F.zip_with(acc, F.concat(F.array_repeat(neutral, shift), F.slice(acc, F.lit(1), n - shift)), join)
+
+    return F.aggregate(rounds, values, one)
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """Structs (gap, token, until): what stands before each match since the last one, the match, and where it ends."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    steps = F.arrays_zip(F.split(text, pattern).alias("gap"), found.alias("token"))
+    return F.transform(steps, lambda x: F.struct(x["gap"].alias("gap"), x["token"].alias("token"), (F.length(x["gap"]) + F.coalesce(F.length(x["token"]), F.lit(0))).alias("n")))
+
+
 def places(text: Column, pattern: str) -> Column:
     """All matches, leftmost and non-overlapping: structs of start, end (code points) and the matched text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.slice(F.split(text, pattern), F.lit(1), F.size(found))
-    steps = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("token")))
-    empty = F.array().cast("array<struct<start:int,end:int,token:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["token"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["token"].alias("token")))).alias("out"))
+    def of(m: Column) -> Column:
+        until = running(F.transform(m, lambda x: x["n"]), F.lit(0), lambda a, b: a + b)
+        spans = F.zip_with(m, until, lambda x, end: F.struct((end - F.length(x["token"])).alias("start"), end.alias("end"), x["token"].alias("token")))
+        return F.slice(spans, F.lit(1), F.size(m) - 1)  # the last piece has no match
+
+    return _bound(_matches(text, pattern), of)
+
+
+def _bound(value: Column, of) -> Column:
+    """``of(value)``, computing ``value`` once."""
+    return F.transform(F.array(value), of)[0]
+
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+def in_context(text: Column, pattern: str) -> Column:
+    """``places`` with up to AROUND characters before and after each match; the matches next to it count as context."""
+
+    def of(m: Column) -> Column:
+        until = running(F.transform(m, lambda x: x["n"]), F.lit(0), lambda a, b: a + b)
+
+        def span(end: Column, i: Column) -> Column:
+            here, after = m[i], m[i + 1]
+            gap = F.right(here["gap"], F.lit(AROUND))
+            before = F.when((F.length(here["gap"]) < AROUND) & (i > 0), F.concat(F.right(F.get(m, i - 1)["token"], F.lit(AROUND)), gap)).otherwise(gap)
+            rest = F.substring(after["gap"], 1, AROUND)
+            behind = F.when(F.length(rest) < AROUND, F.concat(rest, F.coalesce(F.substring(after["token"], 1, AROUND), F.lit("")))).otherwise(rest)
+            return F.struct((end - F.length(here["token"])).alias("start"), end.alias("end"), here["token"].alias("token"), before.alias("before"), behind.alias("after"))
+
+        return F.transform(F.slice(until, F.lit(1), F.size(m) - 1), span)
+
+    return _bound(_matches(text, pattern), of)
+
+
+def free_of(cands: Column, spans: Column) -> Column:
+    """The candidates (start, end, votes, shape) that touch none of the spans (start, end); ordered by place."""
+    item = lambda x, kind, votes, shape: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), votes.alias("votes"), shape.alias("shape"))
+    merged = F.array_sort(F.concat(F.transform(spans, lambda b: item(b, 0, F.lit(0), F.lit(0))), F.transform(cands, lambda c: item(c, 1, c["votes"], c["shape"]))))
+
+    def of(every: Column) -> Column:
+        far = F.lit((1 << 31) - 1)
+        reach = running(F.transform(every, lambda x: F.when(x["kind"] == 0, x["end"]).otherwise(F.lit(-1))), F.lit(-1), lambda a, b: F.greatest(a, b))
+        follows = F.reverse(running(F.reverse(F.transform(every, lambda x: F.when(x["kind"] == 0, x["start"]).otherwise(far))), far, lambda a, b: F.least(a, b)))
+        rows = F.filter(F.arrays_zip(every.alias("x"), reach.alias("reach"), follows.alias("next")), lambda r: (r["x"]["kind"] == 1) & (r["reach"] <= r["x"]["start"]) & (r["next"] >= r["x"]["end"]))
+        return F.transform(rows, lambda r: F.struct(r["x"]["start"].alias("start"), r["x"]["end"].alias("end"), r["x"]["votes"].alias("votes"), r["x"]["shape"].alias("shape")))
+
+    return F.when((F.size(spans) == 0) | (F.size(cands) == 0), cands).otherwise(_bound(merged, of))
 
 
 def _digits(token: Column) -> Column:
@@ -98,7 +197,7 @@ def luhn(digits: Column) -> Column:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """Per kind the matches that pass its check; cheap tests keep the patterns off most texts."""
-    none = F.array().cast("array<struct<start:int,end:int,token:string>>")
+    none = F.array().cast(SPANS)
     byte = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
     count = lambda x: F.length(_digits(x["token"]))
     found = {
@@ -110,14 +209,23 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.when(gate, F.filter(places(text, p), test) if test else places(text, p)).otherwise(none) for k, (gate, p, test) in found.items()}
 
 
+#: Signs that may stand between a word and what it speaks for.
+BETWEEN = " \"':=#.,("
+
+
+def _before(before: Column, words: str) -> Column:
+    """Whether one of the words stands before, with nothing but signs between."""
+    return F.right(F.rtrim(before, F.lit(BETWEEN)), F.lit(24)).rlike(rf"(?i)(?:^|[^a-z])(?:{words})$")
+
+
 def labelers(token: Column, before: Column) -> list[tuple[str, Column]]:
-    """Votes on a candidate, given the token and up to 40 characters before it."""
-    word = lambda words: rf"(?i)(?:^|[^a-z])(?:{words})[\x20\"':=#.(]*$"
+    """Votes on a candidate, given the token and what stands before it."""
+    named = lambda words: _before(before, words) | token.rlike(rf"(?i)^[\"'(]?(?:{words})[=:]")
     return [
-        ("secret_word", before.rlike(word(SECRET_WORDS)) | token.rlike(rf"(?i)^[\"'(]?(?:{SECRET_WORDS})[=:]")),
-        ("account_word", before.rlike(word(ACCOUNT_WORDS)) | token.rlike(rf"(?i)^[\"'(]?(?:{ACCOUNT_WORDS})[=:]")),
-        ("contact_word", before.rlike(word(CONTACT_WORDS)) | token.rlike(rf"(?i)^[\"'(]?(?:{CONTACT_WORDS})[=:]")),
-        ("assigned", before.rlike(r"[=:][\x20\"']*$") | token.rlike(r"^[A-Za-z_-]{2,30}[=:]")),
+        ("secret_word", named(SECRET_WORDS)),
+        ("account_word", named(ACCOUNT_WORDS)),
+        ("contact_word", named(CONTACT_WORDS)),
+        ("assigned", F.right(F.rtrim(before, F.lit(" \"'")), F.lit(1)).isin("=", ":") | token.rlike(r"^[A-Za-z_-]{2,}+[=:]")),
         ("hex", token.rlike(r"[0-9a-f]{12}") & token.rlike(r"[a-f][0-9]|[0-9][a-f]")),
         ("mixed", token.rlike(r"[A-Za-z][0-9]") & token.rlike(r"[0-9][A-Za-z]") & (F.length(token) >= 8)),
         ("iban", token.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")),
@@ -125,30 +233,28 @@ def labelers(token: Column, before: Column) -> list[tuple[str, Column]]:
         ("long_digits", token.rlike(r"[0-9]{9}")),
         ("phone_like", token.rlike(r"^\(?[0-9]{3}\)?[.-]?[0-9]{3}[.-][0-9]{4}(?![0-9])")),
         ("at", token.rlike(r"[A-Za-z0-9]@[A-Za-z0-9]") | token.rlike(r"^@[A-Za-z0-9_]{3,30}")),
-        ("plain", token.rlike(r"^[^0-9A-Za-z]*[0-9]{1,4}(?:[.,][0-9]{1,3})*[^0-9A-Za-z]*$")),
-        ("date", token.rlike(r"^[^0-9A-Za-z]*[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{1,4}[^0-9A-Za-z]*$") | token.rlike(r"^[0-9]{1,2}:[0-9]{2}")),
+        ("plain", token.rlike(r"^[^0-9A-Za-z]*+[0-9]{1,4}(?:[.,][0-9]{1,3})*+[^0-9A-Za-z]*+$")),
+        ("date", token.rlike(r"^[^0-9A-Za-z]*+[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{1,4}[^0-9A-Za-z]*+$") | token.rlike(r"^[0-9]{1,2}:[0-9]{2}")),
         ("link", token.rlike(r"(?i)https?://|www\.|\.html?")),
     ]
 
 
-def wide_labelers(token: Column, before: Column, after: Column) -> list[tuple[str, Column]]:
-    """Votes on a wide candidate, given what stands up to 40 characters around it."""
-    word = lambda words: before.rlike(rf"(?i)(?:^|[^a-z])(?:{words})[\x20\"':=#.,(]*$")
-    street = token.rlike(rf"^[0-9]{{1,5}}[a-zA-Z]?\x20.*\x20(?:{STREETS})$")
+def wide_labelers(token: Column, before: Column, after: Column, names: Gazetteers) -> list[tuple[str, Column]]:
+    """Votes on a wide candidate, given what stands around it."""
     named = token.rlike(r"^[A-Z][a-z]")
     return [
-        ("given", token.rlike(rf"\b(?:{GIVEN})\b") & named),
-        ("surname", token.rlike(rf"[\x20-](?:{SURNAMES})$") & named),
+        ("given", token.rlike(rf"\b(?:{names.given})\b") & named),
+        ("surname", token.rlike(rf"[\x20-](?:{names.surname})$") & named),
         ("title", token.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof)\b")),
-        ("name_word", word(NAME_WORDS) & named),
-        ("street", street),
-        ("place", after.rlike(rf"^[,\x20]{{1,2}}(?:(?:{PLACES})\b|(?:[A-Z][a-z]+,?\x20)?(?:[A-Z]{{2}}\x20)?[0-9]{{5}}\b)")),
+        ("name_word", _before(before, NAME_WORDS) & named),
+        ("street", token.rlike(rf"^[0-9]{{1,5}}[a-zA-Z]?\x20.*\x20(?:{names.street})$")),
+        ("place", after.rlike(rf"^[,\x20]{{1,2}}(?:(?:{names.place})\b|(?:[A-Z][a-z]+,?\x20)?(?:[A-Z]{{2}}\x20)?[0-9]{{5}}\b)")),
         ("spelled", token.rlike(r"\x20[(\[]?dot[)\]]?\x20")),
         ("after_secret", before.rlike(rf"(?i)(?:{SECRET_WORDS})[:=]\x20?$")),
         ("grouped", token.rlike(r"^[0-9() -]+$")),
-        ("account_word", word(ACCOUNT_WORDS)),
-        ("contact_word", word(CONTACT_WORDS)),
-        ("common", token.rlike(rf"^(?:{COMMON})\b")),
+        ("account_word", _before(before, ACCOUNT_WORDS)),
+        ("contact_word", _before(before, CONTACT_WORDS)),
+        ("common", token.rlike(rf"^(?:{names.common})\b")),
     ]
 
 
@@ -176,27 +282,26 @@ def _facets(shape: Column) -> list[Column]:
     return [parts[k] == v for k, steps in enumerate(FACETS) for v in range(steps)]
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: Gazetteers = Gazetteers()) -> DataFrame:
     """(id, base kinds' spans, cands, wides): all that is needed of the texts; candidates are (start, end, votes, shape)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    none = F.array().cast("array<struct<start:int,end:int,token:string>>")
-    found = F.when(F.col("text").rlike("[0-9@]"), places(F.col("text"), TOKEN)).otherwise(none)
-    wide = F.when(F.col("text").rlike(WIDE_GATE) & F.col("text").rlike(WIDE), places(F.col("text"), WIDE)).otherwise(none)
-    rows = rows.select("id", *[s.alias(k) for k, s in base_spans(F.col("text")).items()], found.alias("tokens"), wide.alias("wide"), "text")
+    none, pattern = F.array().cast(CONTEXTS), names.wide()
+    found = F.when(F.col("text").rlike("[0-9@]"), in_context(F.col("text"), TOKEN)).otherwise(none)
+    wide = F.when(F.col("text").rlike(WIDE_GATE) & F.col("text").rlike(pattern), in_context(F.col("text"), pattern)).otherwise(none)
+    rows = rows.select("id", *[s.alias(k) for k, s in base_spans(F.col("text")).items()], found.alias("tokens"), wide.alias("wide"))
 
     def cand(x: Column, is_wide: bool) -> Column:
-        token = x["token"]
-        before = F.substring(F.col("text"), F.greatest(x["start"] - 39, F.lit(1)), F.least(x["start"], F.lit(40)))
-        own = wide_labelers(token, before, F.substring(F.col("text"), x["end"] + 1, F.lit(40))) if is_wide else labelers(token, before)
+        token, before = x["token"], x["before"]
+        own = wide_labelers(token, before, x["after"], names) if is_wide else labelers(token, before)
         votes = F.lit(0)
         for k, (_, vote) in enumerate(own):
             votes = votes + F.when(vote, F.lit(1 << k)).otherwise(F.lit(0))
         # without a name and sign in front and punctuation around
-        front = r"^([\"'\[]*+)" if is_wide else r"^((?:[\"'(\[]*+[A-Za-z_-]{2,30}[=:])?+[^0-9A-Za-z@+]*+)"
+        front = r"^([\"'\[]*+)" if is_wide else r"^((?:[\"'(\[]*+[A-Za-z_-]{2,}+[=:])?+[^0-9A-Za-z@+]*+)"
         lead = F.length(F.regexp_extract(token, front, 1))
         tail = F.length(token) - F.length(F.rtrim(token, F.lit(".,;:!?\"')]}>#$%&*|")))
-        return F.struct((x["start"] + lead).alias("start"), (x["end"] - tail).alias("end"), votes.alias("votes"), _shape(token, before).alias("shape"))
+        return F.struct((x["start"] + lead).alias("start"), (x["end"] - tail).alias("end"), votes.alias("votes"), _shape(token, F.right(before, F.lit(2))).alias("shape"))
 
     bare = lambda k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k)
     kept = lambda name, is_wide: F.filter(F.transform(name, lambda x: cand(x, is_wide)), lambda c: c["end"] > c["start"])
@@ -269,9 +374,9 @@ def _wide_kind(votes: Column) -> Column:
     return F.when(has("street"), "address").when(has("spelled"), "contact").when(has("given", "title"), "name").when(has("after_secret"), "secret").when(has("account_word"), "account").otherwise("contact")
 
 
-def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
+def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT, names: Gazetteers = Gazetteers()) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and ``found``, the same as structs."""
-    scanned = keep(scan(docs, id_col, text_col), "pii")
+    scanned = keep(scan(docs, id_col, text_col, names), "pii")
     least = math.log(accept / (1 - accept))
     token_odds, wide_odds = classifier(scanned, "cands", NAMES), classifier(scanned, "wides", WIDE_NAMES)
     order = {k: i for i, k in enumerate(KINDS + ADDED)}
@@ -282,19 +387,10 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept:
 
     base = F.array_sort(F.concat(*[of(k) for k in KINDS]))
     rows = scanned.select("id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base"), "cands", "wides")
-    free = lambda c, spans: ~F.exists(spans, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
-
-    def accepted(cands: str, margin, *others: str) -> Column:
-        def good(c: Column) -> Column:
-            out = margin(c) >= least if margin else F.lit(False)
-            for spans in others:
-                out = out & free(c, spans)
-            return out
-
-        return F.filter(cands, good)
-
-    rows = rows.withColumn("wide", accepted("wides", wide_odds, "base"))
-    rows = rows.withColumn("more", accepted("cands", token_odds, "base", "wide"))
+    good = lambda cands, margin: F.filter(cands, lambda c: margin(c) >= least) if margin else F.slice(cands, 1, 0)
+    bare = lambda name: F.transform(name, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    rows = rows.withColumn("wide", free_of(good("wides", wide_odds), bare("base")))
+    rows = rows.withColumn("more", free_of(good("cands", token_odds), F.concat(bare("base"), bare("wide"))))
     rank = lambda kind: F.coalesce(*[F.when(kind == k, F.lit(order[k])) for k in ADDED])
     named = lambda cands, kind: F.transform(cands, lambda c: entry(c, kind(c["votes"]), rank(kind(c["votes"]))))
     added = F.concat(named("more", _kind), named("wide", _wide_kind))
