@@ -25,6 +25,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, "\\s+"), lambda t: t != "")
 
 
+def bound(value: Column, of) -> Column:
+    """``of(value)``, with ``value`` computed once however often ``of`` uses it."""
+    return F.transform(F.array(value), of)[0]
+
+
 def distinct_tokens(text: Column) -> Column:
     """Tokens once each, in the order of their first places."""
     return F.array_join(F.array_distinct(tokens(text)), " ")
@@ -42,54 +47,79 @@ def split_capitals(text: Column) -> Column:
     return F.array_join(F.transform(tokens(text), cut), " ")
 
 
-def direct_deposit(text: Column) -> Column:
-    """Spellings of "direct deposit" as "dir dep"."""
-    return F.regexp_replace(text, r"\b(?:direct|dir) (?:deposit|dep)\b", "dir dep")
+#: Words after which a code stands, and the words that stand for what a token is.
+CODE_WORDS = "conf confirmation auth code id ref".split()
+CODE, DATE, CITY, FOUR, NUMBER, STATE, SILENT = "tokcode", "tokdate", "tokcity", "tokfour", "toknum", "tokstate", "no description"
+_DAY = "^[0-9]{1,2}$"
+_NUMERIC_DATE = "^(?:[0-9]{1,2}[-/][0-9]{1,2}(?:[-/][0-9]{2,4})?|[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2})$"
+_MONTH = f"^(?:{MONTHS})[a-z]*$"
+
+
+def _core(token: Column) -> Column:
+    """A token in lower case without signs around it."""
+    return F.regexp_replace(F.lower(token), "^[^a-z0-9]+|[^a-z0-9]+$", "")
 
 
-def payroll_words(text: Column) -> Column:
-    """"payroll" apart from what is joined to it, and other spellings and words for it as that word."""
+def _digits_in(word: Column) -> Column:
+    return F.length(F.regexp_replace(word, "[^0-9]", ""))
 
-    def of(t: Column) -> Column:
-        left, right = t.startswith("payroll"), t.endswith("payroll")
-        return F.when(left, F.concat(F.lit("payroll "), F.substring(t, F.lit(8), F.length(t)))).when(right, F.concat(F.lit("payroll "), F.substring(t, F.lit(1), F.length(t) - 7))).when(t.isin(*PAYROLL), "payroll").otherwise(t)
 
-    return F.array_join(F.filter(F.flatten(F.transform(tokens(text), lambda t: F.split(of(t), " "))), lambda t: t != ""), " ")
+def _word_class(word: Column, cities: list[str]) -> Column:
+    """What becomes of a run of letters and digits: an array of no, one or two words."""
+    n, none = F.length(word), F.array().cast("array<string>")
+    one = lambda x: F.array(F.lit(x) if isinstance(x, str) else x)
+    digits = _digits_in(word)
+    mixed = F.when((n == digits) & (n < 4), none).when((n == digits) & (n == 4), one(FOUR)).when((n == digits) | (digits >= 3) | (n >= 9), one(NUMBER)).when(n == 1, none).otherwise(one(word))
+    names = [c for c in cities if " " not in c]
+    joined = F.filter(F.array(F.lit("payroll"), F.regexp_replace(word, "^payroll|payroll$", "")), lambda w: w != "")
+    plain = F.when(n == 1, none).when(word.isin(STATES), one(STATE)).when(word.isin(names) if names else F.lit(False), one(CITY)).when(word.isin(PAYROLL), one("payroll"))
+    plain = plain.when(word.startswith("payroll") | word.endswith("payroll"), joined).when(word.startswith("xxxx") & word.rlike("^x+$"), one(FOUR)).otherwise(one(word))  # a masked number
+    return F.when(word.rlike("[0-9]"), mixed).otherwise(plain)
+
+
+def _token_class(token: Column, cores: Column, i: Column, cities: list[str]) -> Column:
+    """Words for token ``i``, given the cores of all tokens: codes and dates by what stands beside them."""
+    at = lambda k: F.coalesce(F.get(cores, i + k), F.lit(""))  # noqa: E731  # null before the first and after the last
+    core, before, earlier, after = at(0), F.when(i > 0, at(-1)).otherwise(""), F.when(i > 1, at(-2)).otherwise(""), at(1)
+    is_day, is_month = lambda x: x.rlike(_DAY), lambda x: x.rlike(_MONTH)
+    dated = lambda x, y: (is_month(x) & is_day(y)) | (is_day(x) & is_month(y))
+    none = F.array().cast("array<string>")
+    digit = core.rlike("[0-9]")
+    out = F.when(core.isin(*CODE_WORDS) & (after != ""), none).when(before.isin(*CODE_WORDS) & (core != ""), F.array(F.lit(CODE)))
+    out = out.when(F.lower(token).rlike(rf"^(?:{'|'.join(CODE_WORDS)})[:#]+[a-z0-9]"), F.array(F.lit(CODE)))
+    out = out.when(digit & (F.length(core) >= 12) & core.rlike("^[a-z0-9_]+$") & (_digits_in(core) >= 5), F.array(F.lit(CODE)))
+    out = out.when(digit & core.rlike(_NUMERIC_DATE), F.array(F.lit(DATE)))
+    out = out.when(~digit & is_month(core) & (is_day(before) | is_day(after)), F.array(F.lit(DATE)))
+    # the day beside a month, and a year after both
+    out = out.when(digit & is_day(core) & (is_month(before) | is_month(after)), none).when(digit & core.rlike("^[0-9]{2,4}$") & dated(earlier, before), none)
+    words = F.split(F.regexp_replace(F.lower(split_capitals(token)), "([0-9]{5,})", " $1 "), "[^a-z0-9]+")
+    return out.when(token.rlike("^[a-z]+$"), _word_class(token, cities)).otherwise(F.flatten(F.transform(F.filter(words, lambda w: w != ""), lambda w: _word_class(w, cities))))
 
 
 def clean_for_ngrams(text: Column, cities: list[str] = ()) -> Column:
-    """Descriptions for clustering by n-grams: codes, dates, cities, numbers and states become tokens of their own,
-    short numbers, single letters and punctuation go, and payroll and deposit words take one spelling.
-
-    ``cities``: names in lower case, of one or more words."""
-    t = F.regexp_replace(text, r"(?i)\b(?:conf(?:irmation)?|auth|code|id|ref#?|conf#)[:\s#]*[a-z0-9]+\b", " tokcode ")
-    t = F.regexp_replace(t, r"\b(?=(?:\w*\d){5})\w{12,}\b", " tokcode ")
-    t = F.lower(split_capitals(t))
-    t = F.regexp_replace(t, r"([0-9]{5,})", " $1 ")
-    day = r"[0-9]{1,2}"
-    date = rf"{day}[-/]{day}[-/][0-9]{{2,4}}|[0-9]{{4}}[-/]{day}[-/]{day}|{day}[-/]{day}(?![0-9])|(?:{MONTHS})[a-z]*\s+{day}(?:[,\s]+[0-9]{{2,4}})?|{day}\s+(?:{MONTHS})[a-z]*(?:[,\s]+[0-9]{{2,4}})?"
-    t = F.regexp_replace(t, rf"\b(?:{date})\b", " tokdate ")
-    if cities:
-        t = F.regexp_replace(t, r"\b(?:" + "|".join(sorted(cities, key=len, reverse=True)) + r")\b", " tokcity ")
-    t = F.regexp_replace(t, r"[^a-z0-9\s_]", " ")
-    t = F.regexp_replace(t, r"x{4,}", "0000")
-    t = F.regexp_replace(t, r"\b[0-9]{1,3}\b", " ")
-    t = F.regexp_replace(t, r"\b[0-9]{4}\b", " tokfour ")
-    t = F.regexp_replace(t, r"\b[a-z]*[0-9]{5,17}\w*\b", " toknum ")
-    t = F.regexp_replace(t, r"\b(?:[a-z]*[0-9]){3,}\w*\b", " toknum ")
-    t = F.regexp_replace(t, r"\b(?=\w*[a-z])(?=\w*[0-9])\w{9,}\b", " toknum ")
-    t = F.regexp_replace(t, r"\b\w\b", " ")
-    words = F.transform(tokens(direct_deposit(payroll_words(t))), lambda w: F.when(w.isin(STATES), "tokstate").otherwise(w))
-    said = F.filter(words, lambda w: ~w.isin(STOP_WORDS))
-    return F.when(F.size(said) == 0, "no description").otherwise(F.array_join(words, " "))
+    """Descriptions for clustering by n-grams: each token is classed by its form and its neighbours, and codes, dates,
+    cities, numbers and states become words of their own; short numbers, single letters and signs go, payroll and
+    direct deposits take one spelling.
+
+    ``cities``: names in lower case, of one or more words.  A text of which only stop words are left is SILENT."""
+    classed = lambda every: bound(F.transform(every, _core), lambda cores: F.transform(every, lambda t, i: _token_class(t, cores, i, cities)))
+    said = F.array_join(F.flatten(bound(tokens(text), classed)), " ")
+    if several := [c for c in cities if " " in c]:
+        said = F.regexp_replace(said, r"\b(?:" + "|".join(sorted(several, key=len, reverse=True)) + r")\b", CITY)
+    said = F.regexp_replace(said, r"\b(?:direct|dir) (?:deposit|dep)\b", "dir dep")
+    return F.when(F.size(F.filter(tokens(said), lambda w: ~w.isin(STOP_WORDS))) == 0, SILENT).otherwise(said)
 
 
 def clean_for_clusters(text: Column, irrelevant: list[str] = STOP_WORDS) -> Column:
-    """Distinct tokens without irrelevant words and pairs and without the name after an "indn" tag; the text itself
-    where nothing but stop words remains."""
-    t = F.regexp_replace(text, r"\bindn#?:?\s?[a-z0-9]+\b", " ")
-    kept = F.array_join(F.filter(tokens(t), lambda w: ~w.isin(irrelevant)), " ")
-    left = F.array_distinct(tokens(F.regexp_replace(kept, r"\b(?:" + "|".join(PAIRS) + r")\b", " ")))
+    """Distinct tokens without irrelevant words, without pairs that say nothing and without an "indn" tag and the name
+    after it; the text itself where nothing but stop words remains."""
+    tag = lambda w: _core(w) == "indn"
+    named = lambda every: F.filter(every, lambda w, i: ~(tag(w) | w.rlike("^indn[#:]") | ((i > 0) & tag(F.coalesce(F.get(every, i - 1), F.lit(""))))))
+    kept = F.filter(bound(tokens(text), named), lambda w: ~w.isin(irrelevant))
+    firsts = [F.struct(F.lit(x.split(" ")[0]).alias("a"), F.lit(x.split(" ")[1]).alias("b")) for x in PAIRS]
+    pair = lambda a, b: F.coalesce(F.struct(a.alias("a"), b.alias("b")).isin(*firsts), F.lit(False))
+    alone = lambda kept: F.filter(kept, lambda w, i: ~(pair(w, F.coalesce(F.get(kept, i + 1), F.lit(""))) | ((i > 0) & pair(F.coalesce(F.get(kept, i - 1), F.lit("")), w))))
+    left = F.array_distinct(bound(kept, alone))
     return F.when(F.size(F.filter(left, lambda w: ~w.isin(STOP_WORDS))) == 0, text).otherwise(F.array_join(left, " "))
 
 

@@ -305,20 +305,43 @@ def entity_texts(spark, d):
     return table(spark, d, "part").select("p_partkey", H.entity_text(text).alias("cleaned"), who.alias("who"), F.array_join(found, "|").alias("entities"))
 
 
-_DIRTY = ("PAYROLLacme 123456789 DIRECT DEPOSIT", "AUTH 99X on Mar 5 TX", "Salary 4711 xxxx12 A", "x * of", "TransferTo 2024-01-05 Springfield")
-_CLEAN = ("payroll acme toknum dir dep", "tokcode on tokdate tokstate", "payroll tokfour toknum", "no description", "transfer to tokdate tokcity")
-
-
-@query("clean_for_ngrams", "SELECT p_partkey, CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CLEAN)) + " END AS cleaned FROM part")
+_IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+_CITIES = ["springfield", "troy"]
+#: The cleaner over tokens in rows: neighbours by windows, classes by CASE.
+_CLEAN = f"""
+WITH k AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\t\\n\\x0B\\f\\r ]+'), lambda x: x <> '') AS ts FROM documents),
+t AS (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM k),
+c AS (SELECT *, regexp_replace(lower(t), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g') AS c FROM t),
+n AS (SELECT *, coalesce(lag(c, 1) OVER o, '') AS p, coalesce(lag(c, 2) OVER o, '') AS q, coalesce(lead(c, 1) OVER o, '') AS f FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+d AS (SELECT *, regexp_full_match(c, '[0-9]{{1,2}}') AS cd, regexp_full_match(p, '[0-9]{{1,2}}') AS pd, regexp_full_match(q, '[0-9]{{1,2}}') AS qd, regexp_full_match(f, '[0-9]{{1,2}}') AS fd,
+  regexp_full_match(c, '({T.MONTHS})[a-z]*') AS cm, regexp_full_match(p, '({T.MONTHS})[a-z]*') AS pm, regexp_full_match(q, '({T.MONTHS})[a-z]*') AS qm, regexp_full_match(f, '({T.MONTHS})[a-z]*') AS fm FROM n),
+s AS (SELECT doc_id, i, t, CASE WHEN c IN {_IN(T.CODE_WORDS)} AND f <> '' THEN '' WHEN p IN {_IN(T.CODE_WORDS)} AND c <> '' THEN '{T.CODE}' WHEN regexp_matches(lower(t), '^({"|".join(T.CODE_WORDS)})[:#]+[a-z0-9]') THEN '{T.CODE}'
+  WHEN length(c) >= 12 AND regexp_full_match(c, '[a-z0-9_]+') AND length(regexp_replace(c, '[^0-9]', '', 'g')) >= 5 THEN '{T.CODE}'
+  WHEN regexp_full_match(c, '[0-9]{{1,2}}[-/][0-9]{{1,2}}([-/][0-9]{{2,4}})?|[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}') THEN '{T.DATE}' WHEN cm AND (pd OR fd) THEN '{T.DATE}' WHEN cd AND (pm OR fm) THEN ''
+  WHEN regexp_full_match(c, '[0-9]{{2,4}}') AND ((qm AND pd) OR (qd AND pm)) THEN '' END AS whole FROM d),
+v AS (SELECT doc_id, i, whole, CASE WHEN whole IS NULL THEN list_filter(regexp_split_to_array(regexp_replace(lower(CASE WHEN regexp_matches(t, '^[A-Z]') THEN regexp_replace(t, '([^A-Z])([A-Z])', '\\1 \\2', 'g') ELSE t END), '([0-9]{{5,}})', ' \\1 ', 'g'), '[^a-z0-9]+'), lambda x: x <> '') ELSE [whole] END AS ws FROM s),
+u AS (SELECT doc_id, i, whole, unnest(ws) AS w, generate_subscripts(ws, 1) AS j FROM v),
+x AS (SELECT *, length(w) AS n, length(regexp_replace(w, '[^0-9]', '', 'g')) AS g FROM u),
+y AS (SELECT doc_id, i, j, CASE WHEN whole IS NOT NULL THEN w WHEN regexp_full_match(w, 'x{{4,}}') THEN '{T.FOUR}' WHEN n = g AND n < 4 THEN '' WHEN n = g AND n = 4 THEN '{T.FOUR}' WHEN n = g THEN '{T.NUMBER}' WHEN g >= 3 OR (g > 0 AND n >= 9) THEN '{T.NUMBER}' WHEN n = 1 THEN ''
+  WHEN w IN {_IN(T.STATES)} THEN '{T.STATE}' WHEN w IN {_IN(_CITIES)} THEN '{T.CITY}' WHEN w IN {_IN(T.PAYROLL)} THEN 'payroll' WHEN starts_with(w, 'payroll') AND n > 7 THEN 'payroll ' || regexp_replace(substr(w, 8), 'payroll$', '') WHEN ends_with(w, 'payroll') AND n > 7 THEN 'payroll ' || left(w, n - 7) ELSE w END AS w FROM x),
+z AS (SELECT doc_id, regexp_replace(string_agg(w, ' ' ORDER BY i, j), '\\b(direct|dir) (deposit|dep)\\b', 'dir dep', 'g') AS said FROM y WHERE w <> '' GROUP BY doc_id)
+SELECT documents.doc_id, CASE WHEN text IS NULL THEN NULL WHEN len(list_filter(string_split(coalesce(said, ''), ' '), lambda w: w <> '' AND w NOT IN {_IN(T.STOP_WORDS)})) = 0 THEN '{T.SILENT}' ELSE said END AS cleaned FROM documents LEFT JOIN z USING (doc_id)"""
+
+
+@query("clean_for_ngrams", _CLEAN)
 def clean_for_ngrams(spark, d):
-    said = F.element_at(F.array(*[F.lit(x) for x in _DIRTY]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", T.clean_for_ngrams(said, ["springfield"]).alias("cleaned"))
+    return table(spark, d, "documents").select("doc_id", T.clean_for_ngrams(F.col("text"), _CITIES).alias("cleaned"))
 
 
-@query("clean_for_clusters", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'acme pay' WHEN 1 THEN 'of the' ELSE 'rent house' END AS cleaned FROM part")
+@query("clean_for_clusters", f"""
+WITH k AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\t\\n\\x0B\\f\\r ]+'), lambda x: x <> '') AS ts FROM documents),
+t AS (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM k),
+s AS (SELECT doc_id, i, t FROM t WHERE t NOT IN {_IN(T.STOP_WORDS)}),
+o AS (SELECT doc_id, t, min(i) AS i FROM s GROUP BY doc_id, t),
+g AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS said FROM o GROUP BY doc_id)
+SELECT doc_id, coalesce(said, text) AS cleaned FROM documents LEFT JOIN g USING (doc_id)""")
 def clean_for_clusters(spark, d):
-    k = F.col("p_partkey") % 3
-    return table(spark, d, "part").select("p_partkey", T.clean_for_clusters(F.when(k == 0, "acme indn:smith pay acme").when(k == 1, "of the").otherwise("purchase cash app rent house rent")).alias("cleaned"))
+    return table(spark, d, "documents").select("doc_id", T.clean_for_clusters(F.col("text")).alias("cleaned"))
 
 
 @query("label_corrections", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'transfer' WHEN 1 THEN 'payroll' WHEN 2 THEN 'other' ELSE 'gig' END AS label FROM orders")
