@@ -482,10 +482,13 @@ def links(docs: DataFrame, units: DataFrame, id_col: str, text_col: str, k: int,
 
 
 def _sized(members: DataFrame, tile_sets: int, tile_shingles: int) -> tuple[DataFrame, DataFrame]:
-    """Members of blocks that one unit holds, and members of larger blocks."""
-    total = keep(members.groupBy("block").agg(((F.count("*") > 2 * tile_sets) | (F.sum("size") > 2 * tile_shingles)).alias("large")), "block-sizes")
+    """Members of blocks that one unit holds, and members of larger blocks, these with their block's first member
+    (``first``) and the number of chunks that it is cut into."""
+    large = (F.count("*") > 2 * tile_sets) | (F.sum("size") > 2 * tile_shingles)
+    chunks = F.ceil(F.greatest(F.count("*") / tile_sets, F.sum("size") / tile_shingles)).cast("int")
+    total = keep(members.groupBy("block").agg(large.alias("large"), chunks.alias("chunks"), F.min(F.struct("rep", "node"))["node"].alias("first")), "block-sizes")
     sized = members.join(total, "block")
-    return sized.where(~F.col("large")).drop("large"), sized.where("large").drop("large")
+    return sized.where(~F.col("large")).drop("large", "chunks", "first"), sized.where("large").drop("large")
 
 
 def _unit(kind, block, band, i, other, j) -> Column:
@@ -498,11 +501,9 @@ def _whole(small: DataFrame, more: list[str]) -> DataFrame:
     return small.select("node", "rep", _unit(FREE, F.col("block"), zero, zero, zero, zero).alias("unit"), zero.alias("side"), *more)
 
 
-def _chunks(large: DataFrame, tile_sets: int, tile_shingles: int, more: list[str]) -> DataFrame:
+def _chunks(large: DataFrame, more: list[str]) -> DataFrame:
     """Units of large blocks that compare a chunk of members with the block's first member; that one goes to every chunk."""
-    chunks = F.ceil(F.greatest(F.count("*") / tile_sets, F.sum("size") / tile_shingles)).cast("int").alias("chunks")
-    first = keep(large.groupBy("block").agg(F.min(F.struct("rep", "node")).alias("hub"), chunks), "hubs")
-    rows = large.join(first, "block").withColumn("is_hub", F.col("node") == F.col("hub.node"))
+    rows = large.withColumn("is_hub", F.col("node") == F.col("first"))
     own = F.pmod(F.hash("node"), F.col("chunks")).cast("int")
     rows = rows.withColumn("chunk", F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))))
     zero = F.lit(0)
@@ -560,10 +561,9 @@ def _joined(small: DataFrame, large: DataFrame, read, num: int, den: int, tile_s
     """Edges among the members of every block, by ``read`` of units."""
     if not large.limit(1).count():
         return read(_whole(small, more))
-    near = keep(read(_chunks(large, tile_sets, tile_shingles, more)), "near-first")
+    near = keep(read(_chunks(large, more)), "near-first")
     known = near.select(F.col("a").alias("node"), F.col("b").alias("block_first")).groupBy("node").agg(F.collect_set("block_first").alias("firsts"))
-    first = large.groupBy("block").agg(F.min(F.struct("rep", "node"))["node"].alias("first"))
-    flagged = large.join(known, "node", "left").join(keep(first, "firsts"), "block")
+    flagged = large.join(known, "node", "left")
     absorbed = (F.col("node") == F.col("first")) | F.coalesce(F.array_contains("firsts", F.col("first")), F.lit(False))
     flagged = flagged.withColumn("absorbed", absorbed.cast("int"))
     return read(_whole(small, more).unionByName(_tiled(flagged, num, den, tile_sets, tile_shingles, more))).union(near)
@@ -579,7 +579,7 @@ def _by_key(edges: DataFrame, large: DataFrame) -> DataFrame:
     beyond = sent.join(own.select(F.col("node").alias("hub"), F.col("hub").alias("next")), "hub").select("node", F.col("next").alias("hub"))
     itself = edges.select(F.col("hub").alias("node"), "hub")
     groups = own.union(sent).union(beyond).union(itself).distinct().withColumnRenamed("hub", "block")
-    return keep(large.drop("block").join(groups, "node"), "key-groups")
+    return keep(large.drop("block", "chunks", "first").join(groups, "node"), "key-groups")
 
 
 SIGN_COLUMNS = ["size", "excess", "least", "sign"]
