@@ -93,8 +93,8 @@ def recommended_account(sources: DataFrame, accounts: DataFrame, types: list[str
     """Per account type the account to debit: those with an active regular income first, then by balance, then by id."""
     has = sources.where((F.col("active_score") == 3) & (F.col("frequency") != "I") & (F.col("error_code") == 0)).select("account").distinct().withColumn("has", F.lit(1))
     rows = accounts.where(F.col("account_type").isin(types)).join(has, "account", "left")
-    order = Window.partitionBy("account_type").orderBy(F.desc(F.coalesce("has", F.lit(0))), F.desc("balance"), "account")
-    return rows.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("account_type", "account", F.coalesce("has", F.lit(0)).alias("has_income"))
+    order = F.struct((-F.coalesce("has", F.lit(0))).alias("h"), F.col("balance").isNull().alias("none"), (-F.col("balance")).alias("b"), "account")
+    return rows.groupBy("account_type").agg(F.min(order).alias("x")).select("account_type", F.col("x.account").alias("account"), (-F.col("x.h")).alias("has_income"))
 
 
 def amount_range(score: Column, low: float, high: float, least: float, most: float) -> tuple[Column, Column]:

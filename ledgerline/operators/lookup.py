@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def _bounded(dimension: DataFrame) -> DataFrame:
+def small(dimension: DataFrame) -> DataFrame:
     """The dimension with a broadcast hint if it is small by count."""
     return F.broadcast(dimension) if dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dimension
 
@@ -23,7 +23,7 @@ def prioritised(rows: DataFrame, base: DataFrame, shapes: list[list[str]], value
     found = []
     for k, shape in enumerate(shapes):
         side = base.where(F.col(shape_col) == k).groupBy(*shape).agg(F.min(value).alias(f"_hit{k}"))
-        rows = rows.join(_bounded(side), shape, "left")
+        rows = rows.join(small(side), shape, "left")
         found.append(F.col(f"_hit{k}"))
     hit = F.coalesce(*[F.when(c.isNotNull(), k) for k, c in enumerate(found)])
     return rows.withColumns({value: F.coalesce(*found), "hit": hit}).drop(*[f"_hit{k}" for k in range(len(shapes))])
@@ -47,7 +47,7 @@ def agent_override(rows: DataFrame, edits: DataFrame, label: str = "label") -> D
     """Labels set by hand, per description of an account or for a whole cluster, win over all others.
 
     ``edits``: account, description or cluster (the other null), label."""
-    by_text = _bounded(edits.where("description is not null").groupBy("account", "description").agg(F.min("label").alias("_text")))
-    by_cluster = _bounded(edits.where("cluster is not null").groupBy("account", "cluster").agg(F.min("label").alias("_cluster")))
+    by_text = small(edits.where("description is not null").groupBy("account", "description").agg(F.min("label").alias("_text")))
+    by_cluster = small(edits.where("cluster is not null").groupBy("account", "cluster").agg(F.min("label").alias("_cluster")))
     joined = rows.join(by_text, ["account", "description"], "left").join(by_cluster, ["account", "cluster"], "left")
     return joined.withColumn(label, F.coalesce("_text", "_cluster", label)).drop("_text", "_cluster")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ PAYMENT = (0.843, 1.185, 90.0, 300.0)
 NOT_FOUND, ABSENT = (101, 102, 103, 104, 105), (401, 402)
 VALID = (0, 201, 202, 203, 205, 401, 402, 403, 405)
 WEEK = 7
-#: Ranges of values that a global rank counts apart.
-RANGES = 64
+#: Ranges of values that a global rank counts apart, at least and at most, and distinct values of one between.
+RANGES, MOST_RANGES, RANGE_VALUES = 64, 1_000, 1_000_000
 
 
 def recurring_monthly(sources: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -179,10 +180,11 @@ def global_rank(rows: DataFrame, value: str) -> DataFrame:
     Counts of distinct values are summed within and between ranges of values, whose borders are approximate
     quantiles, so that no task holds all rows."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    borders = sorted(set(counts.approxQuantile(value, [k / RANGES for k in range(1, RANGES)], 0.01)))
+    ranges = min(MOST_RANGES, max(RANGES, counts.count() // RANGE_VALUES))
+    borders = sorted(set(counts.approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.5 / ranges)))
     part = F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b > F.col(value))) if borders else F.lit(0)
     ranged = counts.withColumn("part", part)
-    # at most RANGES rows
+    # at most MOST_RANGES rows
     below = ranged.groupBy("part").agg(F.sum("c").alias("n"))
     before = below.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
     inside = F.sum("c").over(Window.partitionBy("part").orderBy(F.desc(value))) - F.col("c")
@@ -190,7 +192,21 @@ def global_rank(rows: DataFrame, value: str) -> DataFrame:
     return rows.join(ranks, value)
 
 
-def augmented(rows: DataFrame, share: float, low: float, high: float, seed: int = 7) -> DataFrame:
-    """Rows drawn with replacement whose amounts are scaled by a random factor, for training."""
-    drawn = rows.sample(withReplacement=True, fraction=share, seed=seed)
-    return drawn.withColumn("amount", F.round(F.col("amount") * (F.rand(seed) * (high - low) + low), 2))
+def _uniform(key: Column, name: str, seed: int) -> Column:
+    """A number in [0, 1) from a row's key alone."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(name), key.cast("string")), 256), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def augmented(rows: DataFrame, share: float, low: float, high: float, seed: int = 7, key: str = "txn_id") -> DataFrame:
+    """Rows drawn with replacement (Poisson of mean ``share``) whose amounts are scaled by a factor of [low, high), for
+    training; both follow from a hash of the row's key, however rows are dealt."""
+    reach, term, steps = 0.0, math.exp(-share), []
+    while term > 1e-12 or len(steps) < share:
+        reach += term
+        steps.append(reach)
+        term *= share / len(steps)
+    u = _uniform(F.col(key), "copies", seed)
+    copies = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
+    drawn = rows.select("*", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))).alias("copy"))
+    factor = _uniform(F.concat_ws(":", F.col(key).cast("string"), F.col("copy").cast("string")), "factor", seed) * (high - low) + low
+    return drawn.withColumn("amount", F.round(F.col("amount") * factor, 2))

@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lookup import small
 
 #: Steps of a quantile mapping.
 STEPS = 1000
@@ -49,20 +50,6 @@ def auc(model: PipelineModel, rows: DataFrame, label: str) -> float:
     return BinaryClassificationEvaluator(labelCol=label).evaluate(model.transform(rows))
 
 
-def ablation_contributions(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFrame:
-    """(account, feature, contribution): how much the log-odds fall when a feature takes its mean.
-
-    One pass over rows exploded by feature; an approximation of additive attributions of trees."""
-    means = rows.agg(*[F.avg(f).alias(f) for f in features]).first()
-    base = [F.struct(F.lit(None).cast("string").alias("feature"), *[F.col(f).cast("double").alias(f) for f in features])]
-    swaps = [F.struct(F.lit(g).alias("feature"), *[(F.lit(float(means[f] or 0)) if f == g else F.col(f).cast("double")).alias(f) for f in features]) for g in features]
-    wide = rows.select("account", F.explode(F.array(*base, *swaps)).alias("x")).select("account", "x.*")
-    p = F.greatest(F.least(F.col("p"), F.lit(1 - 1e-9)), F.lit(1e-9))
-    scored = predict(model, wide).select("account", "feature", F.log(p / (1 - p)).alias("margin"))
-    own = F.max(F.when(F.col("feature").isNull(), F.col("margin"))).over(Window.partitionBy("account"))
-    return scored.withColumn("contribution", own - F.col("margin")).where("feature is not null").select("account", "feature", "contribution")
-
-
 def top_contributions(rows: DataFrame, n: int = 5) -> DataFrame:
     """(account, sign, rank, feature, contribution): the n largest of either sign, padded with nulls to n rows."""
     signed = rows.where("contribution <> 0").withColumn("sign", F.when(F.col("contribution") > 0, 1).otherwise(-1))
@@ -96,7 +83,7 @@ def distinct_reasons(rows: DataFrame, suppressed: dict[str, str] | None = None)
 
 def range_text(values: DataFrame, ranges: DataFrame) -> DataFrame:
     """Texts of open intervals: ``ranges`` (feature, low, high, text) joins by feature and low < value < high."""
-    r = F.broadcast(ranges.withColumnRenamed("feature", "_f"))  # a rule table, fixed in code
+    r = small(ranges.withColumnRenamed("feature", "_f"))
     return values.join(r, (F.col("feature") == F.col("_f")) & (F.col("value") > F.col("low")) & (F.col("value") < F.col("high"))).drop("_f", "low", "high")
 
 

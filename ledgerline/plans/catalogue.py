@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import attributions as A
 from ..operators import calendar as C
 from ..operators import clusters as K
 from ..operators import frequency as Q
@@ -662,3 +663,14 @@ def risk_scores(spark, d):
     fold = S.grouped_split(rows, "account")
     model = S.fit_trees(rows.where(fold == 0), features, "label", trees=5, depth=3)
     return S.predict(model, rows).select("account", F.round("p", 6).alias("p"), T.log_odds_score(F.col("p")).alias("score"))
+
+
+@query("tree_contributions")
+def tree_contributions(spark, d):
+    """Exact contributions of the features to each account's log-odds."""
+    ledger, accts, as_of = _orders(spark, d)
+    features = ["credit", "debit", "net_cash_flow", "spending"]
+    label = first_payment_default(spark, d).groupBy(F.col("customer").cast("string").alias("account")).agg(F.max("first_payment_default").cast("double").alias("label"))
+    rows = M.cashflow(ledger, accts, as_of).join(label, "account")
+    model = S.fit_trees(rows.where(S.grouped_split(rows, "account") == 0), features, "label", trees=5, depth=3)
+    return A.contributions(model, rows, features).select("account", "feature", F.round("contribution", 9).alias("contribution"))

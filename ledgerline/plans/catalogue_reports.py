@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -377,6 +379,13 @@ def score_quantile_map(spark, d):
     return S.calibrated(scores, scores.select("score"), table(spark, d, "part").select(F.col("p_retailprice").alias("score")))
 
 
-@query("augmented_rows")
+_POISSON = [sum(math.exp(-1.0) / math.factorial(k) for k in range(n + 1)) for n in range(15)]
+_U = "CAST(CAST('0x' || substr(sha256({}), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
+
+
+@query("augmented_rows", f"""WITH {EVENTS_SQL},
+u AS (SELECT account, txn_id, amount, {_U.format("'7:copies:' || txn_id")} AS u FROM ledger),
+c AS (SELECT account, txn_id, amount, CAST(unnest(range(1, 1 + {" + ".join(f"CASE WHEN u >= {x!r} THEN 1 ELSE 0 END" for x in _POISSON)})) AS INTEGER) AS copy FROM u)
+SELECT account, txn_id, round(amount * ({_U.format("'7:factor:' || txn_id || ':' || copy")} * (1.1 - 0.9) + 0.9), 2) AS amount, copy FROM c""")
 def augmented_rows(spark, d):
     return R.augmented(events_ledger(spark, d).select("account", "txn_id", "amount"), 1.0, 0.9, 1.1)

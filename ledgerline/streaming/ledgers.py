@@ -49,36 +49,77 @@ def refreshed_labels(rows: DataFrame) -> DataFrame:
     return rows.groupBy("account", "cluster").applyInPandasWithState(of, "account string, cluster string, txn_id long, label string", "names array<string>, counts array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
-def _versions(spark, path: str) -> list[int]:
-    """Numbers of the whole versions of a keyed table, ascending."""
+#: Partitions of a keyed table, by hash of its keys.
+TABLE_PARTS = 64
+
+
+def _file_system(spark, path: str):
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark, path: str) -> list[int]:
+    """Numbers of the versions of a keyed table that are whole, ascending: those whose manifest is."""
+    root, fs = _file_system(spark, f"{path}/_manifest")
     names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
-    return sorted(int(n) for n in names if n.isdigit() and fs.exists(done(f"{path}/{n}/_SUCCESS")))
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(path_of(f"{path}/_manifest/{n}/_SUCCESS")))
+
+
+def manifest(spark, path: str, version: int) -> dict[int, int]:
+    """Which version holds each partition of a keyed table, as of ``version``."""
+    return {r["part"]: r["version"] for r in spark.read.schema("part int, version int").parquet(f"{path}/_manifest/{version}").collect()}
+
+
+def _parts(spark, path: str, where: dict[int, int], schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(*[f"{path}/{v}/_part={p}" for p, v in sorted(where.items())])
 
 
 def stored(spark, path: str) -> DataFrame | None:
     """The keyed table as last written, or None."""
     found = _versions(spark, path)
-    return spark.read.parquet(f"{path}/{found[-1]}") if found else None
+    where = manifest(spark, path, found[-1]) if found else {}
+    if not where:
+        return None
+    part, version = next(iter(where.items()))
+    return _parts(spark, path, where, spark.read.parquet(f"{path}/{version}/_part={part}").schema)
 
 
-def upsert(rows: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """A keyed table kept by micro-batches: the row with the latest ``ts`` of a key stays, whether new or stored.
+def upsert(rows: DataFrame, path: str, keys: list[str], checkpoint: str, parts: int = TABLE_PARTS, ties: tuple[str, ...] = ()):
+    """A keyed table kept by micro-batches: the row with the latest ``ts`` of a key stays, whether new or stored; of
+    equal times the one that is largest in ``ties`` (an offset, say), or in all other columns.
 
-    Each batch writes a version of its own and removes those before the last; a batch that is run again, a late row
-    and a fresh checkpoint on an existing table all give the same table."""
+    The table is cut into ``parts`` by hash of the keys, and a batch writes only the partitions that it touches, as
+    files of a new version; a manifest says which version each partition is of.  The manifest is written last, so that
+    a batch that fails leaves the table as it was.  A batch that is run again, a late row and a fresh checkpoint on an
+    existing table all give the same table.  Files that neither of the last two manifests names are removed."""
 
     def save(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old, found = stored(spark, path), _versions(spark, path)
-        both = batch if old is None else old.unionByName(batch)
-        last = both.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), "ts").alias("r")).select("r.*")
-        last.write.mode("overwrite").parquet(f"{path}/{found[-1] + 1 if found else 0}")
-        jvm = spark.sparkContext._jvm
-        for version in found[:-1]:
-            gone = jvm.org.apache.hadoop.fs.Path(f"{path}/{version}")
-            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+        found = _versions(spark, path)
+        where = manifest(spark, path, found[-1]) if found else {}
+        order = F.struct("ts", *(ties or sorted(c for c in batch.columns if c not in ("ts", *keys))))
+        dealt = batch.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).persist()
+        try:
+            touched = [r["_part"] for r in dealt.select("_part").distinct().collect()]  # at most ``parts``
+            if not touched:
+                return
+            both = dealt.drop("_part")
+            if old := {p: where[p] for p in touched if p in where}:
+                both = both.unionByName(_parts(spark, path, old, batch.schema))
+            last = both.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+            version = found[-1] + 1 if found else 0
+            last.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(f"{path}/{version}")
+            now = where | {p: version for p in touched}
+            spark.createDataFrame(sorted(now.items()), "part int, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/_manifest/{version}")
+        finally:
+            dealt.unpersist()
+        needed = {*now.items(), *where.items()}
+        gone = [f"{path}/_manifest/{v}" for v in found[:-1]]
+        if len(found) > 1:
+            gone += [f"{path}/{v}/_part={p}" for p, v in manifest(spark, path, found[-2]).items() if (p, v) not in needed]
+        for each in gone:
+            at, fs = _file_system(spark, each)
+            fs.delete(at, True)
 
     return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
