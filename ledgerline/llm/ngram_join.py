@@ -486,9 +486,8 @@ def _sized(members: DataFrame, tile_sets: int, tile_shingles: int) -> tuple[Data
     (``first``) and the number of chunks that it is cut into."""
     large = (F.count("*") > 2 * tile_sets) | (F.sum("size") > 2 * tile_shingles)
     chunks = F.ceil(F.greatest(F.count("*") / tile_sets, F.sum("size") / tile_shingles)).cast("int")
-    total = keep(members.groupBy("block").agg(large.alias("large"), chunks.alias("chunks"), F.min(F.struct("rep", "node"))["node"].alias("first")), "block-sizes")
-    sized = members.join(total, "block")
-    return sized.where(~F.col("large")).drop("large", "chunks", "first"), sized.where("large").drop("large")
+    total = keep(members.groupBy("block").agg(large.alias("large"), chunks.alias("chunks"), F.min(F.struct("rep", "node"))["node"].alias("first")).where("large").drop("large"), "large-blocks")
+    return members.join(total, "block", "left_anti"), members.join(total, "block")
 
 
 def _unit(kind, block, band, i, other, j) -> Column:

@@ -3,6 +3,7 @@
 import pytest
 
 import corpus_pipeline
+from ledgerline.llm import line_dedup
 
 LINE = "all of this stands in the first document"
 
@@ -25,3 +26,12 @@ def test_unique_short_lines_stay(left):
 
 def test_documents_without_text_go(left):
     assert left[1] == LINE and set(left) == {1, 2, 4}
+
+
+def test_very_many_removed_lines(spark):
+    """Half of 60,000 lines go; what is left keeps its order."""
+    lines = [f"line number {i} of this text" for i in range(60_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "short")], "doc_id long, text string")
+    removed = spark.range(0, 60_000, 2).selectExpr("1L AS doc_id", "id AS line")
+    out = {r.doc_id: r.text for r in line_dedup.without_lines(docs, removed).collect()}
+    assert out == {1: "\n".join(lines[1::2]), 2: "short"}
