@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Classes of labels, and bins of the days between payments.
 CATEGORIES = ("payroll", "benefit", "transfer", "deposit", "gig")
 BINS = ("1", "2-5", "6-8", "9-12", "13-17", "18-24", "24-35", "36+")
 #: Columns of labelled rows as they come back, and their names as input.
@@ -36,12 +37,16 @@ def bin_flags(bin_: Column, prefix: str) -> list[Column]:
     return [F.coalesce((bin_ == b).cast("int"), F.lit(0)).alias(f"{prefix}_{k}") for k, b in enumerate(BINS)]
 
 
+#: Cuts of amounts and of shares that agree.
+AMOUNT_CUTS, SHARE_CUTS = (10, 100, 1000), (0.9, 0.7, 0.5)
+
+
 def amount_class(amount: Column) -> Column:
-    return F.when(amount < 10, "minor").when(amount < 100, "small").when(amount < 1000, "medium").when(amount.isNotNull(), "major")
+    return F.when(amount < AMOUNT_CUTS[0], "minor").when(amount < AMOUNT_CUTS[1], "small").when(amount < AMOUNT_CUTS[2], "medium").when(amount.isNotNull(), "major")
 
 
 def consistency_class(share: Column) -> Column:
-    return F.when(share >= 0.9, "high").when(share >= 0.7, "medium").when(share >= 0.5, "low").otherwise("none")
+    return F.when(share >= SHARE_CUTS[0], "high").when(share >= SHARE_CUTS[1], "medium").when(share >= SHARE_CUTS[2], "low").otherwise("none")
 
 
 def whole_percent(share: Column) -> Column:

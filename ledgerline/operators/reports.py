@@ -19,6 +19,16 @@ PAYMENT = (0.843, 1.185, 90.0, 300.0)
 NOT_FOUND, ABSENT = (101, 102, 103, 104, 105), (401, 402)
 VALID = (0, 201, 202, 203, 205, 401, 402, 403, 405)
 WEEK = 7
+#: Texts of alerts, insights and reasons.
+SHORT_INCOME = "Increased Default Risk: Income Detected for < 30 Consecutive Days"
+NO_INCOME = "Increased Default Risk: No Active Income Detected"
+HIGH_EXPENSES = "High Repeat Opportunity: High Monthly Expenses"
+PAYROLL_ABSENT = "Recent Payroll Absent - Job Loss Risk"
+LOANS_FUNDED = " Loan(s) Funded within the week"
+RECENT_OVERDRAFT = "Recent Overdraft Identified"
+BAD_SPENDING = "Unfavorable Spending Ratio - High Risk"
+LOANS_PAID = " Loan Payment(s) made this week"
+GOOD_SPENDING = "Good Spending Ratio - Low Risk"
 #: Ranges of values that a global rank counts apart, at least and at most, and distinct values of one between.
 RANGES, MOST_RANGES, RANGE_VALUES = 64, 1_000, 1_000_000
 
@@ -74,10 +84,10 @@ def alerts_and_insights(rows: DataFrame, risk: DataFrame, reasons: DataFrame) ->
     joined = rows.join(risk.select("account", "score"), "account", "left").join(reasons.select("account", "bad"), "account", "left")
     risky = F.coalesce(F.col("score") <= LOW_RISK_SCORE, F.lit(False))
     own = F.array_compact(F.array(
-        F.when(F.coalesce("income_history_days", F.lit(0)) <= GOOD_HISTORY_DAYS, "Increased Default Risk: Income Detected for < 30 Consecutive Days"),
-        F.when(F.coalesce("active_monthly_income", F.lit(0.0)) <= LOW_MONTHLY_INCOME, "Increased Default Risk: No Active Income Detected"),
+        F.when(F.coalesce("income_history_days", F.lit(0)) <= GOOD_HISTORY_DAYS, SHORT_INCOME),
+        F.when(F.coalesce("active_monthly_income", F.lit(0.0)) <= LOW_MONTHLY_INCOME, NO_INCOME),
     ))
-    insights = F.array_compact(F.array(F.when(F.coalesce("debit", F.lit(0.0)) >= HIGH_DEBITS, "High Repeat Opportunity: High Monthly Expenses")))
+    insights = F.array_compact(F.array(F.when(F.coalesce("debit", F.lit(0.0)) >= HIGH_DEBITS, HIGH_EXPENSES)))
     return joined.select("account", F.when(risky, "YES").otherwise("NO").alias("risk_behavior"), F.when(risky, F.coalesce("bad", F.array().cast("array<string>"))).otherwise(own).alias("alerts"), insights.alias("insights"))
 
 
@@ -93,10 +103,10 @@ def universal_reasons(accounts: DataFrame, sources: DataFrame, ledger: DataFrame
     rows = accounts.select("account").join(week, "account", "left").join(absent, "account", "left").join(spending.select("account", "days_to_spend"), "account", "left")
     some = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
     bad = F.array(
-        F.when(F.col("absent"), "Recent Payroll Absent - Job Loss Risk"), F.when(some("funded"), F.concat(F.col("funded").cast("string"), F.lit(" Loan(s) Funded within the week"))),
-        F.when(some("incidents"), "Recent Overdraft Identified"), F.when(F.col("days_to_spend") <= 3, "Unfavorable Spending Ratio - High Risk"),
+        F.when(F.col("absent"), PAYROLL_ABSENT), F.when(some("funded"), F.concat(F.col("funded").cast("string"), F.lit(LOANS_FUNDED))),
+        F.when(some("incidents"), RECENT_OVERDRAFT), F.when(F.col("days_to_spend") <= 3, BAD_SPENDING),
     )
-    good = F.array(F.when(some("paid"), F.concat(F.col("paid").cast("string"), F.lit(" Loan Payment(s) made this week"))), F.when(F.col("days_to_spend") >= 7, "Good Spending Ratio - Low Risk"))
+    good = F.array(F.when(some("paid"), F.concat(F.col("paid").cast("string"), F.lit(LOANS_PAID))), F.when(F.col("days_to_spend") >= 7, GOOD_SPENDING))
     return rows.select("account", F.array_compact(bad).alias("bad"), F.array_compact(good).alias("good"))
 
 

@@ -16,6 +16,7 @@ from ..operators import calendar as C
 from ..operators import money as M
 from ..operators import reports as R
 from ..operators import text_clusters as X
+from ..operators.lineage import cut as cut_lineage
 from ..operators.peaks import peak_features
 
 
@@ -36,6 +37,8 @@ class Config:
     #: whether pay-day patterns name days and tell two weeks from half months; the plan gets several times as long,
     #: which pays for many customers and not for a few
     patterns: bool = False
+    #: whether loans are clustered again at a looser cut and payroll and benefits merged
+    recluster: bool = False
     nsf: list[str] = field(default_factory=lambda: [r"\bnsf", r"\binsufficient\b", r"\breturned item\b", r"\bunpaid item\b"])
     overdraft: list[str] = field(default_factory=lambda: [r"\boverdraft\b", r"\bod fee\b"])
 
@@ -43,15 +46,19 @@ class Config:
 def label(ledger: DataFrame, config: Config | None = None, edits: DataFrame | None = None) -> DataFrame:
     """Adds ``cluster``, ``label`` and ``label_source``.
 
-    Texts are cleaned and clustered per account; rules label rows, the majority of a cluster's labels (earlier
+    Texts are cleaned and clustered per account (by ``entity`` first, where the ledger has that column); rules label rows, the majority of a cluster's labels (earlier
     ones in ``known_label``, if there, before rules' ones) labels the rest, hand edits win, and keyword
     corrections come last.
     """
     config = config or Config()
     rows = ledger if "known_label" in ledger.columns else ledger.withColumn("known_label", F.lit(None).cast("string"))
-    rows = rows.withColumn("clean", T.clean_for_clusters(T.clean_for_ngrams(F.coalesce("description", F.lit("")))))
-    found = X.text_clusters(rows, "clean", config.distance).withColumnRenamed("text", "clean")
-    rows = rows.drop("cluster").join(found, ["account", "clean"], "left").withColumn("cluster", F.coalesce("cluster", F.lit("text_none")))
+    # computed once: every table of a report reads it, and the expression is long
+    rows = cut_lineage(rows.withColumn("clean", T.clean_for_clusters(T.clean_for_ngrams(F.coalesce("description", F.lit(""))))))
+    if "entity" in rows.columns:
+        rows = X.entity_clusters(rows.drop("cluster"), config.distance)
+    else:
+        found = X.text_clusters(rows, "clean", config.distance).withColumnRenamed("text", "clean")
+        rows = rows.drop("cluster").join(found, ["account", "clean"], "left").withColumn("cluster", F.coalesce("cluster", F.lit("text_none")))
     rows = rows.withColumn("ruled", T.regex_label(F.col("clean"), config.rules)).withColumn("seen", F.coalesce("known_label", "ruled"))
     major = K.triage(rows, "seen").select("account", "cluster", "majority")
     rows = rows.join(major, ["account", "cluster"], "left")
@@ -60,6 +67,8 @@ def label(ledger: DataFrame, config: Config | None = None, edits: DataFrame | No
     if edits is not None:
         rows = L.agent_override(rows, edits)
     rows = rows.withColumn("label", T.corrected_label(F.col("label"), F.col("clean"), F.col("type")))
+    if config.recluster:
+        rows = X.reclustered(rows) if "entity" in rows.columns else X.reclustered(rows.withColumn("entity", F.lit(None).cast("string"))).drop("entity")
     return rows.drop("clean", "ruled", "seen", "majority", "known_label")
 
 
