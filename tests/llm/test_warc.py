@@ -66,7 +66,7 @@ def test_push_down(spark, archive):
     assert not re.search(r"(\) |- |^)Filter ", plan), plan  # nothing is left for Spark to test
     assert heads("warc_type").where("warc_type = 'revisit'").count() == sum(x[3] == "revisit" for x in plain(PAGES))
     assert heads("warc_type", "record_id").where("record_id in ('urn:page:1', 'urn:page:2') or warc_type = 'none'").count() == 2
-    assert heads("record_id").where("record_id > 'urn:page:5'").count() == 6  # strings compare by bytes: left to Spark
+    assert heads("record_id").where("record_id > 'urn:page:5'").count() == 5  # strings compare by bytes: left to Spark
     assert heads("refers_to").where("refers_to is null").count() + heads("refers_to").where("refers_to is not null").count() == len(PAGES)
 
 
