@@ -89,12 +89,12 @@ def counts_by_recency(sources: DataFrame, as_of: datetime.date) -> DataFrame:
     return sources.groupBy("account").agg(F.count_if(ok).alias("sources_all"), F.count_if(ok & (age <= 180)).alias("sources_6m"), F.count_if(ok & (age <= 90)).alias("sources_3m"))
 
 
-def recommended_account(sources: DataFrame, accounts: DataFrame, types: list[str]) -> DataFrame:
-    """Per account type the account to debit: those with an active regular income first, then by balance, then by id."""
+def recommended_account(sources: DataFrame, accounts: DataFrame, types: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Per account type (within ``by``, columns of ``accounts``) the account to debit: those with an active regular income first, then by balance, then by id."""
     has = sources.where((F.col("active_score") == 3) & (F.col("frequency") != "I") & (F.col("error_code") == 0)).select("account").distinct().withColumn("has", F.lit(1))
     rows = accounts.where(F.col("account_type").isin(types)).join(has, "account", "left")
     order = F.struct((-F.coalesce("has", F.lit(0))).alias("h"), F.col("balance").isNull().alias("none"), (-F.col("balance")).alias("b"), "account")
-    return rows.groupBy("account_type").agg(F.min(order).alias("x")).select("account_type", F.col("x.account").alias("account"), (-F.col("x.h")).alias("has_income"))
+    return rows.groupBy(*by, "account_type").agg(F.min(order).alias("x")).select(*by, "account_type", F.col("x.account").alias("account"), (-F.col("x.h")).alias("has_income"))
 
 
 def amount_range(score: Column, low: float, high: float, least: float, most: float) -> tuple[Column, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -72,10 +72,18 @@ def label(ledger: DataFrame, config: Config | None = None, edits: DataFrame | No
     return rows.drop("clean", "ruled", "seen", "majority", "known_label")
 
 
-def analyze(labelled: DataFrame, accounts: DataFrame, as_of: datetime.date, config: Config | None = None) -> dict[str, DataFrame]:
+def calendar_of(rows: DataFrame, as_of: datetime.date | Column) -> DataFrame:
+    """Business days around the as-of date, or around the first and last one of a column."""
+    ends = rows.agg(F.min(as_of), F.max(as_of)).first() if isinstance(as_of, Column) else (as_of, as_of)
+    begin, end = (d or datetime.date.today() for d in ends)  # no rows, no pay days to place
+    return C.business_calendar(rows.sparkSession, begin - datetime.timedelta(days=CALENDAR_DAYS), end + datetime.timedelta(days=60))
+
+
+def analyze(labelled: DataFrame, accounts: DataFrame, as_of: datetime.date | Column, config: Config | None = None) -> dict[str, DataFrame]:
     """Tables of a report.  ``accounts``: account, balance, account_type.
 
-    Each is a plan over the same labelled ledger; persist or write that first if several are taken.
+    ``as_of`` is a date or a column that follows from ``account`` (see ``per_request``); with ``request_id`` among the
+    accounts' columns, accounts are recommended within a request.  Each is a plan over the same labelled ledger; persist or write that first if several are taken.
     """
     config = config or Config()
     rows = labelled.where(F.col("date") <= F.lit(as_of))
@@ -83,7 +91,7 @@ def analyze(labelled: DataFrame, accounts: DataFrame, as_of: datetime.date, conf
         rows = M.truncate(rows, as_of, config.months, ("request_id",) if "request_id" in rows.columns else ())
     kinds = {"Payroll": "payroll", "Benefit": "benefit", "Transfer": "transfer", "gig": "gig"}
     kind = F.coalesce(*[F.when(F.col("label") == name, kind) for kind, name in kinds.items()])
-    calendar = C.business_calendar(labelled.sparkSession, as_of - datetime.timedelta(days=CALENDAR_DAYS), as_of + datetime.timedelta(days=60)).persist() if config.patterns else None
+    calendar = calendar_of(labelled, as_of).persist() if config.patterns else None
     sources = I.income_sources(rows.where(F.col("label").isin(*kinds.values())), as_of, kind, calendar).persist()  # most tables read it
     ranked = I.ranked(sources)
     loans = I.loan_sources(rows.where("label = 'loan'"))
@@ -103,7 +111,7 @@ def analyze(labelled: DataFrame, accounts: DataFrame, as_of: datetime.date, conf
         "balances": M.balance_history(rows, accounts, as_of),
         "ability_to_pay": peak_features(M.daily_series(rows)),
         "top_income": I.regular_top(sources),
-        "recommended_account": I.recommended_account(sources, accounts, ["CHECKING", "SAVINGS"]),
+        "recommended_account": I.recommended_account(sources, accounts, ["CHECKING", "SAVINGS"], ("request_id",) if "request_id" in accounts.columns else ()),
     }
 
 
