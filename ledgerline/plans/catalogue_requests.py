@@ -1,5 +1,6 @@
 """Two requests of every customer, with dates and time frames of their own, in one job; each with the SQL that gives
-the same rows."""
+the same rows.  Amounts are whole numbers, whose sums are exact in any order: periods of 32 or 48 days otherwise give
+means that lie between two roundings."""
 
 from __future__ import annotations
 
@@ -12,19 +13,19 @@ from .per_request import analyze_requests
 from .registry import query
 
 #: Requests, their rows up to the date, and those within the time frame (six months for the second request).
-CUT = f"""WITH {ORDERS_SQL}, req AS (SELECT 'r' || c_custkey || '-' || k AS request_id, CAST(c_custkey AS VARCHAR) AS account, c_acctbal AS balance, k,
+CUT = f"""WITH {ORDERS_SQL}, req AS (SELECT 'r' || c_custkey || '-' || k AS request_id, CAST(c_custkey AS VARCHAR) AS account, round(c_acctbal) AS balance, k,
  CASE k WHEN 0 THEN DATE '1996-06-30' ELSE DATE '1998-03-31' END + CAST(c_custkey % 7 AS INTEGER) AS d FROM customer, (VALUES (0), (1)) v(k)),
-upto AS (SELECT r.request_id, r.k, r.d, l.* FROM ledger l JOIN req r ON r.account = l.account WHERE l.date <= r.d),
+upto AS (SELECT r.request_id, r.k, r.d, l.* REPLACE (round(l.amount) AS amount) FROM ledger l JOIN req r ON r.account = l.account WHERE l.date <= r.d),
 frame AS (SELECT request_id, CAST(date_trunc('month', CAST(max(date) - INTERVAL 6 MONTH AS DATE)) AS DATE) AS first FROM upto WHERE k = 1 GROUP BY 1),
 cut AS (SELECT u.*, date_diff('day', u.date, u.d) AS age FROM upto u LEFT JOIN frame f ON f.request_id = u.request_id WHERE f.first IS NULL OR u.date >= f.first)"""
 
 
 def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     twice = lambda df: df.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("request_id", F.concat(F.lit("r"), "account", F.lit("-"), "k"))
-    owners = twice(accounts(spark, d))
+    owners = twice(accounts(spark, d)).withColumn("balance", F.round("balance"))
     day = F.date_add(F.when(F.col("k") == 0, F.lit("1996-06-30")).otherwise(F.lit("1998-03-31")).cast("date"), (F.col("account").cast("long") % 7).cast("int"))
     wanted = owners.select("request_id", day.alias("as_of"), F.when(F.col("k") == 1, 6).alias("months"))
-    labelled = twice(orders_ledger(spark, d)).withColumn("label", F.when(F.col("type") == "CREDIT", "payroll").otherwise("loan"))
+    labelled = twice(orders_ledger(spark, d)).withColumn("amount", F.round("amount")).withColumn("label", F.when(F.col("type") == "CREDIT", "payroll").otherwise("loan"))
     return analyze_requests(labelled.drop("k"), owners.drop("k"), wanted)
 
 
