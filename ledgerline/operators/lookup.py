@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def small(dimension: DataFrame) -> DataFrame:
-    """The dimension with a broadcast hint if it is small by count."""
-    return F.broadcast(dimension) if dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dimension
+def small(dimension: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """The dimension with a broadcast hint if it is small by count; ``bound``: rows that are cheaper to count and at
+    least as many."""
+    counted = dimension if bound is None else bound
+    return F.broadcast(dimension) if counted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dimension
 
 
 def prioritised(rows: DataFrame, base: DataFrame, shapes: list[list[str]], value: str = "label", shape_col: str = "shape") -> DataFrame:

@@ -62,7 +62,8 @@ def keyed(ledger: DataFrame, accounts: DataFrame, requests: DataFrame) -> tuple[
     framed = known.where("months is not null").select("request_id", "months")
     last = rows.groupBy("request_id").agg(F.max("date").alias("last"))
     first = framed.join(last, "request_id").select("request_id", F.trunc(F.add_months("last", -F.col("months")), "MM").alias("first"))
-    rows = rows.join(small(first), "request_id", "left").where(F.col("first").isNull() | (F.col("date") >= F.col("first")))
+    # at most a row a framed request: these are counted without a pass over the ledger
+    rows = rows.join(small(first, framed), "request_id", "left").where(F.col("first").isNull() | (F.col("date") >= F.col("first")))
     owners = plain(accounts).join(small(known.drop("months")), "request_id")
     return rows.withColumn("account", key()).drop("as_of", "first"), owners.withColumn("account", key()).drop("as_of")
 
