@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import calendar as C
 from ..operators import frequency as Q
 from ..operators import paydays as P
-from ..sources.adapters import table
+from ..sources.adapters import spread, table
 from .catalogue import _longs
 from .registry import query
 
@@ -42,7 +42,8 @@ support AS (SELECT *, CASE WHEN aft + bef > 0 THEN CASE WHEN aft >= bef THEN 'A'
 
 def _pays(spark: SparkSession, d: str) -> DataFrame:
     cal = _calendar(spark)
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k")).where((F.col("c") % 5 > 0) | (F.col("k") < 3))
+    owners = spread(table(spark, d, "customer").select(F.col("c_custkey").alias("c"), F.col("c_custkey").cast("string").alias("account")), "account")  # a file of customers makes twelve rows each
+    rows = owners.select("c", "account", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k")).where((F.col("c") % 5 > 0) | (F.col("k") < 3))
     habit = F.col("c") % 6
     m = F.add_months(F.lit("2021-01-01").cast("date"), F.when(habit.isin(4, 5), F.floor(F.col("k") / 2)).otherwise(F.col("k")).cast("int"))
     rows = rows.withColumn("m", m)
@@ -50,7 +51,7 @@ def _pays(spark: SparkSession, d: str) -> DataFrame:
     plan = F.when(habit == 0, F.date_add(m, 4)).when(habit == 1, F.last_day(m)).when(habit == 2, C.nth_weekday(m, 1, 2)).when(habit == 3, C.nth_weekday(m, 4, -1)).when(habit == 4, F.when(odd, F.date_add(m, 14)).otherwise(m)).otherwise(F.when(odd, F.last_day(m)).otherwise(F.date_add(m, 9)))
     moved = C.shifted(rows.withColumn("plan", plan), "plan", F.when(habit == 0, "A").otherwise("B"), cal)
     date = F.when(F.col("c") % 7 == 0, F.date_add("plan", ((F.col("k") * F.col("k")) % 5).cast("int"))).otherwise(F.col("shifted"))
-    return moved.select(F.col("c").cast("string").alias("account"), F.lit("pay").alias("cluster"), date.alias("date")).distinct()
+    return moved.select("account", F.lit("pay").alias("cluster"), date.alias("date")).distinct()
 
 
 def _calendar(spark: SparkSession) -> DataFrame:

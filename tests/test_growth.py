@@ -3,10 +3,10 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerline.operators import money as M
-from ledgerline.plans import registry
+from ledgerline.plans import catalogue_paydays
+from ledgerline.sources import adapters
 
 SF = "/root/testdata/sf0.01"
 AS_OF = dt.date(2024, 6, 30)
@@ -37,3 +37,14 @@ def test_balances_without_a_row_a_day(spark):
         assert got[account] == pytest.approx(balances(rows, account, balance), abs=2e-4), account  # Python rounds halves to even
     assert "Generate" not in plan_of(out)  # before: a row for each account and day
     assert M.balance_history(ledger, accounts, None).count() == 0
+
+
+def test_pay_days_are_made_in_many_tasks(spark, monkeypatch):
+    """Customers are dealt before each makes its pay days, over as many tasks as their count asks for."""
+    monkeypatch.setattr(adapters, "SPREAD_ROWS", 100)
+    pays = catalogue_paydays._pays(spark, SF)
+    assert "RepartitionByExpression [account" in plan_of(pays) and ", 15" in plan_of(pays)  # before: a task a file
+    owners = adapters.table(spark, SF, "customer").select("c_custkey")
+    dealt = adapters.spread(owners, "c_custkey")
+    assert dealt.rdd.getNumPartitions() == 15 and dealt.distinct().count() == owners.count() == pays.select("account").distinct().count()
+    assert adapters.spread(owners.limit(0), "c_custkey").count() == 0
