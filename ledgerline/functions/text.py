@@ -64,17 +64,23 @@ def _digits_in(word: Column) -> Column:
     return F.length(F.regexp_replace(word, "[^0-9]", ""))
 
 
+def _plain_class(word: Column, cities: list[str]) -> Column:
+    """What becomes of a run of letters."""
+    n, none = F.length(word), F.array().cast("array<string>")
+    one = lambda x: F.array(F.lit(x) if isinstance(x, str) else x)
+    names = [c for c in cities if " " not in c]
+    joined = F.filter(F.array(F.lit("payroll"), F.regexp_replace(word, "^payroll|payroll$", "")), lambda w: w != "")
+    plain = F.when(n == 1, none).when(word.isin(STATES), one(STATE)).when(word.isin(names) if names else F.lit(False), one(CITY)).when(word.isin(PAYROLL), one("payroll"))
+    return plain.when(word.startswith("payroll") | word.endswith("payroll"), joined).when(word.startswith("xxxx") & word.rlike("^x+$"), one(FOUR)).otherwise(one(word))  # a masked number
+
+
 def _word_class(word: Column, cities: list[str]) -> Column:
     """What becomes of a run of letters and digits: an array of no, one or two words."""
     n, none = F.length(word), F.array().cast("array<string>")
     one = lambda x: F.array(F.lit(x) if isinstance(x, str) else x)
     digits = _digits_in(word)
     mixed = F.when((n == digits) & (n < 4), none).when((n == digits) & (n == 4), one(FOUR)).when((n == digits) | (digits >= 3) | (n >= 9), one(NUMBER)).when(n == 1, none).otherwise(one(word))
-    names = [c for c in cities if " " not in c]
-    joined = F.filter(F.array(F.lit("payroll"), F.regexp_replace(word, "^payroll|payroll$", "")), lambda w: w != "")
-    plain = F.when(n == 1, none).when(word.isin(STATES), one(STATE)).when(word.isin(names) if names else F.lit(False), one(CITY)).when(word.isin(PAYROLL), one("payroll"))
-    plain = plain.when(word.startswith("payroll") | word.endswith("payroll"), joined).when(word.startswith("xxxx") & word.rlike("^x+$"), one(FOUR)).otherwise(one(word))  # a masked number
-    return F.when(word.rlike("[0-9]"), mixed).otherwise(plain)
+    return F.when(word.rlike("[0-9]"), mixed).otherwise(_plain_class(word, cities))
 
 
 def _token_class(token: Column, cores: Column, i: Column, cities: list[str]) -> Column:
@@ -93,7 +99,11 @@ def _token_class(token: Column, cores: Column, i: Column, cities: list[str]) ->
     # the day beside a month, and a year after both
     out = out.when(digit & is_day(core) & (is_month(before) | is_month(after)), none).when(digit & core.rlike("^[0-9]{2,4}$") & dated(earlier, before), none)
     words = F.split(F.regexp_replace(F.lower(split_capitals(token)), "([0-9]{5,})", " $1 "), "[^a-z0-9]+")
-    return out.when(token.rlike("^[a-z]+$"), _word_class(token, cities)).otherwise(F.flatten(F.transform(F.filter(words, lambda w: w != ""), lambda w: _word_class(w, cities))))
+    out = out.otherwise(F.flatten(F.transform(F.filter(words, lambda w: w != ""), lambda w: _word_class(w, cities))))
+    # most tokens are words in lower case: of all these cases only those without a digit or a sign can be theirs
+    word = F.when(core.isin(*CODE_WORDS) & (after != ""), none).when(before.isin(*CODE_WORDS), F.array(F.lit(CODE)))
+    word = word.when(is_month(core) & (is_day(before) | is_day(after)), F.array(F.lit(DATE))).otherwise(_plain_class(token, cities))
+    return F.when(token.rlike("^[a-z]+$"), word).otherwise(out)
 
 
 def clean_for_ngrams(text: Column, cities: list[str] = ()) -> Column:
