@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column
@@ -125,12 +126,21 @@ def clean_for_clusters(text: Column, irrelevant: list[str] = STOP_WORDS) -> Colu
     after it; the text itself where nothing but stop words remains."""
     tag = lambda w: _core(w) == "indn"
     named = lambda every: F.filter(every, lambda w, i: ~(tag(w) | w.rlike("^indn[#:]") | ((i > 0) & tag(F.coalesce(F.get(every, i - 1), F.lit(""))))))
-    kept = F.filter(bound(tokens(text), named), lambda w: ~w.isin(irrelevant))
     firsts = [F.struct(F.lit(x.split(" ")[0]).alias("a"), F.lit(x.split(" ")[1]).alias("b")) for x in PAIRS]
     pair = lambda a, b: F.coalesce(F.struct(a.alias("a"), b.alias("b")).isin(*firsts), F.lit(False))
     alone = lambda kept: F.filter(kept, lambda w, i: ~(pair(w, F.coalesce(F.get(kept, i + 1), F.lit(""))) | ((i > 0) & pair(F.coalesce(F.get(kept, i - 1), F.lit("")), w))))
-    left = F.array_distinct(bound(kept, alone))
-    return F.when(F.size(F.filter(left, lambda w: ~w.isin(STOP_WORDS))) == 0, text).otherwise(F.array_join(left, " "))
+    words = lambda of: F.array(*[F.lit(w) for w in of])
+
+    def cleaned(text: Column) -> Column:
+        kept = F.filter(bound(tokens(text), named), lambda w: ~w.isin(irrelevant))
+        tagged = F.contains(F.lower(text), F.lit("indn"))
+        # most texts hold neither a tag nor both words of a pair: their distinct tokens need no look at neighbours
+        paired = lambda plain: functools.reduce(lambda a, b: a | b, [F.array_contains(plain, x.split(" ")[0]) & F.array_contains(plain, x.split(" ")[1]) for x in PAIRS])
+        plain = F.array_except(F.split(text, "\\s+"), words(["", *irrelevant]))
+        left = bound(plain, lambda plain: F.when(tagged | paired(plain), F.array_distinct(bound(kept, alone))).otherwise(plain))
+        return bound(left, lambda left: F.when(F.size(F.array_except(left, words(STOP_WORDS))) == 0, text).otherwise(F.array_join(left, " ")))
+
+    return bound(text, cleaned)
 
 
 def clean_for_rules(text: Column) -> Column:

@@ -3,7 +3,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerline.functions import text as T
 from ledgerline.operators import money as M
 from ledgerline.plans import catalogue_paydays
 from ledgerline.sources import adapters
@@ -48,3 +50,15 @@ def test_pay_days_are_made_in_many_tasks(spark, monkeypatch):
     dealt = adapters.spread(owners, "c_custkey")
     assert dealt.rdd.getNumPartitions() == 15 and dealt.distinct().count() == owners.count() == pays.select("account").distinct().count()
     assert adapters.spread(owners.limit(0), "c_custkey").count() == 0
+
+
+def test_plain_texts_need_no_look_at_neighbours(spark):
+    """Only texts with a tag or both words of a pair are looked at token by token; all others keep their distinct tokens."""
+    said = {
+        None: None, "": "", " \t": " \t", "the to": "the to", "b a b  c": "b c", "cash app": "cash app", "cash the app": "cash the app", "x cash the app y": "x y", "app cash cash": "app cash", "los x angelos": "los x angelos",
+        "x INDN: bob y": "x y", "x indn#bob y": "x y", "indnx bob": "indnx bob", "indn": "indn", "x cash indn bob app": "x",
+    }
+    rows = spark.createDataFrame([(t,) for t in said], "text string")
+    out = rows.select("text", T.clean_for_clusters(F.col("text")).alias("cleaned"))
+    assert {r.text: r.cleaned for r in out.collect()} == said
+    assert "array_except(split(" in plan_of(out)  # before: two regular expressions for each token
