@@ -22,8 +22,8 @@ def described(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, text, tokens, tags, held_out): a description per document.  Its name is two of the words of the whole
     text, those of the smallest hashes; documents with fewer than two words have none."""
     docs = table(spark, d, "documents").select("doc_id", F.array_distinct(F.expr("regexp_extract_all(lower(text), '[a-z]{3,}', 0)")).alias("words"))
-    ranked = F.array_sort(F.transform("words", lambda w: F.struct(F.xxhash64(w, "doc_id").alias("h"), w.alias("w"))))
-    docs = docs.where(F.size("words") > 1).select("doc_id", F.transform(F.slice(ranked, 1, 2), lambda x: x["w"]).alias("name"))
+    ranked = F.sort_array(F.transform("words", lambda w: F.struct(F.xxhash64(w, "doc_id").alias("h"), w.alias("w"))))
+    docs = docs.select("doc_id", F.transform(F.slice(ranked, 1, 2), lambda x: x["w"]).alias("name"))
     form = F.element_at(F.array(*[F.array(*map(F.lit, f.split(" "))) for f in FORMS]), F.pmod(F.xxhash64("doc_id"), F.lit(len(FORMS))).cast("int") + 1)
     number = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)).cast("string")
     out = "O"
@@ -35,7 +35,9 @@ def described(spark: SparkSession, d: str) -> DataFrame:
 
     rows = docs.withColumn("pieces", F.flatten(F.transform(form, piece))).select("doc_id", "name", F.col("pieces.token").alias("tokens"), F.col("pieces.tag").alias("tags"))
     held = F.pmod(F.xxhash64(F.array_join(F.array_sort("name"), " ")), F.lit(FOLDS)) == 0
-    return rows.select("doc_id", F.array_join("tokens", " ").alias("text"), "tokens", "tags", held.alias("held_out"))
+    rows = rows.select("doc_id", "name", F.array_join("tokens", " ").alias("text"), "tokens", "tags", held.alias("held_out"))
+    # the fit, the tagger and the join read the descriptions, not the texts again
+    return rows.persist().where(F.size("name") > 1).drop("name")
 
 
 @query("entity_tags")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
 from ledgerline.operators import money as M
-from ledgerline.plans import catalogue_paydays
+from ledgerline.plans import catalogue_entities, catalogue_paydays
 from ledgerline.sources import adapters
 
 SF = "/root/testdata/sf0.01"
@@ -62,3 +62,13 @@ def test_plain_texts_need_no_look_at_neighbours(spark):
     out = rows.select("text", T.clean_for_clusters(F.col("text")).alias("cleaned"))
     assert {r.text: r.cleaned for r in out.collect()} == said
     assert "array_except(split(" in plan_of(out)  # before: two regular expressions for each token
+
+
+def test_descriptions_are_made_once(spark, tmp_path):
+    """The fit, the tagger and the join share one pass over the texts; texts of fewer than two words have no description."""
+    texts = [(0, None), (1, ""), (2, "one one"), (3, "one two"), (4, "THREE four five"), (5, "a b 12")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = catalogue_entities.described(spark, str(tmp_path))
+    assert {r.doc_id for r in rows.collect()} == {3, 4} and all(len(r.tokens) == len(r.tags) for r in rows.collect())
+    read = rows.join(rows.where("not held_out").select("text"), "text")
+    assert "InMemoryRelation" in read._jdf.queryExecution().withCachedData().toString()  # before: the texts were read for each use
