@@ -24,6 +24,9 @@ VARIATION = (0.33, 0.5)
 LEAST_PAYS = {"M": 2, "B": 2, "S": 2, "W": 2}
 LEAST_PAYS_OTHER = 4
 GAP, GAP_MONTHLY = 35, 40
+#: Clusters that have a frequency, and what ``judged`` says of them.
+KNOWN = "account is not null and cluster is not null"
+JUDGED = ("frequency", "monthly_amount", "monthly_pays", "weekday", "day1", "day2", "regular_day", "same_day_share")
 SMALL_AMOUNT, TRIM_ROWS, TRIM_SHARE = 50, 4, 0.3
 
 
@@ -31,11 +34,16 @@ def by_frequency(frequency: Column, values: dict[str, int], other: int) -> Colum
     return F.coalesce(*[F.when(frequency == k, F.lit(v)) for k, v in values.items()], F.lit(other))
 
 
+def kept(amount: Column) -> Column:
+    """Whether a row's amount is above 50 and, in clusters with four of these, at least 0.3 of their median."""
+    cluster, large = Window.partitionBy(*KEYS), amount > SMALL_AMOUNT
+    known = F.when(large, amount)
+    return large & ((F.count(known).over(cluster) < TRIM_ROWS) | (amount >= TRIM_SHARE * F.percentile(known, F.lit(0.5)).over(cluster)))
+
+
 def trimmed(ledger: DataFrame) -> DataFrame:
-    """Rows above 50 and, in clusters with four of them, at least 0.3 of their median."""
-    rows = ledger.where(F.col("amount") > SMALL_AMOUNT)
-    middle = rows.groupBy(*KEYS).agg(F.percentile("amount", F.lit(0.5)).alias("median"), F.count("*").alias("n"))
-    return rows.join(middle, list(KEYS)).where((F.col("n") < TRIM_ROWS) | (F.col("amount") >= TRIM_SHARE * F.col("median"))).drop("median", "n")
+    """Rows that are ``kept``."""
+    return ledger.withColumn("kept", kept(F.col("amount"))).where("kept").drop("kept")
 
 
 def _mode(rows: DataFrame, value: str, n: int) -> DataFrame:
@@ -46,6 +54,33 @@ def _mode(rows: DataFrame, value: str, n: int) -> DataFrame:
     return ranked.groupBy(*KEYS).agg(F.max(F.when(F.col("r") == 1, F.col(value))).alias(value), F.max(F.when(F.col("r") == 2, F.col(value))).alias(f"{value}2"), (F.sum("c") / F.max("total")).alias(f"{value}_share"))
 
 
+#: A count and a place among the values in one number, the larger the more frequent and then the smaller the value.
+PLACES = 64
+
+
+def mode_codes(value: Column, values: range, on: Column) -> Column:
+    """An aggregate for ``modes``: how often null and each of the few ``values`` stand among the rows where ``on`` holds."""
+    return F.array(*[F.count_if(on & is_it) * PLACES + (PLACES - 1 - i) for i, is_it in enumerate([value.isNull(), *[value == v for v in values]])])
+
+
+def modes(codes: Column, first: int) -> list[tuple[Column, Column]]:
+    """The two most frequent values (null without a second one; nulls first on ties, then the smallest) with their counts."""
+    top = F.array_max(codes)
+    place = lambda code: PLACES - 1 - code % PLACES
+    return [(F.when((code >= PLACES) & (place(code) > 0), (place(code) - 1 + first).cast("int")), F.shiftright(code, 6)) for code in (top, F.array_max(F.array_remove(codes, top)))]
+
+
+def pay_counts(amount: str = "amount", gap: str = "gap", on: str = "true") -> list[Column]:
+    """Aggregates over the pay days of a cluster where ``on`` holds, from which ``judged`` makes its frequency."""
+    gap, on = F.col(gap), F.expr(on)
+    of = lambda c: F.when(on, F.col(c))
+    return [
+        F.count_if(on).alias("n_pays"), F.avg(of(amount)).alias("mean_amount"), F.datediff(F.max(of("date")), F.min(of("date"))).alias("span"), F.max(of("date")).alias("last_date"),
+        F.count_if(on & (gap == 7)).alias("w"), F.count_if(on & gap.between(13, 17)).alias("b"), F.count_if(on & gap.between(25, 35)).alias("m"), F.count_if(on & (gap % 7 == 0)).alias("seven"),
+        mode_codes(F.weekday("date"), range(7), on).alias("weekdays"), mode_codes(F.dayofmonth("date"), range(1, 32), on).alias("month_days"),
+    ]
+
+
 def pay_patterns(days: DataFrame, calendar: DataFrame) -> DataFrame:
     """Per cluster: the arbiter's choice between two weeks and half months, and the monthly habit."""
     intended = intended_days(days, calendar)
@@ -61,23 +96,28 @@ def frequency(ledger: DataFrame, trim: bool = True, calendar: DataFrame | None =
     """Per cluster: n_pays, mean_amount, span, frequency (W, B, S, M or I), monthly_amount, monthly_pays,
     weekday, day1, day2, regular_day and same_day_share; with a business calendar that spans the ledger also
     holiday_direction, and pay-day patterns (``paydays``) decide between B and S and name the day of M and S."""
-    days = gaps(same_day(trimmed(ledger) if trim else ledger)).withColumns({"weekday": F.weekday("date"), "day": F.dayofmonth("date")})
+    days = gaps(same_day(trimmed(ledger) if trim else ledger))
     if calendar is not None:
         days = days.persist()  # every pattern reads the pay days
-    share = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    base = days.groupBy(*KEYS).agg(
-        F.count("*").alias("n_pays"), F.avg("amount").alias("mean_amount"), F.datediff(F.max("date"), F.min("date")).alias("span"), F.max("date").alias("last_date"),
-        share(F.col("gap") == 7).alias("w"), share(F.col("gap").between(13, 17)).alias("b"), share(F.col("gap").between(25, 35)).alias("m"), share(F.col("gap") % 7 == 0).alias("seven"),
-    )
-    rows = base.join(_mode(days, "weekday", 1).drop("weekday2"), list(KEYS)).join(_mode(days, "day", 2), list(KEYS))
+    rows = days.where(KNOWN).groupBy(*KEYS).agg(*pay_counts())
     if calendar is not None:
         rows = rows.join(pay_patterns(days, calendar), list(KEYS), "left")
+    rows = judged(rows, calendar is not None)
+    return rows.select(*KEYS, "n_pays", F.round("mean_amount", 2).alias("mean_amount"), "span", "last_date", *JUDGED, *(["holiday_direction"] if calendar is not None else []))
+
+
+def judged(rows: DataFrame, patterns: bool = False) -> DataFrame:
+    """Adds the columns JUDGED to clusters with their ``pay_counts`` and, where ``patterns`` says so, ``pay_patterns``."""
+    (weekday, often), = modes(F.col("weekdays"), 0)[:1]
+    (day, most), (day2, next_) = modes(F.col("month_days"), 1)
+    total = F.nullif("n_pays", F.lit(0))
+    rows = rows.withColumns({"weekday": weekday, "weekday_share": often / total, "day": day, "day2": day2, "day_share": (most + next_) / total})
     n = F.greatest(F.col("n_pays") - 1, F.lit(1))
     cut = F.when(F.col("n_pays") > 3, 0.4999).otherwise(0.5)
     weekly, fort, monthly, seven = (F.col(c) / n > cut for c in ("w", "b", "m", "seven"))
     semi = F.col("weekday_share") <= F.col("day_share")
     half = F.when(~semi, F.when(F.col("weekday_share") > cut, "B").otherwise("I")).otherwise(F.when(F.col("day2").isNotNull() & (F.col("day_share") > cut), "S").otherwise("I"))
-    if calendar is not None:
+    if patterns:
         half = F.when(F.col("choice").isNotNull(), F.when(F.col("choice_score") > cut, F.col("choice")).otherwise("I")).otherwise(half)
     code = (
         F.when(weekly, F.when(F.col("weekday_share") > cut, "W").otherwise("I"))
@@ -96,11 +136,11 @@ def frequency(ledger: DataFrame, trim: bool = True, calendar: DataFrame | None =
     loose = (f == "I") & (F.col("n_pays") > 4)
     regular = F.when(f.isin("W", "B"), name).when(f == "M", F.col("day").cast("string")).when(f == "S", two).when(loose & (F.col("weekday_share") > cut), name).when(loose, two)
     same = F.when(f.isin("W", "B"), F.col("weekday_share")).when(f.isin("M", "S"), F.col("day_share")).when(loose & (F.col("weekday_share") > cut), F.col("weekday_share")).when(loose, F.col("day_share")).otherwise(0.0)
-    more = []
-    if calendar is not None:
+    direction = {}
+    if patterns:
         regular = F.when(f.isin("B", "S") & (f == F.col("choice")), F.col("choice_day")).when(f == "M", F.coalesce("month_day", regular)).otherwise(regular)
-        more = [F.when(f.isin("B", "S") & (f == F.col("choice")), F.col("choice_direction")).when(f == "M", F.col("month_direction")).alias("holiday_direction")]
-    return rows.select(*KEYS, "n_pays", F.round("mean_amount", 2).alias("mean_amount"), "span", "last_date", "frequency", F.round(F.col("mean_amount") * pays, 2).alias("monthly_amount"), F.round(pays, 4).alias("monthly_pays"), "weekday", F.col("day").alias("day1"), F.when(f != "M", F.col("day2")).alias("day2"), regular.alias("regular_day"), F.round(same, 4).alias("same_day_share"), *more)
+        direction = {"holiday_direction": F.when(f.isin("B", "S") & (f == F.col("choice")), F.col("choice_direction")).when(f == "M", F.col("month_direction"))}
+    return rows.withColumns({"monthly_amount": F.round(F.col("mean_amount") * pays, 2), "monthly_pays": F.round(pays, 4), "day1": F.col("day"), "day2": F.when(f != "M", F.col("day2")), "regular_day": regular, "same_day_share": F.round(same, 4), **direction})
 
 
 def enough_pays(freq: Column, n: Column) -> Column:
@@ -109,23 +149,36 @@ def enough_pays(freq: Column, n: Column) -> Column:
 
 def scores(ledger: DataFrame, frequencies: DataFrame, as_of: datetime.date, regular_income: bool = True) -> DataFrame:
     """Scores 0 to 3 per cluster: activity, recurrence and stability, with the coefficient of variation (1 at most)."""
-    days = gaps(same_day(ledger))
-    per = days.groupBy(*KEYS).agg(F.count("*").alias("n"), F.max("date").alias("last"), F.max("gap").alias("gap"), F.avg("amount").alias("mean"), F.stddev_samp("amount").alias("deviation"))
+    per = gaps(same_day(ledger)).groupBy(*KEYS).agg(*score_counts())
     known = frequencies.select(*KEYS, "frequency", "day1", "day2", "weekday", "regular_day", "same_day_share")
-    rows = per.join(known, list(KEYS))
+    rows = scored(per.join(known, list(KEYS)), as_of, regular_income)
+    return rows.select(*KEYS, "active_score", "recurring_score", "stability_score", F.round("variation", 4).alias("variation"))
+
+
+def score_counts() -> list[Column]:
+    """Aggregates over a cluster's pay days, from which ``scored`` makes its scores."""
+    left, day = F.datediff(F.last_day("date"), "date"), F.dayofmonth("date")
+    return [
+        F.count("*").alias("n"), F.max("date").alias("last"), F.max("gap").alias("gap"), F.avg("amount").alias("mean"), F.stddev_samp("amount").alias("deviation"),
+        F.count_if(left <= 3).alias("ends"), F.array(*[F.count_if((left > 3) & (day == d)) for d in range(1, 28)]).alias("others"),
+    ]
+
+
+def scored(rows: DataFrame, as_of: datetime.date, regular_income: bool = True) -> DataFrame:
+    """Adds active_score, recurring_score, stability_score and variation to clusters with their ``score_counts`` and frequency."""
     f = F.col("frequency")
     enough = enough_pays(f, F.col("n")) if regular_income else F.col("n") >= LEAST_PAYS_OTHER
     recent = F.datediff(F.lit(as_of), "last") <= by_frequency(f, RECENCY, RECENCY_OTHER)
     limit = F.when(f.isin("M", "I") & F.lit(regular_income), GAP_MONTHLY).otherwise(GAP)
     active = F.when(~enough, 0).when(~recent, 1).when(F.col("gap") >= limit, 2).otherwise(3)
-    near = days.join(known, list(KEYS))
-    off = F.when(F.col("frequency").isin("W", "B"), F.lit(0)).otherwise(F.least(month_distance(F.dayofmonth("date"), F.col("day1")), F.coalesce(month_distance(F.dayofmonth("date"), F.col("day2")), F.lit(30)), F.datediff(F.last_day("date"), "date")))
-    close = near.groupBy(*KEYS).agg(F.avg((off <= 3).cast("int")).alias("close"))
-    rows = rows.join(close, list(KEYS))
+    near = lambda day, label: F.coalesce(month_distance(day, F.col(label)) <= 3, F.lit(False))
+    by_day = F.transform("others", lambda c, i: F.when(near(i + 1, "day1") | near(i + 1, "day2"), c).otherwise(F.lit(0).cast("long")))
+    close = F.when(f.isin("W", "B"), F.lit(1.0)).otherwise((F.col("ends") + F.aggregate(by_day, F.lit(0).cast("long"), lambda a, c: a + c)) / F.col("n"))
+    rows = rows.withColumn("close", close)
     recurring = F.when(~enough, 0).when(F.col("regular_day").isNull() | (F.col("close") < 0.75), 1).when(F.col("same_day_share") >= 0.75, 3).otherwise(2)
     variation = F.least(F.coalesce(F.col("deviation") / F.when(F.col("mean") != 0, F.col("mean")), F.lit(1.0)), F.lit(1.0))
     stable = F.when(~enough, 0).when(variation <= VARIATION[0], 3).when(variation <= VARIATION[1], 2).otherwise(1)
-    return rows.select(*KEYS, active.alias("active_score"), recurring.alias("recurring_score"), stable.alias("stability_score"), F.round(variation, 4).alias("variation"))
+    return rows.withColumns({"active_score": active, "recurring_score": recurring, "stability_score": stable, "variation": variation})
 
 
 def shifted_matches(days: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clusters import KEYS, same_day
-from .frequency import RECENCY, RECENCY_OTHER, by_frequency, frequency, scores
+from .clusters import KEYS
+from .frequency import KNOWN, RECENCY, RECENCY_OTHER, by_frequency, judged, kept, pay_counts, pay_patterns, score_counts, scored
 
 LOW_PAY = 10
 LOAN_MIN = 50
@@ -18,6 +18,16 @@ BETWEEN = "\x01"
 KINDS = {"Payroll": 1, "Benefit": 2, "gig": 3, "loan": 4, "Transfer": 5}
 
 
+def pay_days(ledger: DataFrame) -> DataFrame:
+    """One row per account, cluster and day: amount and gap of all its rows, paid and paid_amount of those that are
+    ``kept``, and the days since the cluster's previous day that has any (paid_gap)."""
+    marked = ledger.withColumn("kept", kept(F.col("amount")))
+    days = marked.groupBy(*KEYS, "date").agg(F.sum("amount").alias("amount"), F.sum(F.when(F.col("kept"), F.col("amount"))).alias("paid_amount"), F.count_if("kept").alias("paid"))
+    order = Window.partitionBy(*KEYS).orderBy("date")
+    before = F.last(F.when(F.col("paid") > 0, F.col("date")), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return days.select(*KEYS, "date", "amount", "paid_amount", "paid", F.datediff("date", F.lag("date").over(order)).alias("gap"), F.datediff("date", before).alias("paid_gap"))
+
+
 def income_sources(ledger: DataFrame, as_of: datetime.date, kind: str | Column = "Payroll", calendar: DataFrame | None = None) -> DataFrame:
     """One row per account and cluster of credits, with frequency, amounts, scores and an error code.
 
@@ -28,13 +38,16 @@ def income_sources(ledger: DataFrame, as_of: datetime.date, kind: str | Column =
     """
     kind = kind if isinstance(kind, Column) else F.lit(kind)
     credits = ledger.where("type = 'CREDIT'").withColumn("cluster", F.concat(kind, F.lit(BETWEEN), F.coalesce("cluster", F.lit(""))))
-    freq = frequency(credits, calendar=calendar)
+    days = pay_days(credits)
+    if calendar is not None:
+        days = days.persist()  # every pattern reads the pay days
+    rows = days.groupBy(*KEYS).agg(*score_counts(), *pay_counts("paid_amount", "paid_gap", "paid > 0"))
     if calendar is not None:
-        freq = freq.persist()  # two joins read it, and its plan is long
-    days = same_day(credits)
-    per = days.groupBy(*KEYS).agg(F.count("*").alias("pays"), F.avg("amount").alias("pay"), F.max("date").alias("last"))
-    rows = per.join(freq.select(*KEYS, "frequency", "monthly_amount", "regular_day", "same_day_share"), list(KEYS), "left")
-    rows = rows.join(scores(credits, freq, as_of), list(KEYS), "left").withColumn("frequency", F.coalesce("frequency", F.lit("I")))
+        rows = rows.join(pay_patterns(days.where("paid > 0"), calendar), list(KEYS), "left")
+    rows = scored(judged(rows, calendar is not None), as_of).withColumns({"pays": F.col("n"), "pay": F.col("mean"), "variation": F.round("variation", 4)})
+    none = ~(F.expr(KNOWN) & (F.col("n_pays") > 0))  # clusters without a frequency have no scores either
+    judgements = ("monthly_amount", "regular_day", "same_day_share", "active_score", "recurring_score", "stability_score", "variation")
+    rows = rows.withColumns({c: F.when(~none, F.col(c)) for c in judgements} | {"frequency": F.when(none, "I").otherwise(F.col("frequency"))})
     age = F.datediff(F.lit(as_of), "last")
     kind = F.split_part(F.col("cluster"), F.lit(BETWEEN), F.lit(1))
     late = F.when(kind.isin("Payroll", "Benefit"), (age > by_frequency(F.col("frequency"), RECENCY, RECENCY_OTHER)) & (F.col("frequency") != "I")).otherwise(age > RECENCY_OTHER)

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
+from ledgerline.operators import frequency as Q
+from ledgerline.operators import income as I
 from ledgerline.operators import money as M
-from ledgerline.plans import catalogue_entities, catalogue_paydays
+from ledgerline.plans import catalogue, catalogue_entities, catalogue_paydays
 from ledgerline.sources import adapters
 
 SF = "/root/testdata/sf0.01"
@@ -72,3 +74,23 @@ def test_descriptions_are_made_once(spark, tmp_path):
     assert {r.doc_id for r in rows.collect()} == {3, 4} and all(len(r.tokens) == len(r.tags) for r in rows.collect())
     read = rows.join(rows.where("not held_out").select("text"), "text")
     assert "InMemoryRelation" in read._jdf.queryExecution().withCachedData().toString()  # before: the texts were read for each use
+
+
+def test_sources_are_made_in_one_pass(spark):
+    """A cluster's most frequent days, its frequency and its scores come from one aggregation of its pay days; null keys have no frequency."""
+    paid = {"a": [1, 8, 15, 22, 29], "b": [5, 36, 64, 95], "c": [3, 9], "d": [2, 4, 4, 33], "e": [None, 6], "f": [10, 41, 11, 42, 70], None: [7]}
+    date = lambda k: None if k is None else dt.date(2024, 1, 1) + dt.timedelta(k)
+    rows = [(a, "x", date(k), 100.0, "CREDIT") for a, days in paid.items() for k in days] + [("a", None, date(1), 100.0, "CREDIT"), ("a", "low", date(1), 20.0, "CREDIT")]
+    ledger = spark.createDataFrame(rows, "account string, cluster string, date date, amount double, type string")
+    got = {r.account: r for r in Q.frequency(ledger).collect()}
+    assert set(got) == {a for a in paid if a is not None}
+    for account, r in got.items():
+        days = [date(k) for k in set(paid[account])]
+        value = lambda f: sorted({f(d) if d else None for d in days}, key=lambda v: (-sum((f(d) if d else None) == v for d in days), v is not None, v or 0))
+        first, *more = value(lambda d: d.day)
+        assert (r.n_pays, r.weekday, r.day1) == (len(days), value(lambda d: d.weekday())[0], first), account
+        assert r.day2 == (more[0] if more and r.frequency != "M" else None), account
+    sources = I.income_sources(ledger, dt.date(2024, 4, 30))
+    assert {(r.account, r.cluster): r.pays for r in sources.collect()} == {(a, "x"): len(set(k)) for a, k in paid.items()} | {("a", ""): 1, ("a", "low"): 1}
+    assert "Join" not in plan_of(sources)  # before: joins of the parts of the frequency, in one stage
+    assert "RepartitionByExpression [account" in plan_of(catalogue.income_sources(spark, SF))
