@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("account", "cluster")
+#: Clusters that have a frequency and patterns.
+KNOWN = "account is not null and cluster is not null"
 
 
 def same_day(ledger: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .calendar import DAYS, month_distance
-from .clusters import KEYS, gaps, same_day
+from .clusters import KEYS, KNOWN, gaps, same_day
 from .paydays import biweekly_or_semi_monthly, candidate_days, intended_days, monthly_pattern, pattern_support, regular_text, semi_monthly_pattern, semi_monthly_support, tendencies
 
 #: Days after which a source is not recent, by frequency; variation cuts; pays that a score needs.
@@ -24,8 +24,7 @@ VARIATION = (0.33, 0.5)
 LEAST_PAYS = {"M": 2, "B": 2, "S": 2, "W": 2}
 LEAST_PAYS_OTHER = 4
 GAP, GAP_MONTHLY = 35, 40
-#: Clusters that have a frequency, and what ``judged`` says of them.
-KNOWN = "account is not null and cluster is not null"
+#: What ``judged`` says of a cluster.
 JUDGED = ("frequency", "monthly_amount", "monthly_pays", "weekday", "day1", "day2", "regular_day", "same_day_share")
 SMALL_AMOUNT, TRIM_ROWS, TRIM_SHARE = 50, 4, 0.3
 
@@ -84,8 +83,8 @@ def pay_counts(amount: str = "amount", gap: str = "gap", on: str = "true") -> li
 def pay_patterns(days: DataFrame, calendar: DataFrame) -> DataFrame:
     """Per cluster: the arbiter's choice between two weeks and half months, and the monthly habit."""
     intended = intended_days(days, calendar)
-    support = pattern_support(intended)
-    pair = biweekly_or_semi_monthly(support, semi_monthly_pattern(semi_monthly_support(intended, candidate_days(days, calendar))))
+    support = pattern_support(intended).persist()  # a few rows a cluster, read by both choices
+    pair = biweekly_or_semi_monthly(support, semi_monthly_pattern(semi_monthly_support(intended, candidate_days(days, calendar), calendar)))
     pair = pair.select(*KEYS, "choice", F.col("score").alias("choice_score"), F.coalesce("weekday", F.concat_ws(",", F.col("day1").cast("string"), F.coalesce(F.col("day2").cast("string"), F.lit("Last Day")))).alias("choice_day"), F.col("direction").alias("choice_direction"))
     month = monthly_pattern(support, tendencies(days))
     month = month.select(*KEYS, regular_text(F.col("pattern"), F.col("day"), F.col("weekday"), F.col("week")).alias("month_day"), F.col("direction").alias("month_direction"))

@@ -7,8 +7,8 @@ import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clusters import KEYS
-from .frequency import KNOWN, RECENCY, RECENCY_OTHER, by_frequency, judged, kept, pay_counts, pay_patterns, score_counts, scored
+from .clusters import KEYS, KNOWN
+from .frequency import RECENCY, RECENCY_OTHER, by_frequency, judged, kept, pay_counts, pay_patterns, score_counts, scored
 
 LOW_PAY = 10
 LOAN_MIN = 50

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .calendar import DAYS, is_last_weekday, week_of_month
-from .clusters import KEYS
+from .clusters import KEYS, KNOWN
 
 #: Share of pay days that a pattern, and a tendency, must explain; days around a target; days between two pay days of a month.
 LEAST, LEAST_TENDENCY, AROUND, APART = 0.6, 0.8, 3, 7
@@ -54,13 +54,13 @@ def pattern_support(rows: DataFrame) -> DataFrame:
         kind(0, F.lit(True), F.dayofmonth(t)), kind(1, t == F.last_day(t), F.lit(0)), kind(2, same & is_last_weekday(t), F.weekday(t)),
         kind(3, same & early & (week_of_month(t) <= 4), F.weekday(t), week_of_month(t)), kind(WEEKDAY, F.abs(F.datediff(t, "date")) < 7, F.weekday(t)),
     ))
-    long = rows.select(*KEYS, "date", "how", F.explode(found).alias("x")).select(*KEYS, "date", "how", "x.*")
+    long = rows.where(KNOWN).select(*KEYS, "date", "how", F.explode(found).alias("x")).select(*KEYS, "date", "how", "x.*")
     counts = long.groupBy(*KEYS, "kind", "a", "b").agg(F.count_if(F.col("how") == 0).alias("raw"), F.count_if(F.col("how") == 1).alias("after"), F.count_if(F.col("how") == 2).alias("before"), F.min(F.when(F.col("how") == 0, F.col("date"))).alias("first"))
-    own = rows.where("how = 0").groupBy(*KEYS).agg(F.count("*").alias("n_days"), F.count_if(early).alias("n_early"))
-    group = Window.partitionBy(*KEYS, "kind")
-    top = counts.withColumn("most", F.max("raw").over(group)).where((F.col("raw") == F.col("most")) & (F.col("raw") > 0) | (F.col("kind") == 1))
-    n = F.when(F.col("kind") == 3, F.col("n_early")).otherwise(F.col("n_days"))
-    scored = top.join(own, list(KEYS)).withColumn("n", n).where("n >= 2").withColumn("score", (F.col("raw") + F.col("after") + F.col("before")) / F.col("n"))
+    group, cluster = Window.partitionBy(*KEYS, "kind"), Window.partitionBy(*KEYS)
+    # each pay day as paid is one of kind 0, and one of kind 3 unless it is late in the month
+    n = F.when(F.col("kind") == 3, F.sum("raw").over(group)).otherwise(F.sum(F.when(F.col("kind") == 0, F.col("raw"))).over(cluster))
+    top = counts.select("*", F.max("raw").over(group).alias("most"), n.alias("n")).where((F.col("raw") == F.col("most")) & (F.col("raw") > 0) | (F.col("kind") == 1))
+    scored = top.where("n >= 2").withColumn("score", (F.col("raw") + F.col("after") + F.col("before")) / F.col("n"))
     best = scored.groupBy(*KEYS, "kind").agg(F.min(F.struct((-F.col("score")).alias("m"), "first", "a", "b", "raw", "after", "before", "n", "score")).alias("x"))
     return best.select(*KEYS, "kind", "x.a", "x.b", "x.raw", "x.after", "x.before", "x.n", "x.score", direction(F.col("x.after"), F.col("x.before")).alias("direction"))
 
@@ -110,27 +110,43 @@ def candidate_days(days: DataFrame, calendar: DataFrame) -> DataFrame:
     return own.union(moved).groupBy(*KEYS, "day").agg(F.bool_or("before_last").alias("before_last"))
 
 
-def semi_monthly_support(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+def shared_days(calendar: DataFrame) -> DataFrame:
+    """(date, day, day2, how): pay days that may stand for two days of a pair at once, with the how of the second (day2 is 0
+    for the last day of the month); they come of free days in a row, so there are few."""
+    days = payable(calendar).where(F.trunc("intended", "MM") == F.trunc("date", "MM"))
+    both = days.select("date", F.dayofmonth("intended").alias("day")).join(days, "date").withColumn("day2", F.dayofmonth("intended"))
+    two = both.where(F.col("day2") - F.col("day") >= APART).select("date", "day", "day2", "how")
+    last = both.where((F.col("intended") == F.last_day("intended")) & (F.col("day") < F.col("day2"))).select("date", "day", F.lit(0).alias("day2"), "how")
+    return two.union(last)
+
+
+def semi_monthly_support(rows: DataFrame, candidates: DataFrame, calendar: DataFrame) -> DataFrame:
     """Best pair of each kind per cluster: two_days (day1, day2 at least a week apart) and day_and_last (day1 with the
     last day of the month); matched, after, before, n, score, direction.
 
-    A pay day that both days explain counts for the first.  Pairs are of the at most 31 days of a month."""
-    same = rows.where("same_month")
-    entry = F.collect_list(F.struct("date", "how"))
-    by_day = same.groupBy(*KEYS, F.dayofmonth("intended").alias("day")).agg(entry.alias("hits"))
-    ends = same.where(F.col("intended") == F.last_day("intended")).groupBy(*KEYS).agg(entry.alias("hits2"))
-    n = rows.where("how = 0").groupBy(*KEYS).agg(F.count("*").alias("n")).where("n >= 2")
-    none = F.array().cast("array<struct<date:date,how:int>>")
-    known = candidates.join(by_day, [*KEYS, "day"], "left").select(*KEYS, "day", "before_last", F.coalesce("hits", none).alias("hits"))
-    second = known.select(*KEYS, F.col("day").alias("day2"), F.col("hits").alias("hits2"))
-    two = known.join(second, list(KEYS)).where(F.col("day2") - F.col("day") >= APART).select(*KEYS, F.lit("two_days").alias("pattern"), F.col("day").alias("day1"), "day2", "hits", "hits2")
-    last = known.where("before_last").join(ends, list(KEYS), "left").select(*KEYS, F.lit("day_and_last").alias("pattern"), F.col("day").alias("day1"), F.lit(0).alias("day2"), "hits", F.coalesce("hits2", none).alias("hits2"))
-    more = F.filter("hits2", lambda y: ~F.exists("hits", lambda x: x["date"] == y["date"]))
-    pairs = two.union(last).withColumn("all", F.concat("hits", more))
-    count = lambda how: F.size(F.filter("all", lambda x: x["how"] == how))
-    pairs = pairs.select(*KEYS, "pattern", "day1", "day2", F.size("all").alias("matched"), count(1).alias("after"), count(2).alias("before"))
-    best = pairs.groupBy(*KEYS, "pattern").agg(F.min(F.struct((-F.col("matched")).alias("m"), "day1", "day2", "matched", "after", "before")).alias("x"))
-    out = best.join(n, list(KEYS)).select(*KEYS, "pattern", "x.day1", "x.day2", "x.matched", "x.after", "x.before", "n")
+    A pay day that both days explain counts for the first.  Pairs are of the at most 31 days of a month, whose counts
+    (days), with those of pay days that two of them share (shared), are brought together in one row a cluster."""
+    same = rows.where("same_month").where(KNOWN)
+    hows = [F.count("how").alias("m"), F.count_if(F.col("how") == 1).alias("after"), F.count_if(F.col("how") == 2).alias("before")]
+    none, nobody = F.lit(-1), F.lit(None).cast("boolean")
+    found = same.select(*KEYS, F.explode(F.array_compact(F.array(F.dayofmonth("intended"), F.when(F.col("intended") == F.last_day("intended"), 0)))).alias("day"), none.alias("day2"), "how", nobody.alias("before_last"))
+    twice = same.where("how = 0").join(F.broadcast(shared_days(calendar).withColumnRenamed("how", "how2")), "date").select(*KEYS, "day", "day2", F.col("how2").alias("how"), nobody.alias("before_last"))
+    tried = candidates.where(KNOWN).select(*KEYS, "day", none.alias("day2"), F.lit(None).cast("int").alias("how"), "before_last")
+    counts = found.union(twice).union(tried).groupBy(*KEYS, "day", "day2").agg(*hows, F.bool_or("before_last").alias("before_last"))
+    one = F.col("day2") == -1
+    entry = F.struct("day", "day2", "m", "after", "before", "before_last")
+    of = lambda on: F.collect_list(F.when(on, entry))
+    paid = F.when(one & (F.col("day") > 0), F.col("m") - F.col("after") - F.col("before"))
+    per = counts.groupBy(*KEYS).agg(of(F.col("before_last").isNotNull()).alias("days"), of(one & (F.col("day") == 0)).alias("ends"), of(~one).alias("shared"), F.sum(paid).alias("n")).where("n >= 2")
+    first = per.select("*", F.explode("days").alias("x"))
+    others = F.filter("days", lambda y: y["day"] - F.col("x.day") >= APART)
+    last = F.when(F.col("x.before_last"), F.struct(F.lit(0).alias("day"), F.get("ends", F.lit(0)).alias("y")))
+    seconds = F.array_compact(F.array_append(F.transform(others, lambda y: F.struct(y["day"].alias("day"), y.alias("y"))), last))
+    pairs = first.select(*KEYS, "n", "x", "shared", F.explode(seconds).alias("z")).withColumn("both", F.filter("shared", lambda s: (s["day"] == F.col("x.day")) & (s["day2"] == F.col("z.day"))))
+    count = lambda c: F.col(f"x.{c}") + F.coalesce(F.col(f"z.y.{c}"), F.lit(0)) - F.coalesce(F.get("both", F.lit(0))[c], F.lit(0))
+    pairs = pairs.select(*KEYS, "n", F.when(F.col("z.day") > 0, "two_days").otherwise("day_and_last").alias("pattern"), F.col("x.day").alias("day1"), F.col("z.day").alias("day2"), count("m").alias("matched"), count("after").alias("after"), count("before").alias("before"))
+    best = pairs.groupBy(*KEYS, "pattern").agg(F.min(F.struct((-F.col("matched")).alias("m"), "day1", "day2", "matched", "after", "before")).alias("x"), F.max("n").alias("n"))
+    out = best.select(*KEYS, "pattern", "x.day1", "x.day2", "x.matched", "x.after", "x.before", "n")
     return out.select("*", (F.col("matched") / F.col("n")).alias("score"), direction(F.col("after"), F.col("before")).alias("direction"))
 
 

@@ -104,7 +104,7 @@ semis AS (SELECT * FROM semi0 WHERE rk = 1), smi AS (SELECT * FROM (SELECT *, ro
 
 def _semis(spark: SparkSession, d: str) -> DataFrame:
     pays, cal = _pays(spark, d), _calendar(spark)
-    return P.semi_monthly_support(P.intended_days(pays, cal), P.candidate_days(pays, cal))
+    return P.semi_monthly_support(P.intended_days(pays, cal), P.candidate_days(pays, cal), cal)
 
 
 @query("payday_candidate_pairs", f"WITH {SEMI_SQL} SELECT CAST(c AS VARCHAR) AS account, CAST(g AS BIGINT) AS day, bl AS before_last FROM cand")

@@ -9,6 +9,7 @@ from ledgerline.functions import text as T
 from ledgerline.operators import frequency as Q
 from ledgerline.operators import income as I
 from ledgerline.operators import money as M
+from ledgerline.operators import paydays as P
 from ledgerline.plans import catalogue, catalogue_entities, catalogue_paydays
 from ledgerline.sources import adapters
 
@@ -94,3 +95,33 @@ def test_sources_are_made_in_one_pass(spark):
     assert {(r.account, r.cluster): r.pays for r in sources.collect()} == {(a, "x"): len(set(k)) for a, k in paid.items()} | {("a", ""): 1, ("a", "low"): 1}
     assert "Join" not in plan_of(sources)  # before: joins of the parts of the frequency, in one stage
     assert "RepartitionByExpression [account" in plan_of(catalogue.income_sources(spark, SF))
+
+
+def test_pairs_of_days_by_counts(spark):
+    """Pairs by brute force over sets of pay days, with free days in a row so long that one pay day stands for both days of a pair."""
+    start = dt.date(2024, 1, 1)
+    every = [start + dt.timedelta(k) for k in range(150)]
+    free = {d for d in every if d.weekday() > 4 or 8 <= (d - start).days <= 24 or 50 <= (d - start).days <= 59}
+    step = lambda d, k: next((x for x in (d + dt.timedelta(k * i) for i in range(1, 40)) if x in every and x not in free), None)
+    calendar = spark.createDataFrame([(d, d not in free, step(d, -1), step(d, 1)) for d in every], "date date, is_business_day boolean, previous_bd date, next_bd date")
+    paid = {"a": [7, 25, 38, 49, 60, 69], "b": [7, 25], "c": [4, 14, 35, 45, 66, 76], "d": [7, 10, 25, 31, 59, 60, 90, 120], "e": [3]}
+    rows = spark.createDataFrame([(a, "x", start + dt.timedelta(k)) for a, days in paid.items() for k in days] + [("f", None, every[0]), ("f", None, every[9])], "account string, cluster string, date date")
+    intended, candidates = P.intended_days(rows, calendar), P.candidate_days(rows, calendar)
+    tried = {(r.account, r.day): r.before_last for r in candidates.collect()}
+    want, shared = {}, 0
+    for account, offsets in paid.items():
+        days = [start + dt.timedelta(k) for k in offsets]
+        stands = [(d, t, 0 if t == d else 1 if step(t, 1) == d else 2) for d in days for t in every if t.month == d.month and (t == d or t in free and d in (step(t, 1), step(t, -1)))]
+        for (a, day), early in tried.items():
+            for other in [y for x, y in tried if x == a == account and y - day >= 7] + [0] * (early and a == account):
+                second = [(d, how) for d, t, how in stands if (t.day == other if other else (t + dt.timedelta(1)).day == 1)]
+                first = {d: how for d, t, how in stands if t.day == day}
+                shared += any(d in first for d, _ in second)
+                hows = [*first.values(), *(how for d, how in second if d not in first)]
+                key = (account, "two_days" if other else "day_and_last")
+                want[key] = min(want.get(key, (1,)), (-len(hows), day, other, hows.count(1), hows.count(2), len(days)))
+    support = P.semi_monthly_support(intended, candidates, calendar)
+    got = {(r.account, r.pattern): (-r.matched, r.day1, r.day2, r.after, r.before, r.n) for r in support.collect()}
+    assert shared and got == {k: v for k, v in want.items() if v[-1] >= 2}
+    assert "collect_list(struct(date" not in plan_of(support)  # before: the pay days of both days of each pair side by side
+    assert plan_of(P.pattern_support(intended)).count("Join ") == 1  # the calendar; before: the cluster's pay days too
