@@ -9,6 +9,8 @@ calendar serves all patterns of all clusters.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,27 +42,29 @@ def direction(after: Column, before: Column) -> Column:
     return F.when(after + before > 0, F.when(after >= before, "A").otherwise("B"))
 
 
-def pattern_support(rows: DataFrame) -> DataFrame:
-    """Best candidate of each pattern kind per cluster: kind, a, b, raw, after, before, n, score, direction.
+def pattern_support(rows: DataFrame, kinds: Iterable[int] = range(WEEKDAY + 1)) -> DataFrame:
+    """Best candidate of each of the pattern ``kinds`` per cluster: kind, a, b, raw, after, before, n, score, direction.
 
     kind indexes MONTHLY (a, b: day; none; weekday; weekday and week) or is WEEKDAY (a).  Candidates are the most
     frequent values as paid; of those the one that explains most wins, the earliest paid on ties.  The last day of
     the month is always a candidate.
     """
+    kinds = sorted(set(kinds))
     t, same = F.col("intended"), F.col("same_month")
     early = week_of_month(F.col("date")) <= 4
     kind = lambda k, on, a, b=F.lit(0): F.when(on, F.struct(F.lit(k).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b")))
-    found = F.array_compact(F.array(
+    every = [
         kind(0, F.lit(True), F.dayofmonth(t)), kind(1, t == F.last_day(t), F.lit(0)), kind(2, same & is_last_weekday(t), F.weekday(t)),
         kind(3, same & early & (week_of_month(t) <= 4), F.weekday(t), week_of_month(t)), kind(WEEKDAY, F.abs(F.datediff(t, "date")) < 7, F.weekday(t)),
-    ))
+    ]
+    found = F.array_compact(F.array(*[every[k] for k in sorted({0, *kinds})]))  # kind 0 counts the pay days
     long = rows.where(KNOWN).select(*KEYS, "date", "how", F.explode(found).alias("x")).select(*KEYS, "date", "how", "x.*")
     counts = long.groupBy(*KEYS, "kind", "a", "b").agg(F.count_if(F.col("how") == 0).alias("raw"), F.count_if(F.col("how") == 1).alias("after"), F.count_if(F.col("how") == 2).alias("before"), F.min(F.when(F.col("how") == 0, F.col("date"))).alias("first"))
     group, cluster = Window.partitionBy(*KEYS, "kind"), Window.partitionBy(*KEYS)
     # each pay day as paid is one of kind 0, and one of kind 3 unless it is late in the month
     n = F.when(F.col("kind") == 3, F.sum("raw").over(group)).otherwise(F.sum(F.when(F.col("kind") == 0, F.col("raw"))).over(cluster))
     top = counts.select("*", F.max("raw").over(group).alias("most"), n.alias("n")).where((F.col("raw") == F.col("most")) & (F.col("raw") > 0) | (F.col("kind") == 1))
-    scored = top.where("n >= 2").withColumn("score", (F.col("raw") + F.col("after") + F.col("before")) / F.col("n"))
+    scored = top.where((F.col("n") >= 2) & F.col("kind").isin(kinds)).withColumn("score", (F.col("raw") + F.col("after") + F.col("before")) / F.col("n"))
     best = scored.groupBy(*KEYS, "kind").agg(F.min(F.struct((-F.col("score")).alias("m"), "first", "a", "b", "raw", "after", "before", "n", "score")).alias("x"))
     return best.select(*KEYS, "kind", "x.a", "x.b", "x.raw", "x.after", "x.before", "x.n", "x.score", direction(F.col("x.after"), F.col("x.before")).alias("direction"))
 

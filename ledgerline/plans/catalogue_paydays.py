@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,8 +59,8 @@ def _calendar(spark: SparkSession) -> DataFrame:
     return C.business_calendar(spark, FIRST, LAST)
 
 
-def _support(spark: SparkSession, d: str) -> DataFrame:
-    return P.pattern_support(P.intended_days(_pays(spark, d), _calendar(spark)))
+def _support(spark: SparkSession, pays: DataFrame, kinds: Iterable[int]) -> DataFrame:
+    return P.pattern_support(P.intended_days(pays, _calendar(spark)), kinds)
 
 
 def _kind_query(name: str, kind: int) -> None:
@@ -67,7 +68,7 @@ def _kind_query(name: str, kind: int) -> None:
 
     @query(name, sql)
     def run(spark, d):
-        return _longs(_support(spark, d).where(F.col("kind") == kind).select("account", "a", "b", "raw", "after", "before", F.round("score", 6).alias("score"), "direction"))
+        return _longs(_support(spark, _pays(spark, d), [kind]).select("account", "a", "b", "raw", "after", "before", F.round("score", 6).alias("score"), "direction"))
 
 
 for _name, _number in (("payday_day_of_month", 0), ("payday_last_day", 1), ("payday_last_weekday", 2), ("payday_kth_weekday", 3), ("payday_biweekly_weekday", 4)):
@@ -90,7 +91,8 @@ p AS (SELECT *, CASE kind WHEN 0 THEN 'day' WHEN 1 THEN 'last_day' WHEN 2 THEN '
 SELECT CAST(c AS VARCHAR) AS account, pattern, CAST(CASE pattern WHEN 'day' THEN a WHEN 'near_day' THEN target END AS BIGINT) AS day, CASE WHEN pattern IN ('last_weekday', 'kth_weekday') THEN a END AS weekday, CASE WHEN pattern = 'kth_weekday' THEN b END AS week,
  round(coalesce(score, CASE WHEN pattern = 'end_of_month' THEN end_share ELSE near_share END), 6) AS score, direction FROM p WHERE pattern IS NOT NULL""")
 def payday_monthly(spark, d):
-    return _longs(P.monthly_pattern(_support(spark, d), P.tendencies(_pays(spark, d))).drop("cluster"))
+    pays = _pays(spark, d)
+    return _longs(P.monthly_pattern(_support(spark, pays, range(P.WEEKDAY)), P.tendencies(pays)).drop("cluster"))
 
 
 SEMI_SQL = f"""{SUPPORT_SQL}, cand0 AS (SELECT c, day(d) AS g, day(d) <= 23 AS bl FROM days UNION ALL SELECT days.c, day(t), day(d) < 28 AND day(t) <= 23 FROM days JOIN sizes ON sizes.c = days.c AND n <= 3 JOIN cal ON NOT bd AND abs(date_diff('day', d, t)) <= 2 AND date_trunc('month', t) = date_trunc('month', d)),
@@ -102,8 +104,8 @@ semi0 AS (SELECT agg.*, CAST(matched AS DOUBLE) / n AS score, CASE WHEN aft + be
 semis AS (SELECT * FROM semi0 WHERE rk = 1), smi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, CASE WHEN pattern = 'two_days' THEN 0 ELSE 1 END) AS r3 FROM semis WHERE score >= 0.6) WHERE r3 = 1)"""
 
 
-def _semis(spark: SparkSession, d: str) -> DataFrame:
-    pays, cal = _pays(spark, d), _calendar(spark)
+def _semis(spark: SparkSession, pays: DataFrame) -> DataFrame:
+    cal = _calendar(spark)
     return P.semi_monthly_support(P.intended_days(pays, cal), P.candidate_days(pays, cal), cal)
 
 
@@ -114,12 +116,12 @@ def payday_candidate_pairs(spark, d):
 
 @query("payday_semi_monthly_support", f"WITH {SEMI_SQL} SELECT CAST(c AS VARCHAR) AS account, pattern, CAST(day1 AS BIGINT) AS day1, CAST(day2 AS BIGINT) AS day2, matched, aft AS \"after\", bef AS \"before\", round(score, 6) AS score, direction FROM semis")
 def payday_semi_monthly_support(spark, d):
-    return _longs(_semis(spark, d).select("account", "pattern", "day1", "day2", "matched", "after", "before", F.round("score", 6).alias("score"), "direction"))
+    return _longs(_semis(spark, _pays(spark, d)).select("account", "pattern", "day1", "day2", "matched", "after", "before", F.round("score", 6).alias("score"), "direction"))
 
 
 @query("payday_semi_monthly", f"WITH {SEMI_SQL} SELECT CAST(c AS VARCHAR) AS account, pattern, CAST(day1 AS BIGINT) AS day1, CAST(CASE WHEN pattern = 'two_days' THEN day2 END AS BIGINT) AS day2, round(score, 6) AS score, direction FROM smi")
 def payday_semi_monthly(spark, d):
-    return _longs(P.semi_monthly_pattern(_semis(spark, d)).drop("cluster"))
+    return _longs(P.semi_monthly_pattern(_semis(spark, _pays(spark, d))).drop("cluster"))
 
 
 @query("payday_arbiter", f"""WITH {SEMI_SQL}, w AS (SELECT c, n, a, round(score, 6) AS bs, direction FROM support WHERE kind = 4 AND score >= 0.6),
@@ -128,7 +130,8 @@ k AS (SELECT *, CASE WHEN b > s THEN 'B' WHEN s > b THEN 'S' WHEN n <= 3 THEN 'B
 SELECT CAST(c AS VARCHAR) AS account, choice, CASE WHEN choice = 'B' THEN b ELSE s END AS score, CASE WHEN choice = 'B' THEN ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][a + 1] END AS weekday,
  CASE WHEN choice = 'S' THEN pattern END AS pattern, CAST(CASE WHEN choice = 'S' THEN day1 END AS BIGINT) AS day1, CAST(CASE WHEN choice = 'S' AND pattern = 'two_days' THEN day2 END AS BIGINT) AS day2, CASE WHEN choice = 'B' THEN bd ELSE sd END AS direction FROM k""")
 def payday_arbiter(spark, d):
-    return _longs(P.biweekly_or_semi_monthly(_support(spark, d), P.semi_monthly_pattern(_semis(spark, d))).drop("cluster"))
+    pays = _pays(spark, d)
+    return _longs(P.biweekly_or_semi_monthly(_support(spark, pays, [P.WEEKDAY]), P.semi_monthly_pattern(_semis(spark, pays))).drop("cluster"))
 
 
 @query("payday_text_roundtrip", """SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'day' WHEN 1 THEN 'last_weekday' WHEN 2 THEN 'kth_weekday' WHEN 3 THEN 'near_day' END AS pattern, CAST(CASE WHEN c_custkey % 5 IN (0, 3) THEN c_custkey % 28 + 1 END AS BIGINT) AS day1,

@@ -10,7 +10,7 @@ from ledgerline.operators import frequency as Q
 from ledgerline.operators import income as I
 from ledgerline.operators import money as M
 from ledgerline.operators import paydays as P
-from ledgerline.plans import catalogue, catalogue_entities, catalogue_paydays
+from ledgerline.plans import catalogue, catalogue_entities, catalogue_paydays, registry
 from ledgerline.sources import adapters
 
 SF = "/root/testdata/sf0.01"
@@ -125,3 +125,16 @@ def test_pairs_of_days_by_counts(spark):
     assert shared and got == {k: v for k, v in want.items() if v[-1] >= 2}
     assert "collect_list(struct(date" not in plan_of(support)  # before: the pay days of both days of each pair side by side
     assert plan_of(P.pattern_support(intended)).count("Join ") == 1  # the calendar; before: the cluster's pay days too
+
+
+def test_only_the_kinds_that_are_asked_for(spark):
+    """One kind of pattern gives the rows it has among all kinds, and no other kind is counted but that of a cluster's pay days."""
+    pays, cal = catalogue_paydays._pays(spark, SF), catalogue_paydays._calendar(spark)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    intended = P.intended_days(pays, cal).persist()
+    every = rows(P.pattern_support(intended))
+    for kind in range(P.WEEKDAY + 1):
+        assert rows(P.pattern_support(intended, [kind])) == [r for r in every if r[2] == kind] != []
+    made = lambda df: next(line for line in plan_of(df).split("\n") if "explode(" in line and "kind" in line).count("CASE WHEN")
+    names = ("payday_day_of_month", "payday_last_day", "payday_last_weekday", "payday_kth_weekday", "payday_biweekly_weekday")
+    assert [made(registry.QUERIES[name](spark, SF)) for name in names] == [0, 1, 1, 1, 1]  # before: 4, all kinds next to that of the days of the month
