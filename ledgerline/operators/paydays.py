@@ -75,11 +75,15 @@ def tendencies(days: DataFrame) -> DataFrame:
     day, last = F.dayofmonth("date"), F.dayofmonth(F.last_day("date"))
     rows = days.select(*KEYS, "date").distinct()
     off = F.when(day <= 7, day).otherwise(last - day)
-    ends = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), F.avg((off <= AROUND).cast("int")).alias("end_share"))
-    near = rows.select(*KEYS, F.explode(F.sequence(F.greatest(day - AROUND, F.lit(1)), F.least(day + AROUND, last))).alias("target"))
-    counts = near.groupBy(*KEYS, "target").agg(F.count("*").alias("c"))
-    best = counts.groupBy(*KEYS).agg(F.min(F.struct((-F.col("c")).alias("m"), "target")).alias("x"))
-    return ends.join(best, list(KEYS)).where("n >= 2").select(*KEYS, "n", "end_share", F.col("x.target").alias("target"), (-F.col("x.m") / F.col("n")).alias("near_share"))
+    # target 0 stands for the pay day itself
+    near = F.array_append(F.sequence(F.greatest(day - AROUND, F.lit(1)), F.least(day + AROUND, last)), F.lit(0))
+    long = rows.where(KNOWN).select(*KEYS, (off <= AROUND).alias("end"), F.explode(F.coalesce(near, F.array(F.lit(0)))).alias("target"))
+    counts = long.groupBy(*KEYS, "target").agg(F.count("*").alias("c"), F.count("end").alias("known"), F.count_if("end").alias("ends"))
+    own, c = F.col("target") == 0, F.col("c")
+    # a count and its target in one number, the larger the more frequent and then the smaller the target
+    per = counts.groupBy(*KEYS).agg(F.sum(F.when(own, c)).alias("n"), F.try_divide(F.sum(F.when(own, F.col("ends"))), F.sum(F.when(own, F.col("known")))).alias("end_share"), F.max(F.when(~own, c * 32 + 31 - F.col("target"))).alias("top"))
+    top = F.col("top")
+    return per.where("n >= 2 and top is not null").select(*KEYS, "n", "end_share", (31 - top % 32).cast("int").alias("target"), (F.shiftright(top, 5) / F.col("n")).alias("near_share"))
 
 
 def monthly_pattern(support: DataFrame, tendency: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries whose work or memory grew faster than their input: results by brute force, and the step that grew."""
 
+from calendar import monthrange
 import datetime as dt
 
 import pytest
@@ -138,3 +139,24 @@ def test_only_the_kinds_that_are_asked_for(spark):
     made = lambda df: next(line for line in plan_of(df).split("\n") if "explode(" in line and "kind" in line).count("CASE WHEN")
     names = ("payday_day_of_month", "payday_last_day", "payday_last_weekday", "payday_kth_weekday", "payday_biweekly_weekday")
     assert [made(registry.QUERIES[name](spark, SF)) for name in names] == [0, 1, 1, 1, 1]  # before: 4, all kinds next to that of the days of the month
+
+
+def test_tendencies_in_one_pass(spark):
+    """Tendencies by brute force, with month ends, null dates and null keys; a cluster without a date has none."""
+    start = dt.date(2024, 1, 1)
+    paid = {"a": [0, 30, 31, 59, 90, 120], "b": [4, 35, 66, 94, None], "c": [27, 58, 87], "d": [14], "e": [None], "f": [None, 9, 40], "g": [2, 28, 57, 93], None: [3, 4]}
+    every = [(a, "x", start + dt.timedelta(k) if k is not None else None) for a, days in paid.items() for k in days * 2]
+    rows = spark.createDataFrame(every, "account string, cluster string, date date")
+    want = {}
+    for account, offsets in paid.items():
+        days = [start + dt.timedelta(k) for k in offsets if k is not None]
+        if account is None or len(offsets) < 2:
+            continue
+        last = lambda d: monthrange(d.year, d.month)[1]
+        near = {g: sum(g <= last(d) and abs(d.day - g) <= 3 for d in days) for g in range(1, 32)}
+        target = max(near, key=lambda g: (near[g], -g))
+        ends = sum((d.day if d.day <= 7 else last(d) - d.day) <= 3 for d in days)
+        want[account] = (len(offsets), ends / len(days), target, near[target] / len(offsets))
+    out = P.tendencies(rows)
+    assert {r.account: tuple(r)[2:] for r in out.collect()} == want
+    assert "Join" not in plan_of(out)  # before: a join of two aggregations, in one stage
