@@ -91,7 +91,7 @@ p AS (SELECT *, CASE kind WHEN 0 THEN 'day' WHEN 1 THEN 'last_day' WHEN 2 THEN '
 SELECT CAST(c AS VARCHAR) AS account, pattern, CAST(CASE pattern WHEN 'day' THEN a WHEN 'near_day' THEN target END AS BIGINT) AS day, CASE WHEN pattern IN ('last_weekday', 'kth_weekday') THEN a END AS weekday, CASE WHEN pattern = 'kth_weekday' THEN b END AS week,
  round(coalesce(score, CASE WHEN pattern = 'end_of_month' THEN end_share ELSE near_share END), 6) AS score, direction FROM p WHERE pattern IS NOT NULL""")
 def payday_monthly(spark, d):
-    pays = _pays(spark, d)
+    pays = _pays(spark, d).persist()
     return _longs(P.monthly_pattern(_support(spark, pays, range(P.WEEKDAY)), P.tendencies(pays)).drop("cluster"))
 
 
@@ -116,12 +116,12 @@ def payday_candidate_pairs(spark, d):
 
 @query("payday_semi_monthly_support", f"WITH {SEMI_SQL} SELECT CAST(c AS VARCHAR) AS account, pattern, CAST(day1 AS BIGINT) AS day1, CAST(day2 AS BIGINT) AS day2, matched, aft AS \"after\", bef AS \"before\", round(score, 6) AS score, direction FROM semis")
 def payday_semi_monthly_support(spark, d):
-    return _longs(_semis(spark, _pays(spark, d)).select("account", "pattern", "day1", "day2", "matched", "after", "before", F.round("score", 6).alias("score"), "direction"))
+    return _longs(_semis(spark, _pays(spark, d).persist()).select("account", "pattern", "day1", "day2", "matched", "after", "before", F.round("score", 6).alias("score"), "direction"))
 
 
 @query("payday_semi_monthly", f"WITH {SEMI_SQL} SELECT CAST(c AS VARCHAR) AS account, pattern, CAST(day1 AS BIGINT) AS day1, CAST(CASE WHEN pattern = 'two_days' THEN day2 END AS BIGINT) AS day2, round(score, 6) AS score, direction FROM smi")
 def payday_semi_monthly(spark, d):
-    return _longs(P.semi_monthly_pattern(_semis(spark, _pays(spark, d))).drop("cluster"))
+    return _longs(P.semi_monthly_pattern(_semis(spark, _pays(spark, d).persist())).drop("cluster"))
 
 
 @query("payday_arbiter", f"""WITH {SEMI_SQL}, w AS (SELECT c, n, a, round(score, 6) AS bs, direction FROM support WHERE kind = 4 AND score >= 0.6),
@@ -130,7 +130,7 @@ k AS (SELECT *, CASE WHEN b > s THEN 'B' WHEN s > b THEN 'S' WHEN n <= 3 THEN 'B
 SELECT CAST(c AS VARCHAR) AS account, choice, CASE WHEN choice = 'B' THEN b ELSE s END AS score, CASE WHEN choice = 'B' THEN ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][a + 1] END AS weekday,
  CASE WHEN choice = 'S' THEN pattern END AS pattern, CAST(CASE WHEN choice = 'S' THEN day1 END AS BIGINT) AS day1, CAST(CASE WHEN choice = 'S' AND pattern = 'two_days' THEN day2 END AS BIGINT) AS day2, CASE WHEN choice = 'B' THEN bd ELSE sd END AS direction FROM k""")
 def payday_arbiter(spark, d):
-    pays = _pays(spark, d)
+    pays = _pays(spark, d).persist()  # read five times
     return _longs(P.biweekly_or_semi_monthly(_support(spark, pays, [P.WEEKDAY]), P.semi_monthly_pattern(_semis(spark, pays))).drop("cluster"))
 
 

@@ -1,7 +1,7 @@
 """Queries whose work or memory grew faster than their input: results by brute force, and the step that grew."""
 
-from calendar import monthrange
 import datetime as dt
+from calendar import monthrange
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +160,14 @@ def test_tendencies_in_one_pass(spark):
     out = P.tendencies(rows)
     assert {r.account: tuple(r)[2:] for r in out.collect()} == want
     assert "Join" not in plan_of(out)  # before: a join of two aggregations, in one stage
+
+
+def test_pay_days_read_often_are_kept(spark, monkeypatch):
+    """Choices between patterns read pay days that are kept, dealt as they were made."""
+    monkeypatch.setattr(adapters, "SPREAD_ROWS", 100)
+    for name in ("payday_semi_monthly", "payday_semi_monthly_support", "payday_arbiter", "payday_monthly"):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().withCachedData().toString()
+        assert "InMemoryRelation" in plan and "RepartitionByExpression" not in plan, name  # before: pay days were made for each use, in one stage
+    kept = catalogue_paydays._pays(spark, SF)  # the plan that is kept
+    assert "InMemoryRelation" in kept._jdf.queryExecution().withCachedData().toString() and kept.rdd.getNumPartitions() == 15
+    spark.catalog.clearCache()
