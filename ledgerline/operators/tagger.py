@@ -1,15 +1,17 @@
 """Entities in descriptions: a sequence tagger trained on labelled texts.
 
 A linear model over hashed features of each token and over pairs of neighbouring tags, fitted by the averaged
-structured perceptron.  Every round, shards of the sample train side by side from the same weights and Spark adds
-what they changed; texts are decoded exactly (Viterbi) in Arrow batches, each distinct text once.
+structured perceptron on every labelled text.  Every round, shards of the texts train side by side from the same
+weights and Spark adds what they changed; texts are decoded exactly (Viterbi) in Arrow batches, each distinct text once.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +21,10 @@ from pyspark.sql import functions as F
 
 #: Hashed features; a model has BUCKETS x tags weights and as many more as there are pairs of tags.
 BUCKETS = 1 << 16
-#: Labelled texts that a fit reads at most, by the smallest hash of the text; a fit on more gains little and its time grows.
-MAX_TEXTS = 50_000
-#: Shards that train side by side, and rounds over the sample.
+#: Shards that train side by side at least, and rounds over the texts.
 SHARDS, ROUNDS = 8, 4
+#: Distinct texts of a shard, about: with more texts there are more shards, and a task stays as it is.
+PER_SHARD = 6_250
 #: Tag of a token outside of entities.
 OUT = "O"
 #: Averages are added as integers of this fraction, so that the order of rows does not matter.
@@ -116,39 +118,47 @@ def places(feats: np.ndarray, tags: list[int], k: int, buckets: int) -> np.ndarr
     return np.concatenate(((feats * k + t[:, None]).ravel(), buckets * k + before * k + t))
 
 
-def trained(start: Model, texts: list[tuple[list[str], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-    """What one pass over the texts changes: the last weights' difference and that of their average, from ``start``."""
+def trained(start: Model, texts: Iterable[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """What one pass over the texts changes: the last weights' difference and that of their average, from ``start``.
+
+    A text is (words, numbers of its tags) or these and how many copies of it follow one another.  One text is held at a time."""
     model = Model(start.tags, start.weights.copy(), start.buckets)
     single, pairs = model.parts()
-    k, late = len(model.tags), np.zeros_like(model.weights)
-    for n, (words, right) in enumerate(texts):
-        feats = features(words, model.buckets)
-        got = best_path(single[feats].sum(axis=1), pairs)
-        if got != right:
+    k, late, n = len(model.tags), np.zeros_like(model.weights), 0
+    for words, right, *copies in texts:
+        feats, end = features(words, model.buckets), n + (copies[0] if copies else 1)
+        while n < end:
+            got = best_path(single[feats].sum(axis=1), pairs)
+            if got == right:
+                break  # the copies that are left change nothing
             for tags, sign in ((right, 1.0), (got, -1.0)):
                 used = places(feats, tags, k, model.buckets)
                 np.add.at(model.weights, used, sign)
                 np.add.at(late, used, sign * n)
+            n += 1
+        n = end
     last = model.weights - start.weights
-    return last, last - late / max(len(texts), 1)
+    return last, last - late / max(n, 1)
 
 
-def sample(labelled: DataFrame, most: int = MAX_TEXTS) -> DataFrame:
-    """At most ``most`` rows (tokens, tags), the same at every run: those of the smallest hashes of their tokens.
+def lessons(labelled: DataFrame) -> DataFrame:
+    """(tokens, tags, n, h): each distinct row that teaches something, how often it stands there, and the hash of its tokens.
 
     Rows without tokens or with another number of tags than of tokens teach nothing and are left out."""
     good = labelled.where((F.size("tokens") > 0) & (F.size("tokens") == F.size("tags"))).select("tokens", "tags")
     good = good.where(~F.exists("tokens", lambda t: t.isNull()) & ~F.exists("tags", lambda t: t.isNull()))
-    return good.withColumn("h", F.xxhash64("tokens")).orderBy("h", "tokens", "tags").limit(most)
+    return good.groupBy("tokens", "tags").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("tokens"))
 
 
-def fit(labelled: DataFrame, most: int = MAX_TEXTS, rounds: int = ROUNDS, shards: int = SHARDS, buckets: int = BUCKETS) -> Model:
-    """A model of the rows (tokens: array of strings, tags: array of strings).
+def fit(labelled: DataFrame, rounds: int = ROUNDS, shards: int = SHARDS, buckets: int = BUCKETS, per_shard: int = PER_SHARD) -> Model:
+    """A model of all rows (tokens: array of strings, tags: array of strings), in ``shards`` shards or more.
 
     A round is one Spark job: shards return only the weights they changed, Spark adds them by place, and the driver
     gets at most one number for each weight of the model.  Without usable rows every token is outside."""
-    rows = sample(labelled, most).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "h", "tokens", "tags").persist()
+    rows = lessons(labelled)
+    shards = max(shards, math.ceil(rows.count() / per_shard))
+    rows = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    rows = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "h", "tokens", "tags").persist()
     try:
         tags = sorted({OUT, *(r[0] for r in rows.select(F.explode("tags")).distinct().collect())})
         k = len(tags)
@@ -170,12 +180,9 @@ def _round(rows: DataFrame, now: Model, shards: int) -> tuple[np.ndarray, np.nda
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         number = {t: i for i, t in enumerate(model.tags)}
-        own: dict[int, list] = {}
-        for batch in batches:
-            for words, tags, shard in zip(*(batch.column(c).to_pylist() for c in ("tokens", "tags", "shard"))):
-                own.setdefault(shard, []).append((words, [number[t] for t in tags]))
-        for texts in own.values():
-            last, mean = trained(model, texts)
+        each = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "tokens", "tags", "n"))))
+        for _, own in itertools.groupby(each, key=lambda row: row[0]):  # rows come sorted by shard
+            last, mean = trained(model, ((words, [number[t] for t in tags], n) for _, words, tags, n in own))
             at = np.flatnonzero((last != 0) | (mean != 0))
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.rint(last[at]).astype(np.int64)), pa.array(np.rint(mean[at] * UNIT).astype(np.int64))], ["place", "last", "mean"])
 

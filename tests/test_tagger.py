@@ -62,6 +62,40 @@ def test_odd_rows(spark):
     assert G.tagged(texts.limit(0), model).count() == 0
 
 
+def test_every_labelled_text_is_learned_from(spark):
+    """More than the 50,000 rows that a fit once read: tags that only texts of the largest hashes have, and one behind many copies."""
+    many = spark.range(50_100).select(F.array(F.concat(F.lit("k"), "id")).alias("tokens")).withColumn("h", F.xxhash64("tokens"))
+    late = many.select("h").orderBy(F.desc("h")).limit(100).collect()[-1].h
+    texts = many.select("tokens", F.array(F.when(F.col("h") >= late, "LATE").otherwise("O")).alias("tags"))
+    assert texts.where("tags[0] = 'LATE'").count() == 100
+    assert G.fit(texts, rounds=1).tags == ["LATE", "O"]
+    low, high = sorted(["to ann", "at acme"], key=lambda t: spark.range(1).select(F.xxhash64(F.split(F.lit(t), " "))).first()[0])
+    copies = spark.range(60_000).select(F.split(F.lit(low), " ").alias("tokens"), F.expr("array('O', 'LOW')").alias("tags"))
+    model = G.fit(copies.union(spark.createDataFrame([(high.split(" "), ["O", "HIGH"])], copies.schema)))
+    assert model.tags == ["HIGH", "LOW", "O"] and model.tag(low.split(" ")) == ["O", "LOW"]
+
+
+def test_fit_is_the_mean_of_plain_shards(spark):
+    """Shards grow in number with the distinct texts, and copies count as often as they stand there."""
+    words, rows = ["pay", "ann", "lee", "acme", "to", "x9"], []
+    for i in range(40):
+        said = [words[(i * 7 + 3 * j) % 6] for j in range(1 + i % 4)]
+        rows += [(" ".join(said), said, ["X" if (len(w) + i % 3) % 2 else "O" for w in said])] * (1 + i % 5)
+    got = G.fit(labelled(spark, rows), rounds=2, shards=2, buckets=64, per_shard=4)
+    hashed = {tuple(r.tokens): r.h for r in labelled(spark, rows).select("tokens", F.xxhash64("tokens").alias("h")).collect()}
+    each = sorted((hashed[tuple(said)], said, tags) for _, said, tags in rows)
+    n = -(-len({(h, *said, *tags) for h, said, tags in each}) // 4)
+    weights = average = np.zeros(64 * 2 + 6)
+    for _ in range(2):
+        own = [G.trained(G.Model(["O", "X"], weights, 64), [(said, [int(t == "X") for t in tags]) for h, said, tags in each if h % n == k]) for k in range(n)]
+        average = average + weights + sum(mean for _, mean in own) / n
+        weights = weights + sum(last for last, _ in own) / n
+    assert n > 2 and got.tags == ["O", "X"] and got.weights.any() and np.allclose(got.weights, average / 2, atol=1e-5)
+    repeated, once = [(["pay", "ann"], [0, 1])] * 9 + [(["to"], [1])], [(["pay", "ann"], [0, 1], 9), (["to"], [1], 1)]
+    start = G.Model(["O", "X"], np.zeros(64 * 2 + 6), 64)
+    assert all(np.array_equal(a, b) for a, b in zip(G.trained(start, repeated), G.trained(start, once)))
+
+
 def test_runs_become_entities(spark):
     rows = [("t", list("abcdef"), ["X", "X", "O", "X", "Y", "Y"])]
     assert [tuple(e) for e in G.spans(labelled(spark, rows)).first().entities] == [("X", "a b", 0, 2), ("X", "d", 3, 1), ("Y", "e f", 4, 2)]
